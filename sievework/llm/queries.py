@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op9_language_id
 from .packing import op10_best_fit_packing
+from .quality import op5_quality_classifier
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_quality_classifier": op5_quality_classifier,
+        "op9_language_id": op9_language_id,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
