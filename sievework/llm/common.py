@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +42,6 @@ def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
 
 
-def over_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow whose results are cast to the declared schema's Arrow types."""
-    return df.mapInArrow(function, schema)
-
-
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """The groups of a partition that is sorted by keys (without nulls), each whole, one at a time."""
     held: list[pa.RecordBatch] = []
@@ -76,9 +71,9 @@ def star_edges(matches: Iterator[tuple[int, np.ndarray]], n: int) -> np.ndarray:
     """Components of n members from (i, indexes linked with i): for each member the first of its component."""
     labels = np.arange(n)
     for i, found in matches:
-        roots = np.unique(labels[found])
-        roots = np.unique(np.append(roots, labels[i]))
-        if len(roots) > 1:
+        seen = labels[found]
+        if len(seen) and (seen.min() != labels[i] or seen.max() != labels[i]):
+            roots = np.unique(np.append(seen, labels[i]))
             labels[np.isin(labels, roots[1:])] = roots[0]
     return labels
 

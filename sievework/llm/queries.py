@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .langid import op9_language_id
 from .packing import op10_best_fit_packing
 from .quality import op5_quality_classifier
+from .simhash import op8_simhash_near_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_quality_classifier": op5_quality_classifier,
+        "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_language_id": op9_language_id,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
