@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embeddings import op6_embedding_near_dedup
 from .langid import op9_language_id
 from .packing import op10_best_fit_packing
 from .quality import op5_quality_classifier
@@ -15,6 +16,7 @@ from .simhash import op8_simhash_near_dedup
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_quality_classifier": op5_quality_classifier,
+        "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_language_id": op9_language_id,
         "op10_best_fit_packing": op10_best_fit_packing,
