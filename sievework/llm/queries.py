@@ -11,10 +11,13 @@ from .langid import op9_language_id
 from .packing import op10_best_fit_packing
 from .quality import op5_quality_classifier
 from .simhash import op8_simhash_near_dedup
+from .warc import ORACLE_SQL as WARC_SQL
+from .warc import op4_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_warc": op4_warc,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_embedding_near_dedup": op6_embedding_near_dedup,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
@@ -24,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": WARC_SQL}
