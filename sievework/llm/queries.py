@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .embeddings import op6_embedding_near_dedup
 from .langid import op9_language_id
+from .media import op3_media_columns
 from .packing import op10_best_fit_packing
 from .quality import op5_quality_classifier
 from .simhash import op8_simhash_near_dedup
@@ -17,6 +18,7 @@ from .warc import op4_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_media_columns": op3_media_columns,
         "op4_warc": op4_warc,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_embedding_near_dedup": op6_embedding_near_dedup,
