@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import ORACLE_SQL as CHAT_SQL
+from .chat import op2_chat_formatting
 from .embeddings import op6_embedding_near_dedup
 from .langid import op9_language_id
 from .media import op3_media_columns
@@ -18,6 +20,7 @@ from .warc import op4_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_chat_formatting": op2_chat_formatting,
         "op3_media_columns": op3_media_columns,
         "op4_warc": op4_warc,
         "op5_quality_classifier": op5_quality_classifier,
@@ -29,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": WARC_SQL}
+    return {"op2_chat_formatting": CHAT_SQL, "op4_warc": WARC_SQL}
