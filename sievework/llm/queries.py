@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import ORACLE_SQL as CHAT_SQL
 from .chat import op2_chat_formatting
 from .embeddings import op6_embedding_near_dedup
+from .hmm import op1_lm_scoring
 from .langid import op9_language_id
 from .media import op3_media_columns
 from .packing import op10_best_fit_packing
@@ -20,6 +21,7 @@ from .warc import op4_warc
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_scoring": op1_lm_scoring,
         "op2_chat_formatting": op2_chat_formatting,
         "op3_media_columns": op3_media_columns,
         "op4_warc": op4_warc,
