@@ -72,14 +72,14 @@ def ranking_metrics(df: DataFrame, y: str = "y", score: str = "score", by: Seque
     above = Window.partitionBy(*by).orderBy(F.col("range_").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    ranges = ranges.select(*by, "range_", zero(F.sum("rp").over(above)).alias("ap"), zero(F.sum("rn").over(above)).alias("an"), F.sum("rp").over(whole).alias("P"), F.sum("rn").over(whole).alias("N"))
+    ranges = ranges.select(*by, "range_", zero(F.sum("rp").over(above)).alias("above_pos"), zero(F.sum("rn").over(above)).alias("above_n"), F.sum("rp").over(whole).alias("all_pos"), F.sum("rn").over(whole).alias("all_n"))
     upto = Window.partitionBy(*by, "range_").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    cells = cells.join(ranges, [*by, "range_"]).withColumns({"tp": F.sum("pos").over(upto) + F.col("ap"), "all": F.sum("n").over(upto) + F.col("an")})
+    cells = cells.join(ranges, [*by, "range_"]).withColumns({"tp": F.sum("pos").over(upto) + F.col("above_pos"), "all": F.sum("n").over(upto) + F.col("above_n")})
     negatives = F.col("n") - F.col("pos")
-    below = (F.col("N") - F.col("P")) - (F.col("all") - F.col("tp"))  # negatives with lower scores
-    out = cells.groupBy(*by).agg(F.sum(F.col("pos") * (below + negatives / 2)).alias("u"), F.sum(F.col("pos") * F.col("tp") / F.col("all")).alias("ap"), F.max("P").alias("P"), F.max("N").alias("N"))
-    both = (F.col("P") > 0) & (F.col("P") < F.col("N"))
-    return out.select(*by, F.when(both, F.col("u") / F.col("P") / (F.col("N") - F.col("P"))).alias("auroc"), F.when(both, F.col("ap") / F.col("P")).alias("auprc"))
+    below = (F.col("all_n") - F.col("all_pos")) - (F.col("all") - F.col("tp"))  # negatives with lower scores
+    out = cells.groupBy(*by).agg(F.sum(F.col("pos") * (below + negatives / 2)).alias("u"), F.sum(F.col("pos") * F.col("tp") / F.col("all")).alias("ap"), F.max("all_pos").alias("all_pos"), F.max("all_n").alias("all_n"))
+    both = (F.col("all_pos") > 0) & (F.col("all_pos") < F.col("all_n"))
+    return out.select(*by, F.when(both, F.col("u") / F.col("all_pos") / (F.col("all_n") - F.col("all_pos"))).alias("auroc"), F.when(both, F.col("ap") / F.col("all_pos")).alias("auprc"))
 
 
 def one_vs_rest(df: DataFrame, classes: int = 3, y: str = "y", p: str = "p") -> DataFrame:
