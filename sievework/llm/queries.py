@@ -13,6 +13,7 @@ from .hmm import op1_lm_scoring
 from .langid import op9_language_id
 from .media import op3_media_columns
 from .packing import op10_best_fit_packing
+from .pieces import op7_sentencepiece
 from .quality import op5_quality_classifier
 from .simhash import op8_simhash_near_dedup
 from .warc import ORACLE_SQL as WARC_SQL
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc": op4_warc,
         "op5_quality_classifier": op5_quality_classifier,
         "op6_embedding_near_dedup": op6_embedding_near_dedup,
+        "op7_sentencepiece": op7_sentencepiece,
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_language_id": op9_language_id,
         "op10_best_fit_packing": op10_best_fit_packing,
