@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import features, urls
-from ..functions.constants import DECISION_FEATURES, THRESHOLD_GRID, ZSCORE_FEATURES
+from ..functions.constants import DECISION_FEATURES, THRESHOLD_GRID
 from ..operators import calibration, integrity, intel, metrics, policy, sampling
 from . import adapters as A
 from .registry import query
@@ -444,7 +444,6 @@ def cal_brier(spark, sf):
     return calibration.losses(A.scored3(spark, sf)).select(F.round("brier", 6).alias("brier"))
 
 
-_BINS = "(SELECT count(*) FROM (SELECT unnest(range(1, 15)) AS k) WHERE conf > k / 15::DOUBLE)"
 _REL = f"WITH b AS (SELECT list_count(list_filter([{', '.join(f'CASE WHEN conf > {k} / 15::DOUBLE THEN 1 END' for k in range(1, 15))}], lambda x: x IS NOT NULL)) AS bin, conf, CAST(predicted = y AS INTEGER) AS hit FROM v_scored3), r AS (SELECT bin, count(*) AS n, avg(conf) AS confidence, avg(hit) AS accuracy FROM b GROUP BY 1)"
 
 
@@ -528,9 +527,6 @@ def feat_encode62(spark, sf):
     return made.select("ord", F.size("encoded").alias("width"), F.round(F.get("encoded", F.lit(at["url_length"])), 6).alias("url_length"), F.get("encoded", F.lit(at["known_malicious"])).alias("known_malicious"))
 
 
-assert len(ZSCORE_FEATURES) == 5
-
-
 @query("int_manifest")
 def int_manifest(spark, sf):
     rows = A.urls(spark, sf).withColumn("dataset_view", F.when(F.col("ord") % 2 == 0, "FULL_URL").otherwise("DOMAIN_ONLY"))
