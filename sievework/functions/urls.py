@@ -98,24 +98,33 @@ def suffix_labels(host: Column, rules: tuple[str, ...] = SUFFIX_RULES) -> Column
     return out
 
 
+def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns behind a one-row generator.
+
+    Filters and projections above would otherwise be rewritten in terms of the columns' inputs, and a chain of
+    such stages would grow into expressions of thousands of nodes that are computed again for every use.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def with_domain_parts(df: DataFrame, host: str = "hostname", rules: tuple[str, ...] = SUFFIX_RULES) -> DataFrame:
     """Add subdomain, domain, suffix and registrable_domain of a host column."""
     h, n = F.col(host), F.col("_suffix_n")
     is_ip = h.rlike(IPV4) | h.contains(":")
     labels = F.split(h, "\\.")
-    df = df.withColumn("_suffix_n", F.when(is_ip, -1).otherwise(suffix_labels(h, rules))).withColumn("_labels", labels)
+    df = staged(df, {"_suffix_n": F.when(is_ip, -1).otherwise(suffix_labels(h, rules)), "_labels": labels})
     size = F.size("_labels")
     body = F.slice(F.col("_labels"), 1, F.greatest(size - F.greatest(n, F.lit(0)), F.lit(0)))
-    df = df.withColumn("_body", body)
+    df = staged(df, {"_body": body, "suffix": F.when(n <= 0, "").otherwise(F.array_join(F.slice(F.col("_labels"), size - n + 1, F.greatest(n, F.lit(1))), "."))})
     none = F.size("_body") == 0
-    joined = lambda array: F.array_join(array, ".")
-    df = df.withColumns({
-        "subdomain": F.when(n < 0, "").otherwise(joined(F.slice(F.col("_body"), 1, F.greatest(F.size("_body") - 1, F.lit(0))))),
-        "domain": F.when(n < 0, h).when(none, "").otherwise(F.element_at("_body", -1)),
-        "suffix": F.when(n <= 0, "").otherwise(joined(F.slice(F.col("_labels"), size - n + 1, F.greatest(n, F.lit(1))))),
-    })
+    domain = F.when(n < 0, h).when(none, "").otherwise(F.element_at("_body", -1))
     whole = (n < 0) | (F.col("suffix") == "") | none
-    return df.withColumn("registrable_domain", F.when(whole, h).otherwise(F.concat_ws(".", "domain", "suffix"))).drop("_suffix_n", "_labels", "_body")
+    df = staged(df, {
+        "subdomain": F.when(n < 0, "").otherwise(F.array_join(F.slice(F.col("_body"), 1, F.greatest(F.size("_body") - 1, F.lit(0))), ".")),
+        "domain": domain,
+        "registrable_domain": F.when(whole, h).otherwise(F.concat_ws(".", domain, "suffix")),
+    })
+    return df.drop("_suffix_n", "_labels", "_body")
 
 
 def domain_url(host: Column) -> Column:
@@ -195,19 +204,20 @@ def with_normalized(df: DataFrame, url: str = "url", rules: tuple[str, ...] = SU
     raw = F.col(url)
     slow = raw.rlike("[^\\x00-\\x7F]|[\\[\\]]")
     text = F.col("_text")
-    df = df.withColumns({"original_url": raw, "_text": F.when(~slow, strip(raw)), "_slow": _normalize_slow(F.when(slow, raw))})
+    df = df.withColumns({"original_url": raw, "_slow": _normalize_slow(F.when(slow, raw))})
+    df = staged(df, {"_text": F.when(~slow, strip(raw))})
     has_scheme = text.rlike("^[A-Za-z][A-Za-z0-9+.-]*://")
-    df = df.withColumn("_whole", F.when(has_scheme, text).otherwise(F.concat(F.lit("https://"), text)))
+    df = staged(df, {"_whole": F.when(has_scheme, text).otherwise(F.concat(F.lit("https://"), text))})
     pattern = "^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\\?([^#]*))?(?:#(.*))?$"
     part = lambda k: F.regexp_extract("_whole", pattern, k)
-    df = df.withColumns({"_scheme": F.lower(part(1)), "_authority": part(2), "_path": part(3), "_query": part(4), "_fragment": part(5)})
+    df = staged(df, {"_scheme": F.lower(part(1)), "_authority": part(2), "_path": part(3), "_query": part(4), "_fragment": part(5)})
     place = F.substring_index("_authority", "@", -1)
-    df = df.withColumns({"_place": place, "_user": F.when(F.col("_authority").contains("@"), F.expr("left(_authority, length(_authority) - length(substring_index(_authority, '@', -1)))")).otherwise("")})
+    df = staged(df, {"_place": place, "_user": F.when(F.col("_authority").contains("@"), F.expr("left(_authority, length(_authority) - length(substring_index(_authority, '@', -1)))")).otherwise("")})
     host = F.regexp_replace(F.lower(F.substring_index("_place", ":", 1)), "\\.+$", "")
     port = F.when(F.col("_place").contains(":"), F.expr("substring(_place, length(substring_index(_place, ':', 1)) + 2)")).otherwise("")
-    df = df.withColumns({"_host": host, "_port": port})
+    df = staged(df, {"_host": host, "_port": port})
     number = F.when(F.col("_port").rlike("^[0-9]{1,9}$"), F.col("_port").cast("int")).when(F.col("_port").rlike("^0*[0-9]{1,9}$"), F.regexp_replace("_port", "^0+(?=[0-9])", "").cast("int"))
-    df = df.withColumn("_number", number)
+    df = staged(df, {"_number": number})
     ok = (
         (text != "")
         & (F.length(text) <= MAX_URL_LENGTH)
@@ -220,9 +230,9 @@ def with_normalized(df: DataFrame, url: str = "url", rules: tuple[str, ...] = SU
         & ~bad_percent(F.col("_query"))
         & ~bad_percent(F.col("_fragment"))
     )
-    df = df.withColumn("_ok", F.coalesce(ok, F.lit(False)))
+    df = staged(df, {"_ok": F.coalesce(ok, F.lit(False))})
     fast = {"scheme": F.col("_scheme"), "hostname": F.col("_host"), "port": F.col("_number"), "path": upper_percent(F.col("_path")), "query": upper_percent(F.col("_query")), "fragment": upper_percent(F.col("_fragment"))}
-    df = df.withColumns({name: F.when(F.col("_ok"), value).otherwise(F.col(f"_slow.{name}")) for name, value in fast.items()})
+    df = staged(df, {name: F.when(F.col("_ok"), value).otherwise(F.col(f"_slow.{name}")) for name, value in fast.items()})
     usual = F.coalesce(((F.col("scheme") == "http") & (F.col("port") == 80)) | ((F.col("scheme") == "https") & (F.col("port") == 443)), F.lit(False))
     built = F.concat(
         F.col("scheme"), F.lit("://"), F.col("_user"), F.col("hostname"),
@@ -231,7 +241,7 @@ def with_normalized(df: DataFrame, url: str = "url", rules: tuple[str, ...] = SU
         F.when(F.col("query") == "", "").otherwise(F.concat(F.lit("?"), F.col("query"))),
         F.when(F.col("fragment") == "", "").otherwise(F.concat(F.lit("#"), F.col("fragment"))),
     )
-    df = df.withColumn("normalized_url", F.when(F.col("_ok"), built).otherwise(F.col("_slow.normalized_url")))
+    df = staged(df, {"normalized_url": F.when(F.col("_ok"), built).otherwise(F.col("_slow.normalized_url"))})
     df = with_domain_parts(df, "hostname", rules)
     hidden = [c for c in ("_url_", "_text", "_slow", "_whole", "_scheme", "_authority", "_path", "_query", "_fragment", "_place", "_user", "_host", "_port", "_number", "_ok") if c in df.columns]
     return df.drop(*hidden)

@@ -42,21 +42,17 @@ def losses(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
 def fit_temperature(df: DataFrame, p: str = "p", y: str = "y", grid: Sequence[float] = TEMPERATURES) -> DataFrame:
     """(temperature, nll) of lowest loss, the lower of equal temperatures.
 
-    All grid sums are kept as one array per task and added element by element, so rows are not multiplied by the
-    grid and one pass serves every temperature.
+    Rows meet the broadcast grid inside a task and are summed there; one partial sum per task and temperature is
+    shuffled.
     """
-    temps = F.array(*[F.lit(float(t)) for t in grid])
+    temps = df.sparkSession.createDataFrame([(float(t),) for t in grid], "temperature double")
     logs = F.transform(p, lambda x: F.log(clip(x)))
     rows = df.select(logs.alias("l"), F.get(logs, F.col(y)).alias("own"), F.array_max(logs).alias("top"))
-
-    def loss(t: Column) -> Column:
-        total = F.aggregate(F.col("l"), F.lit(0.0), lambda a, x: a + F.exp((x - F.col("top")) / t))
-        return F.log(total) - (F.col("own") - F.col("top")) / t
-
-    sums = [F.sum(loss(F.lit(float(t)))).alias(f"t{k}") for k, t in enumerate(grid)]
-    found = rows.agg(F.count(F.lit(1)).alias("n"), *sums)
-    listed = F.transform(F.arrays_zip(F.array(*[F.col(f"t{k}") for k in range(len(grid))]).alias("s"), temps.alias("t")), lambda x: F.struct(F.round(x["s"] / F.col("n"), 12).alias("nll"), x["t"].alias("temperature")))
-    return found.select(F.array_min(listed).alias("b")).select("b.temperature", "b.nll")
+    t = F.col("temperature")
+    total = F.aggregate(F.col("l"), F.lit(0.0), lambda a, x: a + F.exp((x - F.col("top")) / t))
+    loss = F.log(total) - (F.col("own") - F.col("top")) / t
+    found = rows.crossJoin(F.broadcast(temps)).groupBy("temperature").agg(F.round(F.avg(loss), 12).alias("nll"))
+    return found.agg(F.min(F.struct("nll", "temperature")).alias("b")).select("b.temperature", "b.nll")
 
 
 def edges(bins: int = ECE_BINS) -> list[float]:

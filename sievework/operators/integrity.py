@@ -80,9 +80,9 @@ def register_history(history: DataFrame, records: DataFrame, key: str = "snapsho
     """Append records whose id is new; an id that is there with another digest is an error."""
     known = history.select(key, F.col(digest).alias("_old"))
     joined = records.join(known, key, "left")
-    same = F.col("_old").isNull() | (F.col("_old") == F.col(digest))
-    checked = joined.where(F.assert_true(same, F.lit("a registered snapshot has another digest")).isNull())
-    return history.unionByName(checked.where("_old is null").drop("_old").dropDuplicates([key]))
+    fresh = F.when(F.col("_old").isNull(), True).when(F.col("_old") == F.col(digest), False)
+    fresh = fresh.otherwise(F.raise_error(F.lit("a registered snapshot has another digest")).cast("boolean"))
+    return history.unionByName(joined.where(fresh).drop("_old").dropDuplicates([key]))
 
 
 def history_summary(history: DataFrame, key: str = "snapshot_id", order: str = "seq", part: str | None = None) -> DataFrame:
