@@ -82,20 +82,31 @@ def regime(df: DataFrame, name: str, target: int, host: str = "hostname", seed:
     return sample_per_class(df.where(~malware), target, seed, key).unionByName(controlled)
 
 
+def with_hash_rank(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """Add _rank (from 0, by the hash _h and key, within by) and _n (rows within by).
+
+    A rank is the number of rows of lower hash prefixes, of which there are 4096 whatever the size, plus a row number
+    within the prefix. So the work spreads over prefixes and no task sees all rows.
+    """
+    df = df.withColumn("_p", F.substring("_h", 1, 3))
+    counts = df.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(*by)
+    below = whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*by, "_p", F.coalesce(F.sum("_c").over(below), F.lit(0)).alias("_below"), F.sum("_c").over(whole).alias("_n"))
+    within = F.row_number().over(Window.partitionBy(*by, "_p").orderBy("_h", key)) - 1
+    return df.join(counts, [*by, "_p"]).withColumn("_rank", within + F.col("_below")).drop("_p", "_h", "_below")
+
+
 def split_candidates(df: DataFrame, group: str, ratios: Sequence[float] = SPLIT_RATIOS, seed: int = SEED, attempts: int = 64) -> DataFrame:
     """(attempt, group, split) of every group for each attempt, by hash rank within the attempt."""
     if abs(sum(ratios) - 1) > 1e-9:
         raise ValueError("ratios must sum to 1")
     groups = df.where(F.col(group).isNotNull()).select(group).distinct()
     tried = groups.select(F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"), group)
-    by = Window.partitionBy("attempt")
-    ranked = tried.withColumns({
-        "_rank": F.row_number().over(by.orderBy(order_key(F.col("attempt") + seed, F.col(group)), group)),
-        "_n": F.count(F.lit(1)).over(by),
-    })
+    ranked = with_hash_rank(tried.withColumn("_h", order_key(F.col("attempt") + seed, F.col(group))), group, ["attempt"])
     held = F.ceil(F.col("_n") * (ratios[1] + ratios[2]) - 1e-9)
     test = F.ceil(held * (ratios[2] / (ratios[1] + ratios[2])) - 1e-9)
-    split = F.when(F.col("_rank") <= test, "test").when(F.col("_rank") <= held, "validation").otherwise("train")
+    split = F.when(F.col("_rank") < test, "test").when(F.col("_rank") < held, "validation").otherwise("train")
     return ranked.select("attempt", group, split.alias("split"))
 
 
@@ -166,19 +177,11 @@ def temporal_split(df: DataFrame, date: str = "collected_at") -> DataFrame:
 
 
 def group_folds(df: DataFrame, group: str, k: int, seed: int = SEED) -> DataFrame:
-    """(group, fold) by hash rank.
-
-    Ranks come from counts per hash prefix and a row number within a prefix, so no task sees all groups.
-    """
+    """(group, fold) by hash rank."""
     if k < 2:
         raise ValueError("k must be at least 2")
     groups = df.where(F.col(group).isNotNull()).select(group).distinct().withColumn("_h", order_key(seed, F.col(group)))
-    groups = groups.withColumn("_p", F.substring("_h", 1, 3))
-    counts = groups.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_h", group)) - 1
-    ranked = groups.join(F.broadcast(before.drop("_n")), "_p").withColumn("_r", rank + F.col("_before"))
-    return ranked.select(group, (F.col("_r") % k).cast("int").alias("fold"))
+    return with_hash_rank(groups, group).select(group, (F.col("_rank") % k).cast("int").alias("fold"))
 
 
 def fold_check(rows: DataFrame, folds: DataFrame, group: str) -> DataFrame:

@@ -527,15 +527,19 @@ def feat_encode62(spark, sf):
     return made.select("ord", F.size("encoded").alias("width"), F.round(F.get("encoded", F.lit(at["url_length"])), 6).alias("url_length"), F.get("encoded", F.lit(at["known_malicious"])).alias("known_malicious"))
 
 
-@query("int_manifest")
+_ROW = "sha256(concat_ws(chr(31), " + ", ".join(f"coalesce('=' || CAST({c} AS VARCHAR), '~')" for c in ("ord", "url", "label", "source", "collected_at")) + "))"
+_PARTS = ", ".join(f"CAST(sum(CAST('0x' || substr(d, {4 + 15 * k}, 15) AS BIGINT)) AS VARCHAR)" for k in range(4))
+
+
+@query("int_manifest", f"""
+WITH p AS (SELECT CASE WHEN ord % 2 = 0 THEN 'FULL_URL' ELSE 'DOMAIN_ONLY' END AS dataset_view, {_ROW} AS d FROM v_urls),
+l AS (SELECT dataset_view, substr(d, 1, 3) AS p, count(*) AS n, concat_ws(':', substr(d, 1, 3), CAST(count(*) AS VARCHAR), {_PARTS}) AS line FROM p GROUP BY 1, 2)
+SELECT dataset_view, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(line, chr(10) ORDER BY p)) AS sha256 FROM l GROUP BY 1""")
 def int_manifest(spark, sf):
     rows = A.urls(spark, sf).withColumn("dataset_view", F.when(F.col("ord") % 2 == 0, "FULL_URL").otherwise("DOMAIN_ONLY"))
     return integrity.manifest(rows, ["ord", "url", "label", "source", "collected_at"])
 
 
-_PARTS = ", ".join(f"CAST(sum(CAST('0x' || substr(d, {4 + 15 * k}, 15) AS BIGINT)) AS VARCHAR)" for k in range(4))
-
-
 @query("int_assign_hash", f"""
 WITH p AS (SELECT DISTINCT sha256(CASE WHEN ord % 2 = 0 THEN 'FULL_URL' ELSE 'DOMAIN_ONLY' END || ':' || hostname) AS d FROM v_hosts),
 l AS (SELECT substr(d, 1, 3) AS p, count(*) AS n, concat_ws(':', substr(d, 1, 3), CAST(count(*) AS VARCHAR), {_PARTS}) AS line FROM p GROUP BY 1)
