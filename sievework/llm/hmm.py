@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sorted_groups, table
+from .common import column, materialize, sorted_groups, table
 
 STATES = 8
 CLASSES = 8192
@@ -259,17 +259,48 @@ def log_likelihoods(symbols: np.ndarray, lengths: np.ndarray, model: Model, even
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def packed(word_counts: DataFrame, limit: int = 1 << 21) -> DataFrame:
+    """Rows (chunk, local, c) gathered within tasks into rows (chunk, locals, cs) of little-endian arrays.
+
+    A task hands on what it holds after limit rows, so its memory is bounded.
+    """
+
+    def emit(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        chunk, local, c = (np.concatenate(parts) for parts in zip(*held))
+        order = np.argsort(chunk, kind="stable")
+        chunk, local, c = chunk[order], local[order].astype("<i4"), c[order].astype("<i8")
+        starts = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
+        stops = np.append(starts[1:], len(chunk))
+        parts = [(local[i:j].tobytes(), c[i:j].tobytes()) for i, j in zip(starts.tolist(), stops.tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(chunk[starts]), pa.array([x for x, _ in parts], pa.binary()), pa.array([y for _, y in parts], pa.binary())], ["chunk", "locals", "cs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(tuple(column(batch, name) for name in ("chunk", "local", "c")))
+                rows += batch.num_rows
+            if rows >= limit:
+                yield emit(held)
+                held, rows = [], 0
+        if held:
+            yield emit(held)
+
+    return word_counts.select("chunk", "local", "c").mapInArrow(run, "chunk long, locals binary, cs binary")
+
+
 def score(chunks: DataFrame, word_counts: DataFrame, model: Model, counts: Counts) -> DataFrame:
-    """The scores of all documents; word_counts is (chunk, local, c) for all words of the chunks' lists."""
-    payload = chunks.select("chunk", F.lit(-1).alias("local"), F.lit(0).cast("long").alias("c"), "doc_ids", "lengths", "held", "tokens", "classes")
-    listed = word_counts.select("chunk", "local", "c", *[F.lit(None).cast(payload.schema[c].dataType).alias(c) for c in payload.columns[3:]])
+    """The scores of all documents; word_counts is (chunk, local, c) for all known words of the chunks' lists."""
+    payload = chunks.select("chunk", F.lit(0).alias("part"), F.lit(None).cast("binary").alias("locals"), F.lit(None).cast("binary").alias("cs"), "doc_ids", "lengths", "held", "tokens", "classes")
+    listed = packed(word_counts).select("chunk", F.lit(1).alias("part"), "locals", "cs", *[F.lit(None).cast(payload.schema[c].dataType).alias(c) for c in payload.columns[4:]])
     events = model.events(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in sorted_groups(batches, ["chunk"]):
             head = rows.slice(0, 1).to_pylist()[0]
             c = np.zeros(len(head["classes"]) // 2, np.int64)
-            c[rows.column("local").to_numpy()[1:]] = rows.column("c").to_numpy()[1:]
+            for local, n in zip(rows.column("locals").to_pylist()[1:], rows.column("cs").to_pylist()[1:]):
+                c[np.frombuffer(local, "<i4")] = np.frombuffer(n, "<i8")
             classes = np.frombuffer(head["classes"], "<u2").astype(np.int64)
             tokens, lengths = np.frombuffer(head["tokens"], "<i4"), np.array(head["lengths"], np.int64)
             known = c > 0
@@ -282,7 +313,7 @@ def score(chunks: DataFrame, word_counts: DataFrame, model: Model, counts: Count
             cols = [pa.array(head["doc_ids"], pa.int64()), pa.array(head["held"], pa.bool_()), pa.array(lengths), pa.array(add(known.astype(np.int64))), pa.array(np.full(len(lengths), counts.tokens)), pa.array(add(base)), pa.array(likely)]
             yield pa.RecordBatch.from_arrays(cols, [f.split()[0] for f in SCORES.split(", ")])
 
-    dealt = payload.unionByName(listed).repartition("chunk").sortWithinPartitions("chunk", "local")
+    dealt = payload.unionByName(listed).repartition("chunk").sortWithinPartitions("chunk", "part")
     return dealt.mapInArrow(run, SCORES)
 
 
