@@ -67,6 +67,40 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield last, pa.Table.from_batches(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of about rows rows of a partition that is sorted by keys (without nulls), and where groups start in them.
+
+    A group is never divided, so a table exceeds rows by one group at most.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def cut(last: bool) -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        change = np.append(True, np.zeros(len(table) - 1, bool))
+        for k in keys:
+            values = table.column(k).to_numpy()
+            change[1:] |= values[1:] != values[:-1]
+        starts = np.flatnonzero(change)
+        held.clear()
+        if last:
+            return table, starts
+        held.extend(table.slice(int(starts[-1])).to_batches())
+        return table.slice(0, int(starts[-1])), starts[:-1]
+
+    held_rows = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            held_rows += batch.num_rows
+        if held_rows >= rows:
+            table, starts = cut(False)
+            if len(starts):
+                yield table, starts
+            held_rows = 0
+    if held:
+        yield cut(True)
+
+
 def star_edges(matches: Iterator[tuple[int, np.ndarray]], n: int) -> np.ndarray:
     """Components of n members from (i, indexes linked with i): for each member the first of its component."""
     labels = np.arange(n)
@@ -78,6 +112,17 @@ def star_edges(matches: Iterator[tuple[int, np.ndarray]], n: int) -> np.ndarray:
     return labels
 
 
+def unite(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the components of i[k] and j[k] in place; root holds for each member the first of its component."""
+    while len(i):
+        a, b = root[i], root[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
 def tiles(rows: DataFrame, keys: list[str], member: str, limit: int) -> DataFrame:
     """Deal rows that are to be compared within keys into tiles of at most about twice limit rows.
 

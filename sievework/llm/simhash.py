@@ -3,11 +3,11 @@
 A document's fingerprint has a bit for each bit position that is set in over half of its shingles' hashes. The
 fingerprint is embedded as the vector of bit counts of its 32 two-bit segments. The Manhattan distance of two
 vectors never exceeds the Hamming distance of the fingerprints, so fingerprints within 4 bits have vectors within
-4. The segments form 5 groups; 4 steps cannot touch all 5, so such vectors agree in one group at least. Each
-fingerprint therefore goes to 5 grid cells (group, counts within the group), and only fingerprints that share a
-cell are compared: in order of the whole count, which bounds the distance once more, and then exactly. Crowded
-cells are cut into tiles of pairs of blocks. A tile hands on a star of links for each component it sees, not
-pairs, and components over all tiles come from repeated joins.
+4. The segments form 6 groups; 4 steps touch 4 of them at most, so such vectors agree in two groups at least. Each
+fingerprint therefore goes to 15 grid cells (pair of groups, counts within them), and only fingerprints that share
+a cell are compared: in order of the whole count, which bounds the distance once more, and then exactly. Of random
+fingerprints one pair in 2,000 meets in a cell. Crowded cells are cut into tiles of pairs of blocks. A tile hands
+on a star of links for each component it sees, not pairs, and components over all tiles come from repeated joins.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; fewer words than a shingle
 are one shingle; repeated rows share a fingerprint; a row with a null id gets the component of its fingerprint,
@@ -17,21 +17,28 @@ which is null if no row there has an id; an empty table gives no rows. Only the
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, connected_components, materialize, sorted_groups, star_edges, table, tiles
+from .common import connected_components, materialize, star_edges, table, tiles, unite, whole_groups
 
 WORDS = 4
 DISTANCE = 4
 SEED = 42
-TILE = 8192
-#: A mask of each group's segments: 32 segments of 2 bits in DISTANCE + 1 groups.
-_SIZES = (7, 7, 6, 6, 6)
+TILE = 32768
+#: Cells of up to so many fingerprints are compared side by side.
+SMALL = 32
+#: Of DISTANCE + AGREEING groups so many are untouched by DISTANCE steps.
+AGREEING = 2
+#: A mask of each group's segments: 32 segments of 2 bits in DISTANCE + AGREEING groups.
+_SIZES = (6, 6, 5, 5, 5, 5)
 GROUPS = tuple(((1 << 2 * n) - 1) << 2 * sum(_SIZES[:k]) for k, n in enumerate(_SIZES))
+#: The masks of the cells: all choices of AGREEING groups.
+CELLS = tuple(sum(chosen) for chosen in combinations(GROUPS, AGREEING))
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -77,7 +84,7 @@ def segment_counts(fp: Column) -> Column:
     return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
-def compare(mine: np.ndarray, other: np.ndarray | None, distance: int, step: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+def compare(mine: np.ndarray, other: np.ndarray | None, distance: int, step: int = 128) -> Iterator[tuple[int, np.ndarray]]:
     """(index, indexes) of fingerprints within distance, where each side is in order of its whole bit count.
 
     Without other: links inside mine. With other: links from mine to other, whose indexes follow mine's.
@@ -93,34 +100,56 @@ def compare(mine: np.ndarray, other: np.ndarray | None, distance: int, step: int
             yield start + r, base + low + np.flatnonzero(near[r])
 
 
+def small_cells(cell: np.ndarray, fp: np.ndarray, distance: int) -> np.ndarray:
+    """For each row the first of its component, where rows of a cell (which follow each other) link within distance."""
+    root, step = np.arange(len(fp)), 1
+    at = np.arange(len(fp))
+    while len(at):
+        at = at[at + step < len(fp)]
+        at = at[cell[at] == cell[at + step]]
+        near = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= distance]
+        unite(root, near, near + step)
+        step += 1
+    return root
+
+
+def tile_links(fp: np.ndarray, block: np.ndarray, lo: int, hi: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprints, for each the first of its component) of one tile."""
+    order = np.argsort(np.bitwise_count(fp), kind="stable")
+    fp, block = fp[order], block[order]
+    if lo == hi:
+        return fp, star_edges(compare(fp, None, distance), len(fp))
+    mine, other = fp[block == lo], fp[block == hi]
+    return np.concatenate([mine, other]), star_edges(compare(mine, other, distance), len(fp))
+
+
 def links(points: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> DataFrame:
     """Stars (a, b) that connect all fingerprints (a distinct column fp) within distance."""
-    if distance != len(GROUPS) - 1:
+    if distance != len(GROUPS) - AGREEING:
         raise ValueError("the grid's groups hold for one distance")
-    cells = points.withColumn("counts_", segment_counts(F.col("fp")))
-    found = F.array(*[F.struct(F.lit(k).alias("group_"), F.col("counts_").bitwiseAND(F.lit(signed(m))).alias("cell_")) for k, m in enumerate(GROUPS)])
-    cells = cells.select("fp", F.explode(found).alias("at")).select("fp", "at.*")
-    dealt = tiles(cells, ["group_", "cell_"], "fp", tile)
-    keys = ["group_", "cell_", "lo_", "hi_"]
+    counts = points.withColumn("counts_", segment_counts(F.col("fp")))
+    # A cell is known by a hash; cells that share one are compared together, which the exact test makes harmless.
+    found = F.array(*[F.xxhash64(F.lit(k), F.col("counts_").bitwiseAND(F.lit(signed(m)))) for k, m in enumerate(CELLS)])
+    dealt = tiles(counts.select("fp", F.explode(found).alias("cell_")), ["cell_"], "fp", tile)
+    keys = ["cell_", "lo_", "hi_"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, rows in sorted_groups(batches, keys):
-            fp = rows.column("fp").to_numpy().view(np.uint64)
-            if len(fp) < 2:
-                continue
-            fp, block = fp[order := np.argsort(np.bitwise_count(fp), kind="stable")], rows.column("blk_").to_numpy()
-            block = block[order]
-            if key[2] == key[3]:
-                nodes, found = fp, compare(fp, None, distance)
-            else:
-                mine, other = fp[block == key[2]], fp[block == key[3]]
-                nodes, found = np.concatenate([mine, other]), compare(mine, other, distance)
-            root = star_edges(found, len(nodes))
+        def stars(nodes: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
             far = np.flatnonzero(root != np.arange(len(nodes)))
             if len(far):
                 nodes = nodes.view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], ["a", "b"])
 
+        for rows, starts in whole_groups(batches, keys, 1 << 18):
+            fp, block, lo, hi = (rows.column(c).to_numpy() for c in ("fp", "blk_", "lo_", "hi_"))
+            fp, sizes = fp.view(np.uint64), np.diff(np.append(starts, len(fp)))
+            small = (sizes > 1) & (sizes <= SMALL) & (lo[starts] == hi[starts])
+            chosen = np.repeat(small, sizes)
+            yield from stars(fp[chosen], small_cells(np.repeat(np.arange(len(sizes)), sizes)[chosen], fp[chosen], distance))
+            for k in np.flatnonzero((sizes > 1) & ~small).tolist():
+                s = slice(starts[k], starts[k] + sizes[k])
+                yield from stars(*tile_links(fp[s], block[s], lo[starts[k]], hi[starts[k]], distance))
+
     dealt = dealt.select(*keys, "blk_", "fp").repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, "a long, b long")
 

@@ -55,8 +55,9 @@ def points():
     return sorted(out)
 
 
-@pytest.mark.parametrize("tile", [16, 8192])
-def test_links_lose_nothing(spark, points, tile):
+@pytest.mark.parametrize("tile,small", [(4, 32), (16, 32), (8192, 32), (8192, 1)])
+def test_links_lose_nothing(spark, points, tile, small, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL", small)
     want = brute_components(points, lambda a, b: (a ^ b).bit_count() <= 4)
     df = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in points], "fp long")
     pairs = simhash.links(df, tile=tile).collect()
