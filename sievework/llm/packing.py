@@ -2,10 +2,10 @@
 
 Documents are tokenised once and cut only where they exceed the capacity; the remainder becomes the first
 piece, so all later pieces are full and need no packing. The other pieces are dealt by hash into partitions of
-bounded size. Each partition is packed by best-fit decreasing and compared with a lower bound from dual feasible
-functions. A partition that meets its bound is certified and final. Partitions with a gap release the pieces of
-their bins that have room left; these are dealt anew, so partitions exchange documents, and packed again. A round
-that does not lower the count of bins is discarded.
+PIECES_PER_PARTITION pieces, or of more where there would be very many partitions. Each partition is packed by
+best-fit decreasing and compared with a lower bound from dual feasible functions. A partition that meets its bound
+is certified and final. Partitions with a gap release the pieces of their bins that have room left; these are dealt
+anew, so partitions exchange documents, and packed again. A round that does not lower the count of bins is discarded.
 
 Defined results: a null text is an empty document, which is one end id; an empty table gives no rows; repeated
 rows are packed each on its own; a null id is kept; only the named columns are read, so extra columns and
@@ -29,6 +29,9 @@ from .common import materialize, table
 CAPACITY = 2048
 END_ID = 0
 PIECES_PER_PARTITION = 16384
+#: Beyond so many partitions, partitions grow instead, up to LARGEST_PARTITION pieces.
+USUAL_PARTITIONS = 4096
+LARGEST_PARTITION = 1 << 18
 ROUNDS = 4
 
 
@@ -203,8 +206,13 @@ def pack_round(items: DataFrame, number: int, capacity: int) -> DataFrame:
     return items.mapInArrow(pack, PLACED)
 
 
+def partitions_for(n: int, per_partition: int) -> int:
+    """How many partitions n pieces are dealt into; a shuffle into very many small ones would cost more than packing."""
+    return max(1, min(-(-n // per_partition), USUAL_PARTITIONS), -(-n // max(per_partition, LARGEST_PARTITION)))
+
+
 def deal(items: DataFrame, n: int, number: int, per_partition: int) -> DataFrame:
-    return items.repartition(max(1, -(-n // per_partition)), F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(number)))
+    return items.repartition(partitions_for(n, per_partition), F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(number)))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:

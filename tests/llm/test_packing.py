@@ -63,3 +63,8 @@ def test_pack_documents(spark, docs):
 
 def test_pack_empty(spark, docs):
     assert packing.pack_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_partitions():
+    assert [packing.partitions_for(n, 16384) for n in (0, 1, 16385, 16384 * 5000, 1 << 32)] == [1, 1, 2, 4096, 16384]
+    assert packing.partitions_for(40, 10) == 4
