@@ -91,8 +91,9 @@ def src_union_raw(spark, sf):
 @query("src_snapshot_discover")
 def src_snapshot_discover(spark, sf):
     root = incremental.shared_folder(spark, "snapshots")
-    for day in ("2026-09-01", "2026-09-02"):
-        A.urls(spark, sf).where(F.col("collected_at") == day).select("url").coalesce(1).write.text(f"{root}/{day}")
+    rows = A.urls(spark, sf)
+    for (day,) in rows.where("collected_at is not null").select("collected_at").distinct().collect():
+        rows.where(F.col("collected_at") == day).select("url").coalesce(1).write.text(f"{root}/{day}")
     return feeds.discover_snapshots(spark, root).where("path like '%.txt'").select("snapshot_date", "records", "sha256")
 
 

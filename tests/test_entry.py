@@ -33,3 +33,11 @@ def test_queries_equal_their_sql(spark, name):
     order = [want.columns.index(c) for c in columns]
     same = lambda v: round(v, 6) if isinstance(v, float) else v
     assert sorted((tuple(map(same, r)) for r in got), key=str) == sorted((tuple(same(r[i]) for i in order) for r in want.fetchall()), key=str)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_snapshots_hold_all_pages(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = {f"2026-09-0{1 + r.k}": r.n for r in pages.selectExpr("page_id % 4 k").groupBy("k").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    got = {r.snapshot_date: r.records for r in entry.queries()["src_snapshot_discover"](spark, SF).collect()}
+    assert got == want and len(got) == 4
