@@ -149,11 +149,11 @@ def accumulation_counts(snapshots: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def domain_candidates(rows: DataFrame, url: str = "url", pool: int = 10_000, limit: int = 1_000, seed: int = 42, order: str = "ord") -> DataFrame:
-    """Distinct domains of a list, in order: from the first pool of them, limit picked by hash."""
+def domain_candidates(rows: DataFrame, url: str = "url", pool: int | None = 10_000, limit: int = 1_000, seed: int = 42, order: str = "ord") -> DataFrame:
+    """Distinct domains of a list, in order: from the first pool of them (all without a pool), limit picked by hash."""
     from .sampling import order_key
 
     domain = F.substring_index(F.regexp_replace(url, "^[A-Za-z]+://", ""), "/", 1)
     found = rows.select(domain.alias("domain"), F.col(order)).where("domain <> ''").groupBy("domain").agg(F.min(order).alias(order))
-    first = found.orderBy(order, "domain").limit(pool)
+    first = found if pool is None else found.orderBy(order, "domain").limit(pool)
     return first.orderBy(order_key(seed, F.col("domain")), "domain").limit(limit)

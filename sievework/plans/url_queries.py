@@ -202,7 +202,7 @@ def docs_dedup(spark, sf):
 
 @query("src_cc_domains", "SELECT hostname AS domain, min(ord) AS ord FROM v_hosts GROUP BY 1 ORDER BY sha256('42|' || hostname), 1 LIMIT 20")
 def src_cc_domains(spark, sf):
-    return cleaning.domain_candidates(A.urls(spark, sf).withColumn("url", F.regexp_replace("url", "[?#].*$", "")), limit=20).select("domain", "ord")
+    return cleaning.domain_candidates(A.urls(spark, sf).withColumn("url", F.regexp_replace("url", "[?#].*$", "")), pool=None, limit=20).select("domain", "ord")
 
 
 @query("src_cc_query", "SELECT hostname, normalized_url, ord FROM (SELECT hostname, normalized_url, min(ord) AS ord, row_number() OVER (PARTITION BY hostname ORDER BY min(ord), normalized_url) AS r FROM v_hosts GROUP BY 1, 2) WHERE r <= 2")

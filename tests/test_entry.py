@@ -1,3 +1,4 @@
+import hashlib
 import os
 
 import pytest
@@ -41,3 +42,11 @@ def test_snapshots_hold_all_pages(spark):
     want = {f"2026-09-0{1 + r.k}": r.n for r in pages.selectExpr("page_id % 4 k").groupBy("k").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
     got = {r.snapshot_date: r.records for r in entry.queries()["src_snapshot_discover"](spark, SF).collect()}
     assert got == want and len(got) == 4
+
+
+def test_domain_candidates_rank_all_hosts(spark, tmp_path):
+    names = {f"h{i}.example.org": i for i in range(10_500)}
+    spark.createDataFrame([(i, f"https://{h}/x?y", "") for h, i in names.items()], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = sorted(names, key=lambda h: hashlib.sha256(f"42|{h}".encode()).hexdigest())[:20]
+    got = entry.queries()["src_cc_domains"](spark, str(tmp_path)).collect()
+    assert {r.domain: r.ord for r in got} == {h: names[h] for h in want} and max(names[h] for h in want) >= 10_000
