@@ -37,7 +37,6 @@ STATES = 8
 CLASSES = 8192
 ITERATIONS = 6
 CHUNK_BYTES = 4 << 20
-SEGMENT = 128
 SMOOTHING = 50.0
 UNIT = 1 << 16
 #: Stands for a document's end; no word holds a space.
@@ -157,54 +156,50 @@ def usual(counts: Counts) -> np.ndarray:
 
 
 def expected(symbols: np.ndarray, first: np.ndarray, model: Model) -> np.ndarray:
-    """Expected counts (see Model.next) of one long sequence of class numbers; first marks where documents start.
+    """Expected counts (see Model.next) of documents, their class numbers one after the other; first marks their starts.
 
-    The sequence is worked on in segments side by side; a segment that does not start a document starts from the
-    start distribution too, and its first place is not counted as a start.
+    Whole documents are worked on side by side, the longest first: place t of all that have one is one block.
     """
     k = len(model.start)
-    emit = np.vstack([model.emit, np.ones(k)]).astype(np.float32)
     move, start = model.move.astype(np.float32), model.start.astype(np.float32)
-    lanes = -(-len(symbols) // SEGMENT)
-    x = np.full(lanes * SEGMENT, CLASSES)
-    x[: len(symbols)] = symbols
-    new = np.ones(lanes * SEGMENT, bool)
-    new[: len(first)] = first
-    x, new = x.reshape(lanes, SEGMENT).T.copy(), new.reshape(lanes, SEGMENT).T.copy()
-    real_start = new & (x != CLASSES)
-    new[0] = True
-    alpha, scale = np.empty((SEGMENT, lanes, k), np.float32), np.empty((SEGMENT, lanes, 1), np.float32)
+    begins = np.flatnonzero(first)
+    lengths = np.diff(np.append(begins, len(symbols)))
+    order = np.argsort(-lengths, kind="stable")
+    active = len(lengths) - np.searchsorted(lengths[order][::-1], np.arange(lengths[order[0]]), "right")
+    at = np.append(0, np.cumsum(active))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    x = np.empty(len(symbols), np.int64)
+    x[at[np.arange(len(symbols)) - np.repeat(begins, lengths)] + np.repeat(rank, lengths)] = symbols
+    emit = model.emit.astype(np.float32)[x]
+    alpha, scale = np.empty_like(emit), np.empty((len(x), 1), np.float32)
     ones = np.ones((k, 1), np.float32)
-    for t in range(SEGMENT):
-        a = emit[x[t]]
-        if t:
-            before = alpha[t - 1] @ move
-            before[new[t]] = start
-            a *= before
-        else:
-            a *= start
-        scale[t] = np.maximum(a @ ones, 1e-30)
-        np.divide(a, scale[t], out=alpha[t])
+    blocks = list(zip(at[:-1].tolist(), at[1:].tolist()))
+    for t, (i, j) in enumerate(blocks):
+        a = alpha[before : before + j - i] @ move if t else np.tile(start, (j, 1))
+        a *= emit[i:j]
+        np.maximum(a @ ones, 1e-30, out=scale[i:j])
+        np.divide(a, scale[i:j], out=alpha[i:j])
+        before = i
+    emit /= scale
     moves = np.zeros((k, k))
-    beta = np.ones((lanes, k), np.float32)
+    beta = np.ones((len(order), k), np.float32)
+    back = move.T.copy()
+    for t in range(len(blocks) - 1, 0, -1):
+        (i, j), before = blocks[t], blocks[t - 1][0]
+        now = beta[: j - i]
+        ahead = emit[i:j]
+        ahead *= now
+        moves += alpha[before : before + j - i].T @ ahead
+        alpha[i:j] *= now
+        np.matmul(ahead, back, out=now)
     gamma = alpha
-    for t in range(SEGMENT - 1, 0, -1):
-        ahead = emit[x[t]]
-        ahead *= beta
-        ahead /= scale[t]
-        before = alpha[t - 1]
-        going = ~new[t]
-        moves += (before * going[:, None]).T @ ahead
-        gamma[t] *= beta
-        beta = ahead @ move.T
-        beta[new[t]] = 1
-    gamma[0] *= beta
-    flat, seen = x.ravel(), gamma.reshape(-1, k)
+    gamma[: len(order)] *= beta
     out = np.empty((CLASSES + k + 1, k))
     for s in range(k):
-        out[:CLASSES, s] = np.bincount(flat, weights=seen[:, s], minlength=CLASSES + 1)[:CLASSES]
+        out[:CLASSES, s] = np.bincount(x, weights=gamma[:, s], minlength=CLASSES)
     out[CLASSES : CLASSES + k] = moves * model.move
-    out[CLASSES + k] = gamma[real_start].sum(0)
+    out[CLASSES + k] = gamma[: len(order)].sum(0)
     return out
 
 

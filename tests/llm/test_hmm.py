@@ -96,6 +96,35 @@ def test_expected_counts_equal_enumeration():
     np.testing.assert_allclose(got, want, atol=1e-4)
 
 
+def test_expected_counts_of_long_documents_are_whole():
+    rng = np.random.default_rng(3)
+    counts = hmm.Counts(10, 3, np.bincount([5, 5, 9, 11, 11, 11], minlength=hmm.CLASSES).astype(float), np.zeros(hmm.CLASSES))
+    model = hmm.Model.initial(counts, 3)
+    seqs = [rng.choice([5, 9, 11], n) for n in (700, 1, 129, 128, 400, 3)]
+    want = np.zeros((hmm.CLASSES + 4, 3))
+    for s in seqs:
+        n = len(s)
+        alpha, beta = np.empty((n, 3)), np.ones((n, 3))
+        for t in range(n):
+            alpha[t] = (alpha[t - 1] @ model.move if t else model.start) * model.emit[s[t]]
+            alpha[t] /= alpha[t].sum()
+        for t in range(n - 1, 0, -1):
+            beta[t - 1] = model.move @ (model.emit[s[t]] * beta[t])
+            beta[t - 1] /= beta[t - 1].sum()
+        gamma = alpha * beta
+        gamma /= gamma.sum(1, keepdims=True)
+        np.add.at(want, s, gamma)
+        want[hmm.CLASSES + 3] += gamma[0]
+        for t in range(1, n):
+            xi = np.outer(alpha[t - 1], model.emit[s[t]] * beta[t]) * model.move
+            want[hmm.CLASSES : hmm.CLASSES + 3] += xi / xi.sum()
+    for order in (range(6), (3, 5, 0, 2, 4, 1)):
+        dealt = [seqs[i] for i in order]
+        got = hmm.expected(np.concatenate(dealt), np.concatenate([np.arange(len(s)) == 0 for s in dealt]), model)
+        np.testing.assert_allclose(got, want, rtol=1e-3, atol=1e-3)
+        np.testing.assert_allclose(got[hmm.CLASSES : hmm.CLASSES + 3].sum(), sum(len(s) - 1 for s in seqs), rtol=1e-4)
+
+
 def test_training_raises_held_out_likelihood(spark, docs):
     runs = [hmm.score_documents(docs, states=2, iterations=k).where("doc_id < 120").selectExpr("sum(score) s", "sum(base_score) b").first() for k in (0, 8)]
     assert runs[1].s > runs[0].s and runs[1].s > runs[1].b
