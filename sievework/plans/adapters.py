@@ -33,7 +33,7 @@ def urls(spark: SparkSession, sf: str) -> DataFrame:
 def raw(spark: SparkSession, sf: str) -> DataFrame:
     """urls with damaged and repeated variants; one pass over the table."""
     base = urls(spark, sf)
-    host = F.concat(F.upper(F.substring_index("url", "/", 3)), F.substring("url", F.length(F.substring_index("url", "/", 3)) + 1, 9999))
+    host = F.concat(F.upper(F.substring_index("url", "/", 3)), F.substring("url", F.length(F.substring_index("url", "/", 3)) + 1, F.length("url")))
     other = F.element_at(F.array(*map(F.lit, KINDS)), ((F.col("ord") + 1) % 3).cast("int") + 1)
     row = lambda k, test, url=F.col("url"), label=F.col("label"): F.when(test, F.struct(F.lit(k).alias("k"), url.alias("url"), label.alias("label")))
     every = lambda n: F.col("ord") % n == 0

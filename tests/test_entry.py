@@ -50,3 +50,10 @@ def test_domain_candidates_rank_all_hosts(spark, tmp_path):
     want = sorted(names, key=lambda h: hashlib.sha256(f"42|{h}".encode()).hexdigest())[:20]
     got = entry.queries()["src_cc_domains"](spark, str(tmp_path)).collect()
     assert {r.domain: r.ord for r in got} == {h: names[h] for h in want} and max(names[h] for h in want) >= 10_000
+
+
+def test_upper_cased_variants_keep_long_urls_whole(spark, tmp_path):
+    tails = {7: "a" * 12_000 + "x", 14: "a" * 12_000 + "y"}
+    spark.createDataFrame([(i, f"https://h.example.org/{t}", "") for i, t in tails.items()], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.url for r in entry.queries()["dedup_exact"](spark, str(tmp_path)).collect()}
+    assert {f"HTTPS://H.EXAMPLE.ORG/{t}" for t in tails.values()} <= got
