@@ -158,6 +158,31 @@ def guardrail_report(df: DataFrame, action: str = "action") -> DataFrame:
 
 
 def counterfactuals(decide: Callable[[Column], Column], df: DataFrame, evidence: Column) -> DataFrame:
-    """Rows that break an invariant: confirmed evidence must block, and a whitelist must not undo it."""
-    forced = df.withColumns({"feature__known_malicious": F.lit(1.0), "available__known_malicious": F.lit(True), "feature__whitelist_hit": F.lit(1.0), "available__whitelist_hit": F.lit(True)})
-    return forced.withColumn("_d", decide(evidence)).where(F.col("_d.action") != "BLOCK").drop("_d")
+    """Rows that break an invariant, with the names of those they break (violations).
+
+    Each row is decided anew with its intelligence and whitelist forced:
+    known_malicious_guardrail: confirmed evidence must block;
+    whitelist_risk: a whitelist without confirmed evidence must not raise the risk;
+    whitelist_override: with both, the whitelist must undo neither the block nor the danger;
+    unknown_not_safe: intelligence that is unavailable must not lower the risk below that of a clean answer.
+    """
+    hits = [n for n in ("urlhaus_hit", "threatfox_hit") if f"available__{n}" in df.columns]
+
+    def forced(rows: DataFrame, known: float | None, white: bool, out: str) -> DataFrame:
+        lookups = {"feature__known_malicious": F.lit(known or 0.0), "available__known_malicious": F.lit(known is not None)}
+        for n in hits:
+            lookups |= {f"feature__{n}": F.lit(0.0), f"available__{n}": F.lit(known is not None)}
+        return rows.withColumns(lookups | {"feature__whitelist_hit": F.lit(float(white)), "available__whitelist_hit": F.lit(white)}).withColumn(out, decide(evidence))
+
+    rows = df.select(F.struct("*").alias("_row"), "*")
+    for out, known, white in (("_clean", 0.0, False), ("_known", 1.0, False), ("_white", 0.0, True), ("_both", 1.0, True), ("_unknown", None, False)):
+        rows = forced(rows, known, white, out)
+    risk = lambda name: F.array_position(F.array(*map(F.lit, RISKS)), F.col(f"{name}.risk"))
+    broken = {
+        "known_malicious_guardrail": F.col("_known.action") != "BLOCK",
+        "whitelist_risk": risk("_white") > risk("_clean"),
+        "whitelist_override": (F.col("_both.action") != "BLOCK") | (F.col("_both.risk") != "DANGEROUS"),
+        "unknown_not_safe": risk("_unknown") < risk("_clean"),
+    }
+    names = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in broken.items()]))
+    return rows.select("_row.*", names.alias("violations")).where(F.size("violations") > 0)

@@ -77,6 +77,27 @@ def test_policies(spark):
         policy.decide_v2(ev, 0.9, 0.1)
 
 
+def test_counterfactuals_name_each_broken_invariant(spark):
+    df = decisions(spark, [c for c, *_ in V2])
+    ev = policy.evidence_count(set(df.columns))
+    decided = lambda risk, action: F.struct(F.lit(risk).alias("risk"), F.lit(action).alias("action"), F.lit("r").alias("reason"))
+    known, white = policy.flag("known_malicious"), policy.flag("whitelist_hit")
+    danger, safe, unsure = decided("DANGEROUS", "BLOCK"), decided("SAFE", "ALLOW"), decided("SUSPICIOUS", "REVIEW")
+    policies = {
+        "known_malicious_guardrail": lambda e: F.when(known & white, danger).otherwise(unsure),
+        "whitelist_risk": lambda e: F.when(known | white, danger).otherwise(unsure),
+        "whitelist_override": lambda e: F.when(known & white, decided("SUSPICIOUS", "BLOCK")).when(known, danger).otherwise(unsure),
+        "unknown_not_safe": lambda e: F.when(known, danger).when(~policy.available("known_malicious"), safe).otherwise(unsure),
+    }
+    for name, decide in policies.items():
+        got = policy.counterfactuals(decide, df, ev)
+        assert got.columns == [*df.columns, "violations"]
+        assert [r.violations for r in got.collect()] == [[name]] * len(V2)
+        assert got.drop("violations").exceptAll(df).count() == 0
+    for decide in (policy.decide_v1, policy.decide_v2):
+        assert policy.counterfactuals(decide, df, ev).count() == 0
+
+
 def test_intel_lattice(spark):
     feed = spark.createDataFrame([("urlhaus", " Evil.COM. ", "t2", 2), ("urlhaus", "evil.com", "t1", 1), ("threatfox", "192.0.2.1", "t3", 3), ("threatfox", "", "t", 4)], "provider string, indicator string, timestamp string, ord int")
     index = intel.build_index(feed)
