@@ -31,7 +31,8 @@ DIMENSIONS = 4096
 SAMPLE_PER_LANGUAGE = 600
 SAMPLE_ROWS = 6000
 UNDETERMINED = "und"
-MIN_SCORE = 0.3
+#: Of texts of a language left out of training about 3 % reach it; under 1 % of whole texts of learned ones do not.
+MIN_SCORE = 0.7
 
 #: Families of related languages; a language that is not listed is a family of its own.
 FAMILIES = {
@@ -202,7 +203,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of docs whose language is determined with at least min_score, with all their columns."""
+    """The rows of docs whose language is determined with at least min_score, with all their columns.
+
+    With one learned language there is no margin to score by, so every text with a letter stays.
+    """
+    if sum(len(m.names) for m in model.within.values()) == 1:
+        min_score = 0.0
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,3 +55,17 @@ def test_held_out_accuracy(spark):
         pytest.skip("no tables")
     got = langid.op9_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").where("held_out").collect()
     assert np.mean([r.lang_pred == r.lang for r in got]) > 0.95
+
+
+def test_unlearned_language_goes_and_learned_ones_stay(spark):
+    words = {"en": "the and of with house water which street", "de": "der und von mit haus wasser welche strasse", "fr": "le et de avec maison eau quelle rue", "es": "el y con casa agua cual calle pero"}
+    rng = np.random.default_rng(5)
+    text = lambda lang: " ".join(rng.choice(words[lang].split(), 40))
+    learned = [(i, text(lang), lang) for i, lang in enumerate(["en", "de", "fr"] * 60)]
+    schema = "doc_id long, text string, lang string"
+    model = langid.train(spark.createDataFrame(learned, schema))
+    fresh = [(1000 + i, text(lang), lang) for i, lang in enumerate(["en", "de", "fr", "es"] * 25)]
+    kept = [r.lang for r in langid.keep_identified(spark.createDataFrame(fresh, schema), model).collect()]
+    assert kept.count("es") <= 3 and all(kept.count(lang) >= 23 for lang in ("en", "de", "fr"))
+    one = langid.train(spark.createDataFrame([r for r in learned if r[2] == "en"], schema))
+    assert langid.keep_identified(spark.createDataFrame(fresh, schema), one).count() == len(fresh)
