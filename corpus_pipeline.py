@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns a DataFrame; all
 but the last return the columns of documents. A stage's model is fitted on the rows that it is given.
 
-Defined results: a row without an id takes part in the quality and language stages and goes in the near-duplicate
-stage, as it cannot stand for its group; of rows that repeat an id one stays.
+Defined results: rows without an id take part in all stages, and one stays of a group of near-duplicates in which no
+row has one; rows that repeat an id with different texts stay each; null and empty texts have no letter and go.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from sievework.llm.common import materialize, table
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose quality score is 0.7 or more; labels of sf_dir train the score."""
-    model = quality.train(quality.statistics_of(docs), table(spark, sf_dir, "labels"))
-    return quality.keep_good(docs, model)
+    beside = materialize(quality.beside_rows(docs), "statistics")
+    return quality.keep_scored(beside, quality.train(beside, table(spark, sf_dir, "labels")))
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under the one that the cluster names in spark.checkpoint.dir, as a URI.
 
-    Where that is unset (tests on one machine), a temporary folder takes its place for the session.
+    Where that is unset, a temporary folder takes its place for the session, on one machine (local mode) only.
     """
     top = spark.conf.get(CHECKPOINT_KEY, None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="sievework-")
         spark.conf.set(CHECKPOINT_KEY, top)
     return f"{top.rstrip('/')}/sievework-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
@@ -138,27 +140,49 @@ def tiles(rows: DataFrame, keys: list[str], member: str, limit: int) -> DataFram
     return dealt.withColumns({"lo_": F.least("blk_", "with_"), "hi_": F.greatest("blk_", "with_")}).drop("blocks_", "with_")
 
 
+#: A key is hot if it holds over one in so many rows, so there are at most so many hot keys to broadcast.
+HOT_SHARE = 1000
+
+
+def meet(rows: DataFrame, side: DataFrame, keys: list[str], hot: Column) -> DataFrame:
+    """rows joined with side, which has one row per key, so that no hot key's rows meet in one task.
+
+    Rows of hot keys stay where they are and meet side by a broadcast, the others by a shuffle. hot is a condition on
+    side's columns that holds for at most HOT_SHARE keys, such as a count above one in HOT_SHARE of all rows. Rows
+    of other keys, and those with a null key, go.
+    """
+    few = F.broadcast(side.where(hot))
+    rest = rows.join(few.select(*keys), keys, "left_anti").join(side.where(~hot), keys)
+    return rows.join(few, keys).unionByName(rest)
+
+
+def lowest_by(rows: DataFrame, key: str, value: Column, out: str, total: int) -> DataFrame:
+    """rows (total of them at most) with the least value of their key in column out."""
+    lowest = rows.groupBy(key).agg(F.min(value).alias(out), F.count(F.lit(1)).alias("n_"))
+    return meet(rows, lowest, [key], F.col("n_") * HOT_SHARE > total).drop("n_")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of undirected links (a long, b long), without collecting links: rows (node, component).
 
     component is the smallest node that links reach. Large-star and small-star steps alternate until nothing
-    changes; each step is written to the shared folder, which cuts lineage. Nodes without links do not appear.
+    changes; each step is written to the shared folder, which cuts lineage. The centre of a large star is a hot key,
+    so its links meet its least neighbour by a broadcast. Nodes without links do not appear.
     """
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = materialize(links, "links")
-    previous = None
+    total, previous = links.count(), None
     for _ in range(max_rounds):
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        links = materialize(small.select("e.*").where("u <> v").distinct(), "links")
-        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == previous:
+        large = lowest_by(both, "u", F.least("u", "v"), "m", 2 * total).where("v > u")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = lowest_by(large, "u", F.col("v"), "m", 2 * total)
+        small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
+        links = materialize(small.where("u <> v").distinct(), "links")
+        state = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == previous:
             break
-        previous = tuple(state)
+        total, previous = state[0], state
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     members = links.select(F.col("u").alias("node"), F.col("v").alias("component"))

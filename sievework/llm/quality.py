@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import materialize, table
 
@@ -148,16 +149,34 @@ def classify(stats: DataFrame, model: Discriminant, threshold: float = THRESHOLD
     return stats.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
-def keep_good(docs: DataFrame, model: Discriminant, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def beside_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row_ (all columns of docs), doc_id and the statistics of every row; written, they serve training and filtering."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.array([statistics(t.as_py()) for t in batch.column(2)], np.float64).reshape(batch.num_rows, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(values[:, k]) for k in range(len(FEATURES)))], ["row_", "doc_id", *FEATURES])
+
+    rows = docs.select(F.struct("*").alias("row_"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    schema = StructType([*rows.schema.fields[:2], *(StructField(f, DoubleType()) for f in FEATURES)])
+    return rows.mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose whole text scores at least the threshold, with all their columns."""
-    at = docs.columns.index(text_col)
+    return keep_scored(beside_rows(docs), model, threshold)
+
+
+def keep_scored(beside: DataFrame, model: Discriminant, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of beside_rows that score at least the threshold, with all their columns."""
+    wanted = beside.select("row_", *FEATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([statistics(t.as_py()) for t in batch.column(at)]).reshape(batch.num_rows, len(FEATURES))
-            yield batch.filter(pa.array(model.scores(x) >= threshold))
+            x = np.column_stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(len(FEATURES))])
+            yield batch.select([0]).filter(pa.array(model.scores(x) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return wanted.mapInArrow(run, StructType(wanted.schema.fields[:1])).select("row_.*")
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:

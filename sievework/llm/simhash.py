@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
-from .common import connected_components, materialize, star_edges, table, tiles, unite, whole_groups
+from .common import HOT_SHARE, connected_components, lowest_by, materialize, meet, star_edges, table, tiles, unite, whole_groups
 
 WORDS = 4
 DISTANCE = 4
@@ -61,16 +62,17 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, carried: dict[str, str] | None = None) -> DataFrame:
+    """(doc_id, fp) of every row, and the carried columns (name: type); fp is the fingerprint as a signed long."""
+    carried = carried or {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made), *batch.columns[2:]], ["doc_id", "fp", *carried])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carried)
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *map(" ".join, carried.items())]))
 
 
 def signed(mask: int) -> int:
@@ -154,22 +156,39 @@ def links(points: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> Data
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def rooted(prints: DataFrame, first: Column, distance: int = DISTANCE) -> DataFrame:
+    """prints with component_: the least value of first in the component of their fingerprint fp."""
+    points = materialize(prints.groupBy("fp").agg(F.min(first).alias("first_"), F.count(F.lit(1)).alias("copies_")), "points")
+    rows, texts = points.agg(F.coalesce(F.sum("copies_"), F.lit(0)), F.count(F.lit(1))).first()
+    found = connected_components(links(points.select("fp"), distance)).withColumnsRenamed({"node": "fp", "component": "root_"})
+    roots = materialize(points.join(found, "fp", "left").withColumn("root_", F.coalesce("root_", "fp")), "roots")
+    whole = lowest_by(roots, "root_", F.col("first_"), "component_", texts)
+    return meet(prints, whole.select("fp", "component_", "copies_"), ["fp"], F.col("copies_") * HOT_SHARE > rows).drop("copies_")
+
+
 def components(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id) of every row of fingerprints()."""
-    points = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_")), "points")
-    found = connected_components(links(points.select("fp"), distance)).withColumnsRenamed({"node": "fp", "component": "root_"})
-    rooted = points.join(found, "fp", "left").withColumn("root_", F.coalesce("root_", "fp"))
-    lowest = rooted.groupBy("root_").agg(F.min("first_").alias("component_id"))
-    return prints.join(rooted.select("fp", "root_").join(lowest, "root_").drop("root_"), "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates: that with the smallest doc_id. Rows without an id go."""
-    prints = materialize(fingerprints(docs), "prints")
-    heads = components(prints).select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi")
-    by = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("row_", F.row_number().over(by)).where("row_ = 1").select(*docs.columns)
+    return rooted(prints, F.col("doc_id"), distance).select("doc_id", "fp", F.col("component_").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: that with the smallest id.
+
+    A group without ids keeps one of its rows too. Of rows that repeat id and text, which are one group, one stays,
+    the same in every run where their other columns of plain types tell them apart. Rows that repeat an id with
+    texts that are not near stay each.
+    """
+    # Rows of one id and text are told from others by a hash, so that the text itself need not travel for it.
+    keys = {"id_": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "hash_": F.xxhash64(F.col(text_col).cast("string"))}
+    prints = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[c.alias(n) for n, c in keys.items()])
+    prints = materialize(fingerprints(prints, carried={"id_": "long", "hash_": "long"}), "prints")
+    head = F.struct(F.col("doc_id").isNull(), "id_", "hash_")
+    heads = rooted(prints, head).select(F.col("component_.id_"), F.col("component_.hash_")).distinct()
+    plain = [F.col(f"row_.`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (ArrayType, MapType, StructType, VariantType))]
+    by = Window.partitionBy("id_", "hash_").orderBy(F.col(f"row_.`{id_col}`").isNull(), F.xxhash64(*plain))
+    rows = docs.select(F.struct("*").alias("row_"), *[c.alias(n) for n, c in keys.items()])
+    first = rows.withColumn("at_", F.row_number().over(by)).where("at_ = 1")
+    return first.join(heads, ["id_", "hash_"], "left_semi").select("row_.*")
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

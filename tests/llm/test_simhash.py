@@ -3,9 +3,10 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sievework.llm import simhash
-from sievework.llm.common import connected_components
+from sievework.llm.common import connected_components, meet
 
 
 def slow_fingerprint(text):
@@ -94,10 +95,61 @@ def test_components(spark):
     assert sorted(((r.doc_id, r.component_id) for r in got), key=key) == want
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(least.values()))
+    alone = [t for i, t in rows if i is None and comp[slow_fingerprint(t)] not in least]
+    assert sorted((r.doc_id for r in kept.collect() if r.doc_id is not None)) == sorted(set(least.values()))
+    assert [r.text for r in kept.collect() if r.doc_id is None] == alone
     assert simhash.components(simhash.fingerprints(docs.limit(0))).count() == 0
 
 
+def brute_keep(rows):
+    """For each component of (id, text) rows the one that stays: that with the smallest id, any where none has one."""
+    prints = [slow_fingerprint(t) for _, t in rows]
+    comp = brute_components(sorted(set(prints)), lambda a, b: (a ^ b).bit_count() <= 4)
+    groups = {}
+    for (i, t), p in zip(rows, prints):
+        groups.setdefault(comp[p], []).append((i, t))
+    return list(groups.values())
+
+
+def test_keep_first_drops_only_near_duplicates(spark):
+    base = "one two three four five six seven eight nine ten " * 30
+    other = "a wholly different text that stands for itself alone here"
+    third = "and yet another one of which nothing is shared with any"
+    rows = [(1, base), (1, other), (None, third), (None, third), (None, base), (7, base + "eleven"), (8, third), (9, "x " * 400), (9, "x " * 400), (9, "x " * 400), (None, "unique words without any id to name them"), (-1, "unique words without any id to name them"), (3, None), (4, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "clash", [1], {"k": 1}, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, id_ string, hash_ array<int>, row_ map<string,int>, k int")
+    kept = simhash.keep_first(docs.repartition(3))
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    groups = brute_keep(rows)
+    assert len(got) == len(groups)
+    for group in groups:
+        ids = [i for i, _ in group if i is not None]
+        mine = [g for g in got if g in group]
+        assert len(mine) == 1 and mine[0][0] == (min(ids) if ids else None)
+    again = [(r.doc_id, r.text, r.k) for r in simhash.keep_first(docs.repartition(7, "k")).collect()]
+    assert sorted(again, key=str) == sorted(((r.doc_id, r.text, r.k) for r in kept.collect()), key=str)
+    assert simhash.keep_first(docs.limit(0)).count() == 0
+
+
+def test_component_of_half_the_rows(spark):
+    """The centre of a large star is a hot key: above one in HOT_SHARE of the links."""
+    edges = [(0, 10 + k) for k in range(3000)] + [(10 + 7 * k, 20_000 + k) for k in range(300)] + [(50_000 + 2 * k, 50_001 + 2 * k) for k in range(2500)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {n: 0 for a, b in edges[:3300] for n in (a, b)} | {n: a for a, b in edges[3300:] for n in (a, b)}
+    assert got == want
+    texts = [(k, "the same text again and again in many rows") for k in range(2000)] + [(5000 + k, f"text {k} of its own {k * 7} words {k * 13}") for k in range(300)]
+    prints = simhash.fingerprints(spark.createDataFrame(texts, "doc_id long, text string"))
+    found = {r.doc_id: r.component_id for r in simhash.components(prints).collect()}
+    assert len(found) == len(texts) and all(found[k] == 0 for k in range(2000))
+
+
+def test_meet_joins_each_row_once(spark):
+    rows = spark.createDataFrame([(k % 7 if k % 2 else 0, k) for k in range(200)] + [(None, -1), (99, -2)], "k long, v int")
+    side = spark.createDataFrame([(k, k == 0, k * 10) for k in range(7)], "k long, hot boolean, w int")
+    got = sorted((r.k, r.v, r.w) for r in meet(rows, side, ["k"], F.col("hot")).collect())
+    assert got == sorted((k % 7 if k % 2 else 0, k, (k % 7 if k % 2 else 0) * 10) for k in range(200))
+
+
 def test_connected_components(spark):
     rng = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(7, 7)]
