@@ -4,27 +4,26 @@ Whole texts become hashed byte n-gram profiles (lengths 1 to 3, letters only, lo
 frequencies of unit length). Linear support vector machines first choose the language family; one-versus-one
 machines inside that family then separate its languages by votes, and summed margins break ties. The machines are
 fitted on the driver from a bounded sample: at most SAMPLE_PER_LANGUAGE rows of each language and SAMPLE_ROWS
-rows in all, those with the smallest hashes of their ids. Prediction covers all rows and whole texts.
+rows in all, those with the smallest hashes of id and text. Prediction covers all rows and whole texts.
 
-Defined results: a null text or one without a letter gets `und` and score 0; without training rows everything is
-`und`; with one learned language every text with a letter gets it with score 0.5; rows with a null language or
-null id are not learned from; repeated rows are predicted alike; an empty table gives no rows. Only the named
-columns are read.
+Defined results: a null text or one without a letter (Unicode's L, for training and prediction alike) gets `und` and
+score 0; without training rows everything is `und`; with one learned language every text with a letter gets it with
+score 0.5; rows with a null language or null id are not learned from; rows that repeat id and text count once in the
+sample; repeated rows are predicted alike; an empty table gives no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 from .quality import held_out
 
 DIMENSIONS = 4096
@@ -42,7 +41,6 @@ FAMILIES = {
     "uralic": ("fi", "et", "hu"),
 }
 _FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
-_LETTER = re.compile(r"[^\W\d_]")
 _TO_SPACE = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint32)
 
 
@@ -141,12 +139,17 @@ class Model:
         return out.tolist(), sure
 
 
+def has_letter(text: Column) -> Column:
+    """Whether a text has a letter; false for null."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+
+
 def predict_texts(model: Model, texts: pa.Array, size: int = 128) -> tuple[list[str], np.ndarray]:
-    """Predictions for a column of whole texts, in small blocks that bound the matrix."""
+    """Predictions for a column of whole texts (null for those without a letter), in small blocks that bound the matrix."""
     langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
     for a in range(0, len(texts), size):
         block = [(a + k, t.as_py()) for k, t in enumerate(texts[a : a + size])]
-        block = [(i, t) for i, t in block if t and _LETTER.search(t)]
+        block = [(i, t) for i, t in block if t is not None]
         if block:
             found, sure = model.predict(np.array([profile(t) for _, t in block]))
             for (i, _), lang, s in zip(block, found, sure):
@@ -155,25 +158,38 @@ def predict_texts(model: Model, texts: pa.Array, size: int = 128) -> tuple[list[
 
 
 def sample(rows: DataFrame, per_language: int, total: int) -> DataFrame:
-    """At most per_language rows of each language, total in all: those with the smallest hashes of their ids."""
-    hashed = rows.withColumn("h_", F.xxhash64(F.col("doc_id").cast("string")))
-    keys = hashed.select("lang", "h_").distinct()
-    by = Window.partitionBy("lang").orderBy("h_")
-    ranked = keys.withColumn("r_", F.row_number().over(by)).where(F.col("r_") <= per_language)
-    cut = ranked.groupBy("lang").agg(F.sort_array(F.collect_list("h_")).alias("hs_"), F.count(F.lit(1)).alias("n_"))
-    each = max(1, total // max(1, ranked.select("lang").distinct().count()))
-    bounds = {r.lang: r.top for r in cut.select("lang", F.element_at("hs_", F.least(F.lit(each), F.col("n_")).cast("int")).alias("top")).collect()}
-    if not bounds:
+    """At most per_language rows of each language, total in all: those with the smallest hashes of id and text.
+
+    A hash's level is the number of its leading zero bits. Rows are counted by language and level first, which is an
+    aggregate of at most 64 rows a language, merged in map tasks; then only rows of a level that few rows reach are
+    looked at, so no task ranks a language's rows however many there are.
+    """
+    hashed = rows.withColumn("h_", F.xxhash64(F.col("doc_id").cast("string"), "text").bitwiseAND(F.lit((1 << 63) - 1)))
+    level = F.lit(63) - F.length(F.bin("h_"))
+    reached: dict[str, list[int]] = {}
+    for r in hashed.groupBy("lang", level.alias("level")).agg(F.approx_count_distinct("h_").alias("n")).collect():
+        reached.setdefault(r.lang, [0] * 64)[r.level] = r.n
+    if not reached:
         return rows.limit(0)
-    near = F.coalesce(*[F.when(F.col("lang") == lang, F.col("h_") <= top) for lang, top in bounds.items()], F.lit(False))
-    return hashed.where(near).dropDuplicates(["lang", "h_"]).drop("h_")
+    each = max(1, min(per_language, total // len(reached)))
+    # Counts are approximate, so the level is one that twice as many rows reach.
+    floors = {lang: max((k for k in range(64) if sum(n[k:]) >= 2 * each), default=0) for lang, n in reached.items()}
+    near = F.coalesce(*[F.when(F.col("lang") == lang, level >= k) for lang, k in floors.items()], F.lit(False))
+    found = hashed.where(near).groupBy("lang", "h_").agg(F.min(F.struct("doc_id", "text")).alias("row_"))
+    found = materialize(found.select("row_.*", "lang", "h_"), "sample")
+    hashes: dict[str, list[int]] = {}
+    for r in found.select("lang", "h_").collect():
+        hashes.setdefault(r.lang, []).append(r.h_)
+    tops = {lang: sorted(h)[:each][-1] for lang, h in hashes.items()}
+    near = F.coalesce(*[F.when(F.col("lang") == lang, F.col("h_") <= top) for lang, top in tops.items()], F.lit(False))
+    return found.where(near).drop("h_")
 
 
 def train(docs: DataFrame, modulus: int = 5, remainder: int = 0, per_language: int = SAMPLE_PER_LANGUAGE, total: int = SAMPLE_ROWS) -> Model:
     """Fit on labelled rows outside the held-out remainder."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id", modulus, remainder))
-    rows = rows.where(F.col("text").rlike(r"\p{L}"))
+    rows = rows.where(has_letter(F.col("text")))
 
     def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +197,7 @@ def train(docs: DataFrame, modulus: int = 5, remainder: int = 0, per_language: i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), batch.column(2)], ["doc_id", "profile", "lang"])
 
     found = sample(rows, per_language, total).mapInArrow(profiles, "doc_id long, profile binary, lang string").toArrow()
-    found = found.sort_by([("lang", "ascending"), ("doc_id", "ascending")])
+    found = found.sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("profile", "ascending")])
     if not len(found):
         return Model(None, {})
     x = np.array([np.frombuffer(p, np.float32) for p in found.column("profile").to_pylist()])
@@ -198,7 +214,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             langs, scores = predict_texts(model, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(has_letter(text), text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
@@ -216,7 +233,7 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = MIN_SCORE)
             langs, scores = predict_texts(model, batch.column(at))
             yield batch.filter(pa.array([lang != UNDETERMINED and s >= min_score for lang, s in zip(langs, scores)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(has_letter(F.col("text"))).mapInArrow(run, docs.schema)
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

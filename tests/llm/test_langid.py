@@ -1,5 +1,7 @@
 import os
 
+from itertools import combinations
+
 import numpy as np
 import pytest
 
@@ -69,3 +71,66 @@ def test_unlearned_language_goes_and_learned_ones_stay(spark):
     assert kept.count("es") <= 3 and all(kept.count(lang) >= 23 for lang in ("en", "de", "fr"))
     one = langid.train(spark.createDataFrame([r for r in learned if r[2] == "en"], schema))
     assert langid.keep_identified(spark.createDataFrame(fresh, schema), one).count() == len(fresh)
+
+
+def test_one_letter_rule(spark, docs):
+    """Number characters, marks and joiners are no letters; one letter of any script is enough."""
+    model = langid.train(docs, per_language=50)
+    none = ["½ ²", "Ⅷ", "١٢٣", "\u0301", "_", "①", "\u200d", " \n\t", "%$&"]
+    some = ["½ a", "ʰ", "漢", "ª", "Ω²"]
+    rows = [(k, t) for k, t in enumerate(none + some)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert all((got[k].lang_pred, got[k].score) == ("und", 0.0) for k in range(len(none)))
+    assert all(got[k].lang_pred in TEXT for k in range(len(none), len(rows)))
+    only = spark.createDataFrame([(1, "½ ²", "xx"), (2, "Ⅷ", "xx")], "doc_id long, text string, lang string")
+    assert langid.train(only).families is None
+    kept = langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string"), model, min_score=0.0)
+    assert {r.doc_id for r in kept.collect()} == set(range(len(none), len(rows)))
+
+
+def test_sample_does_not_depend_on_layout(spark):
+    rows = [(k % 40, f"text number {k}", "en" if k % 3 else "de") for k in range(900)] + [(5, "the same row", "en")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = (sorted(map(tuple, langid.sample(d, 25, 1000).collect())) for d in (docs.repartition(1), docs.repartition(6).orderBy("text")))
+    assert one == two and len(set(one)) == len(one)
+    assert [sum(r[2] == lang for r in one) for lang in ("de", "en")] == [25, 25]
+    few = [r.lang for r in langid.sample(docs.where("doc_id < 2"), 25, 1000).collect()]
+    there = [lang for _, _, lang in {r for r in rows if r[0] < 2}]
+    assert all(few.count(lang) == min(25, there.count(lang)) for lang in ("de", "en"))
+    assert len(langid.sample(docs, 25, 6).collect()) == 6
+
+
+def test_train_svm_reaches_the_optimum():
+    """Against plain gradient descent on the squared hinge with the same weights of classes and the same cost."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(0.6, 1, (60, 5)), rng.normal(-0.6, 1, (25, 5))]).astype(np.float32)
+    y = np.array([1.0] * 60 + [-1.0] * 25)
+    w = langid.train_svm(x, y, epochs=400)
+    full = np.hstack([x, np.ones((85, 1))]).astype(np.float64)
+    weight = np.where(y > 0, 85 / 120, 85 / 50)
+    loss = lambda v: 0.5 * v @ v + (weight * np.maximum(0, 1 - y * (full @ v)) ** 2).sum()
+    v = np.zeros(6)
+    for _ in range(20_000):
+        slack = np.maximum(0, 1 - y * (full @ v))
+        v -= 1e-3 * (v - 2 * full.T @ (weight * slack * y))
+    assert abs(loss(w.astype(np.float64)) - loss(v)) < 1e-3 * loss(v)
+
+
+def test_votes_equal_brute_force():
+    rng = np.random.default_rng(6)
+    names = ("a", "b", "c", "d")
+    pairs = tuple(combinations(range(4), 2))
+    machines = langid.Machines(names, pairs, rng.normal(size=(4, 6)).astype(np.float32))
+    x = rng.normal(size=(300, 3)).astype(np.float32)
+    got, sure = machines.choose(x)
+    ties = 0
+    for row, k, s in zip(x, got, sure):
+        margin = {p: float(row @ machines.weights[:3, n] + machines.weights[3, n]) for n, p in enumerate(pairs)}
+        votes = [sum((m > 0) == (p[0] == i) for p, m in margin.items() if i in p) for i in range(4)]
+        total = [sum(m if p[0] == i else -m for p, m in margin.items() if i in p) for i in range(4)]
+        best = [i for i in range(4) if votes[i] == max(votes)]
+        ties += len(best) > 1
+        want = max(best, key=lambda i: total[i])
+        least = min(m if p[0] == want else -m for p, m in margin.items() if want in p)
+        assert k == want and s == pytest.approx(1 / (1 + np.exp(-4 * least)), rel=1e-4)
+    assert ties > 10
