@@ -1,15 +1,17 @@
 """Embedding near-duplicates by int8 tile products with rigorous error bounds.
 
-Rows are compared within a label by cosine in double precision. Equal vectors of a label are one member with a
-multiplicity. Each member's unit vector is quantised to 8 bits with its own step; the products of two tiles of
-codes are exact integers (they stay below 2**24, so a single-precision matrix product gives them exactly). With
-x = s*q + e and y = t*r + f the true cosine is within |e|*|y'| + |f|*|x'| + |e||f| of s*t*(q.r), where the error
-norms are measured per vector. Only pairs that this interval does not rule out are computed again in double
-precision from the original components, so no pair is lost and none below the threshold is linked.
+Rows are compared within a label by cosine in double precision. Equal vectors of a label (by a 128-bit hash) are one
+member with a multiplicity. Each member's unit vector is quantised once to 8 bits with its own step; the products of
+two tiles of codes are exact integers (they stay below 2**24, so a single-precision matrix product gives them
+exactly). With x = s*q + e and y = t*r + f the true cosine is within |e|*|y'| + |f|*|x'| + |e||f| of s*t*(q.r), where
+the error norms are measured per vector. Pairs that lie above the threshold with the whole interval are linked, those
+below it are not, and only the others are computed again in double precision from the original components.
 
 Members of a label are dealt into blocks, and pairs of blocks into tiles, so that a hot label spreads over many
-tasks. A tile hands on link counts per member and a star of links per component, never pairs. Work within a label
-grows with the square of its distinct vectors; that is the cost of exact comparison at any angle.
+tasks. What travels to tiles is codes, steps and error norms; the double vectors are fetched only for members of a
+tile that have an unsure pair there. A tile hands on link counts per member and a star of links per component, never
+pairs. Work within a label grows with the square of its distinct vectors; that is the cost of exact comparison at any
+angle.
 
 Defined results: a null label, or a vector that is null, empty, zero or holds null or non-finite components links
 with nothing and is its own component; vectors of different lengths do not link; rows that repeat an id are
@@ -26,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, sorted_groups, star_edges, table, tiles
+from .common import HOT_SHARE, connected_components, lowest_by, materialize, meet, sorted_groups, table, tiles, unite
 
 THRESHOLD = 0.98
 TILE = 4096
+#: The interval's ends are trusted beyond so much only, for the rounding of the bound itself.
+MARGIN = 1e-9
 
 
 def usable(vector: Column) -> Column:
@@ -46,88 +50,146 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes.astype(np.float32), step, error * (1 + 1e-9) + 1e-12
 
 
-def linked(x: np.ndarray, y: np.ndarray | None, threshold: float, size: int = 512) -> Iterator[tuple[int, np.ndarray]]:
-    """(row of x, rows of y, or later rows of x without y) whose double-precision cosine reaches threshold."""
-    same, y = y is None, x if y is None else y
-    norm_x, norm_y = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-    qx, sx, ex = quantise(x / norm_x[:, None])
-    qy, sy, ey = (qx, sx, ex) if same else quantise(y / norm_y[:, None])
-    exact = x.shape[1] * 127 * 127 < 1 << 24
-    if not exact:
-        qx, qy = qx.astype(np.float64), qy.astype(np.float64)
-    for a in range(0, len(x), size):
-        for b in range(a if same else 0, len(y), size):
-            rows, cols = slice(a, a + size), slice(b, b + size)
-            product = qx[rows] @ qy[cols].T
-            slack = ex[rows, None] * (1 + ey[None, cols]) + ey[None, cols] * (1 + ex[rows, None])
-            near = product * (sx[rows, None] * sy[None, cols]) + slack >= threshold - 1e-9
-            if same and a == b:
-                near = np.triu(near, 1)
-            hit_rows, hit_cols = np.nonzero(near)
-            if not len(hit_rows):
-                continue
-            i, j = hit_rows + a, hit_cols + b
-            ok = np.empty(len(i), bool)
-            for k in range(0, len(i), 65536):
-                u, v = i[k : k + 65536], j[k : k + 65536]
-                ok[k : k + 65536] = np.einsum("ij,ij->i", x[u], y[v]) / (norm_x[u] * norm_y[v]) >= threshold
-            i, j = i[ok], j[ok]
-            cuts = np.flatnonzero(np.diff(i)) + 1
-            for part_i, part_j in zip(np.split(i, cuts), np.split(j, cuts)):
-                if len(part_i):
-                    yield int(part_i[0]), part_j
+def matrix(vectors: pa.ListArray, width: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def tile_links(members: DataFrame, threshold: float, tile: int) -> DataFrame:
-    """Rows (node, n, other): n counts links found for node in a tile; other is its star's centre, if another."""
-    keys = ["group_", "lo_", "hi_"]
-    dealt = tiles(members.withColumn("group_", F.xxhash64("label", F.size("vector"))), ["group_"], "node", tile)
-    dealt = dealt.select(*keys, "blk_", "node", "copies", "label", "vector")
+def with_codes(members: DataFrame) -> DataFrame:
+    """Add width, codes (a byte per component), step and error of the column vector, which comes first."""
+    names = ["width", "codes", "step", "error"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, lo, hi), rows in sorted_groups(batches, keys):
-            labels, lengths = rows.column("label").to_numpy(), rows.column("vector").combine_chunks().value_lengths().to_numpy()
-            for label, width in sorted(set(zip(labels.tolist(), lengths.tolist()))):
-                part = rows.filter(pa.array((labels == label) & (lengths == width)))
-                nodes, copies, block = (part.column(c).to_numpy() for c in ("node", "copies", "blk_"))
-                data = part.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(nodes), width)
-                counts = np.zeros(len(nodes), np.int64)
-                first = np.flatnonzero(block == lo)
-                second = first if lo == hi else np.flatnonzero(block == hi)
-
-                def matches():
-                    for r, found in linked(data[first], None if lo == hi else data[second], threshold):
-                        i, js = int(first[r]), second[found]
-                        counts[i] += copies[js].sum()
-                        counts[js] += copies[i]
-                        yield i, js
-
-                root = star_edges(matches(), len(nodes))
-                far = (root != np.arange(len(nodes))) | (counts > 0)
-                if far.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(counts[far]), pa.array(nodes[root[far]])], ["node", "n", "other"])
-
-    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "node long, n long, other long")
+        for batch in batches:
+            vectors = batch.column(0)
+            widths = vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int32)
+            codes, step, error = np.empty(len(widths), object), np.empty(len(widths)), np.empty(len(widths))
+            for width in np.unique(widths).tolist():
+                mine = np.flatnonzero(widths == width)
+                x = matrix(vectors.take(pa.array(mine)), width)
+                q, step[mine], error[mine] = quantise(x / np.linalg.norm(x, axis=1)[:, None])
+                codes[mine] = [row.tobytes() for row in q.astype(np.int8)]
+            made = [pa.array(widths), pa.array(codes.tolist(), pa.binary()), pa.array(step), pa.array(error)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *names])
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema)
+    return members.mapInArrow(run, f"{kept}, width int, codes binary, step double, error double")
+
+
+def near_pairs(rows: pa.Table, block: np.ndarray, lo: int, hi: int, threshold: float, size: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, sure) in blocks: pairs of a tile's rows that the codes' bounds do not rule out, and which they prove."""
+    first = np.flatnonzero(block == lo)
+    second = first if lo == hi else np.flatnonzero(block == hi)
+    joined = b"".join(rows.column("codes").to_pylist())
+    codes = np.frombuffer(joined, np.int8).reshape(len(block), -1)
+    codes = codes.astype(np.float32 if codes.shape[1] * 127 * 127 < 1 << 24 else np.float64)
+    step, error = (rows.column(c).to_numpy() for c in ("step", "error"))
+    for a in range(0, len(first), size):
+        for b in range(a if lo == hi else 0, len(second), size):
+            i, j = first[a : a + size], second[b : b + size]
+            value = (codes[i] @ codes[j].T) * (step[i, None] * step[None, j])
+            slack = error[i, None] * (1 + error[None, j]) + error[None, j] * (1 + error[i, None])
+            near = value + slack >= threshold - MARGIN
+            if lo == hi and a == b:
+                near = np.triu(near, 1)
+            r, c = np.nonzero(near)
+            if len(r):
+                yield i[r], j[c], value[r, c] - slack[r, c] >= threshold + MARGIN
+
+
+class Found:
+    """Links of one tile's rows: their counts, and the first row of each row's component."""
+
+    def __init__(self, rows: pa.Table):
+        self.nodes, self.copies = rows.column("node").to_numpy(), rows.column("copies").to_numpy()
+        self.counts, self.root = np.zeros(len(rows), np.int64), np.arange(len(rows))
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        np.add.at(self.counts, i, self.copies[j])
+        np.add.at(self.counts, j, self.copies[i])
+        unite(self.root, i, j)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(node, links, its component's first node) of the rows that have links."""
+        linked = self.counts > 0
+        return self.nodes[linked], self.counts[linked], self.nodes[self.root[linked]]
+
+
+KEYS = ["group_", "lo_", "hi_"]
+LINKS = "node long, n long, other long"
+
+
+def tile_links(members: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """Rows (node, n, other): n counts links found for node in a tile; other is its star's centre."""
+    dealt = tiles(members.select(F.xxhash64("label", "width").alias("group_"), "node", "copies", "label", "width", "codes", "step", "error"), ["group_"], "node", tile)
+    dealt = dealt.select(*KEYS, "blk_", "node", "copies", "label", "width", "codes", "step", "error")
+    unsure_names = [*KEYS, "blk_"]
+
+    def parts(rows: pa.Table) -> Iterator[pa.Table]:
+        """A tile's rows of one label and width; there are several only where hashes of groups are the same."""
+        labels, widths = rows.column("label").to_numpy(), rows.column("width").to_numpy()
+        for label, width in sorted(set(zip(labels.tolist(), widths.tolist()))):
+            yield rows.filter(pa.array((labels == label) & (widths == width)))
+
+    def coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, lo, hi), whole in sorted_groups(batches, KEYS):
+            for rows in parts(whole):
+                found, open_ = Found(rows), np.zeros(len(rows), bool)
+                for i, j, sure in near_pairs(rows, rows.column("blk_").to_numpy(), lo, hi, threshold):
+                    found.add(i[sure], j[sure])
+                    open_[i[~sure]] = open_[j[~sure]] = True
+                nodes, n, other = found.rows()
+                again = rows.filter(pa.array(open_)).combine_chunks()
+                total = len(nodes) + len(again)
+                if total:
+                    links = [pa.array(np.concatenate([nodes, again.column("node").to_numpy()])), pa.array(np.append(n, np.zeros(len(again), np.int64))), pa.array(np.concatenate([other, again.column("node").to_numpy()]))]
+                    places = [pa.concat_arrays([pa.nulls(len(nodes), again.schema.field(c).type), *again.column(c).chunks]) for c in unsure_names]
+                    yield pa.RecordBatch.from_arrays([*links, *places], ["node", "n", "other", *unsure_names])
+
+    dealt = dealt.repartition(*KEYS).sortWithinPartitions(*KEYS)
+    first = materialize(dealt.mapInArrow(coarse, f"{LINKS}, group_ long, lo_ int, hi_ int, blk_ int"), "tiles")
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, lo, hi), whole in sorted_groups(batches, KEYS):
+            for rows in parts(whole):
+                x = matrix(rows.column("vector").combine_chunks(), rows.column("width")[0].as_py())
+                norm, found = np.linalg.norm(x, axis=1), Found(rows)
+                for i, j, sure in near_pairs(rows, rows.column("blk_").to_numpy(), lo, hi, threshold):
+                    i, j = i[~sure], j[~sure]
+                    for k in range(0, len(i), 65536):
+                        u, v = i[k : k + 65536], j[k : k + 65536]
+                        ok = np.einsum("ij,ij->i", x[u], x[v]) / (norm[u] * norm[v]) >= threshold
+                        found.add(u[ok], v[ok])
+                nodes, n, other = found.rows()
+                if len(nodes):
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(n), pa.array(other)], ["node", "n", "other"])
+
+    unsure = first.where("group_ is not null").select(*KEYS, "blk_", "node").join(members, "node")
+    unsure = unsure.select(*KEYS, "blk_", "node", "copies", "label", "width", "codes", "step", "error", "vector")
+    second = unsure.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(exact, LINKS)
+    return first.where("group_ is null").select("node", "n", "other").unionByName(second)
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of (vec_id, embedding, label)."""
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.col("label").cast("long").alias("label"))
     rows = rows.withColumn("links_", usable(F.col("vector")) & F.col("label").isNotNull())
-    alone = rows.where("not links_").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    able = rows.where("links_").withColumn("vector", F.transform("vector", lambda v: v + F.lit(0.0)))
-    able = able.withColumn("low_", F.xxhash64("label", "vector"))
-    members = able.groupBy("label", "vector").agg(F.min("vec_id").alias("first_"), F.count(F.lit(1)).alias("copies"), F.min("low_").alias("low_"))
-    members = materialize(members.withColumn("node", F.monotonically_increasing_id()), "members")
-    found = materialize(tile_links(members.select("node", "copies", "label", "vector"), threshold, tile), "tiles")
+    rows = rows.withColumn("vector", F.transform("vector", lambda v: v + F.lit(0.0)))
+    keys = {"low_": F.xxhash64("label", "vector"), "high_": F.xxhash64(F.lit("high"), "label", "vector")}
+    keyed = materialize(rows.select("vec_id", "links_", *[c.alias(n) for n, c in keys.items()]), "keys")
+    alone = keyed.where("not links_").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    able = keyed.where("links_").drop("links_")
+    members = rows.where("links_").withColumns(keys).groupBy("low_", "high_").agg(F.first("vector").alias("vector"), F.first("label").alias("label"), F.min("vec_id").alias("first_"), F.count(F.lit(1)).alias("copies"))
+    members = members.select("vector", "label", "low_", "high_", "first_", "copies", F.monotonically_increasing_id().alias("node"))
+    members = materialize(with_codes(members), "members")
+    found = materialize(tile_links(members, threshold, tile), "links")
     counts = found.groupBy("node").agg(F.sum("n").alias("others_"))
     comps = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b"))).withColumnsRenamed({"component": "root_"})
-    whole = members.join(counts, "node", "left").join(comps, "node", "left").withColumn("root_", F.coalesce("root_", "node"))
-    lowest = whole.groupBy("root_").agg(F.min("first_").alias("component_id"))
-    whole = whole.join(lowest, "root_").select("low_", "label", "vector", (F.coalesce("others_", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    linked_rows = able.join(whole, ["low_", "label", "vector"]).select("vec_id", "n_links", "component_id")
-    return linked_rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    whole = members.select("node", "low_", "high_", "first_", "copies").join(counts, "node", "left").join(comps, "node", "left")
+    whole = materialize(whole.select("low_", "high_", "first_", "copies", (F.coalesce("others_", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root_", "node").alias("root_")), "roots")
+    total, vectors = able.count(), whole.count()
+    whole = lowest_by(whole, "root_", F.col("first_"), "component_id", vectors).select("low_", "high_", "copies", "n_links", "component_id")
+    linked = meet(able, whole, ["low_", "high_"], F.col("copies") * HOT_SHARE > total).select("vec_id", "n_links", "component_id")
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op6_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
