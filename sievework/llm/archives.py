@@ -71,3 +71,26 @@ def listed(folder: str, suffix: str) -> list[tuple[str, int]]:
         return sorted(zip(found.column("path").to_pylist(), found.column("bytes").to_pylist()))
     infos = store.get_file_info(fs.FileSelector(top, recursive=True))
     return sorted((i.path.removeprefix(f"{top}/"), i.size) for i in infos if i.type == fs.FileType.File and i.path.endswith(suffix))
+
+
+#: Readers plan at most about so many partitions, however large the archives are in all.
+PARTITIONS = 20_000
+
+
+def planned(found: list[tuple[str, int]], step: int, cut: bool) -> list[list[tuple[str, int, int]]]:
+    """Partitions of (path, start, stop) that hold about step bytes, or more where there would be over PARTITIONS.
+
+    With cut, files are cut into byte ranges; else a partition holds whole files.
+    """
+    step = max(step, sum(size for _, size in found) // PARTITIONS)
+    out: list[list[tuple[str, int, int]]] = []
+    room = 0
+    for path, size in found:
+        for start in range(0, size, step) if cut else [0]:
+            stop = min(size, start + step) if cut else size
+            if not out or stop - start > room:
+                out.append([])
+                room = step
+            out[-1].append((path, start, stop))
+            room -= stop - start
+    return out

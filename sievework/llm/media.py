@@ -5,7 +5,8 @@ source plans byte ranges over the archives; a range's task reads the archive's d
 whose offsets fall in its range, so every member is read once wherever ranges are cut. Payloads stream on through
 Arrow in batches of bounded bytes. A member that cannot be read is tried again on its own, by its offset, on a
 newly opened file; after RETRIES the `errors` option decides: `fail` ends the query, `null` returns the member
-with a null payload and the error's text.
+with a null payload and the error's text. An archive whose directory cannot be read is opened again likewise, and
+then is one row with null member, offset and payload.
 
 Defined results: a null text is an empty one; an empty payload is padded to one row of samples; a null id is kept;
 repeated rows are members of their own; equal texts have equal media; an empty table writes no archive and reads
@@ -19,15 +20,16 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
-from typing import BinaryIO
+from typing import Any, BinaryIO
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .archives import listed, open_store, write_archives
+from .archives import listed, open_store, planned, write_archives
 from .common import shared_dir, table
 
 WIDTH = 576
@@ -106,18 +108,18 @@ def write_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     return folder
 
 
-class Range(InputPartition):
-    def __init__(self, archive: str, start: int, stop: int):
-        self.archive, self.start, self.stop = archive, start, stop
+class Ranges(InputPartition):
+    def __init__(self, ranges: list[tuple[str, int, int]]):
+        self.ranges = ranges
 
 
-def retried(read: Callable[[int], bytes], retries: int) -> tuple[bytes | None, str | None]:
-    """read(attempt) until it succeeds: (data, None), or (None, error) after so many attempts."""
+def retried(read: Callable[[int], Any], retries: int) -> tuple[Any, str | None]:
+    """read(attempt) until it succeeds: (what it gives, None), or (None, error) after so many attempts."""
     error = None
     for attempt in range(retries):
         try:
             return read(attempt), None
-        except (OSError, ValueError, zlib.error, zipfile.BadZipFile) as e:
+        except (OSError, EOFError, ValueError, NotImplementedError, struct.error, zlib.error, zipfile.BadZipFile) as e:
             error = f"{type(e).__name__}: {e}"
     return None, error
 
@@ -127,39 +129,60 @@ class MediaReader(DataSourceReader):
         self.folder, self.range_bytes, self.errors = folder, range_bytes, errors
 
     def partitions(self) -> list[InputPartition]:
-        step = self.range_bytes
-        found = [Range(path, a, min(size, a + step)) for path, size in listed(self.folder, ".zip") for a in range(0, size, step)]
-        return found or [Range("", 0, 0)]
+        return [Ranges(ranges) for ranges in planned(listed(self.folder, ".zip"), self.range_bytes, cut=True)] or [Ranges([])]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.archive:
-            return
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         store, top = open_store(self.folder)
-        path = f"{top}/{partition.archive}"
         schema = pa.schema([("member", pa.string()), ("archive", pa.string()), ("offset", pa.int64()), ("payload", pa.binary()), ("error", pa.string())])
         rows: list[tuple] = []
         held = 0
-        with store.open_input_file(path) as file, zipfile.ZipFile(file) as archive:
-            for info in archive.infolist():
-                if not partition.start <= info.header_offset < partition.stop:
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+
+        for archive, start, stop in partition.ranges:
+            for row in self.members(store, f"{top}/{archive}", archive, start, stop):
+                if row[3] is None and self.errors == "fail":
+                    raise OSError(f"{archive}, member at {row[2]}: {row[4]}")
+                rows.append(row)
+                held += len(row[3] or b"")
+                if held >= BATCH_BYTES:
+                    yield batch()
+                    rows, held = [], 0
+        if rows:
+            yield batch()
+
+    def members(self, store: fs.FileSystem, path: str, archive: str, start: int, stop: int) -> Iterator[tuple]:
+        """The members that begin in a range, as rows; an archive whose directory cannot be read is one row."""
+
+        def directory(_: int) -> tuple[pa.NativeFile, zipfile.ZipFile]:
+            file = store.open_input_file(path)
+            try:
+                return file, zipfile.ZipFile(file)
+            except BaseException:
+                file.close()
+                raise
+
+        opened, error = retried(directory, RETRIES)
+        if opened is None:
+            if start == 0 or self.errors == "fail":
+                yield None, archive, None, None, error
+            return
+        file, whole = opened
+        with file, whole:
+            for info in whole.infolist():
+                if not start <= info.header_offset < stop:
                     continue
 
                 def attempt(number: int) -> bytes:
                     if not number:
-                        return archive.read(info)
-                    with store.open_input_file(path) as again, zipfile.ZipFile(again) as fresh:
+                        return whole.read(info)
+                    again, fresh = directory(number)
+                    with again, fresh:
                         return fresh.read(next(i for i in fresh.infolist() if i.header_offset == info.header_offset))
 
                 data, error = retried(attempt, RETRIES)
-                if data is None and self.errors == "fail":
-                    raise OSError(f"{partition.archive}, member at {info.header_offset}: {error}")
-                rows.append((info.filename, partition.archive, info.header_offset, data, error))
-                held += len(data or b"")
-                if held >= BATCH_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
-                    rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+                yield info.filename, archive, info.header_offset, data, error
 
 
 class MediaSource(DataSource):
@@ -196,17 +219,20 @@ RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def measure(members: DataFrame) -> DataFrame:
-    """Digests and features of members, from the stored bytes."""
+    """Digests and features of members, from the stored bytes; a member that could not be read is a row of nulls."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for member, media in zip(batch.column(0).to_pylist(), batch.column(1)):
                 stored = media.as_py()
+                if stored is None:
+                    rows.append((None,) * len(kinds))
+                    continue
                 payload = from_png(stored)
                 name = member.rpartition("/")[2].removesuffix(".png")
                 rows.append((None if name == "null" else int(name), len(payload.rstrip(bytes([PAD]))), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature_of(np.frombuffer(payload, np.uint8))))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             cols = list(zip(*rows)) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [f.split()[0] for f in RESULT.split(", ")])
 

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull
 
-from .archives import listed, open_store, write_archives
-from .common import shared_dir, table
+from .archives import listed, open_store, planned, write_archives
+from .common import HOT_SHARE, shared_dir, table
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 32 << 20
@@ -77,9 +77,15 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     keyed = rows.withColumn("digest_", F.unhex(F.sha2("html", 256)))
     big = F.octet_length("html") >= min_bytes
-    first = keyed.where(big).groupBy("digest_").agg(F.min("page_id").alias("first_"), F.count(F.lit(1)).alias("n_"))
-    first = first.where("n_ > 1 and first_ is not null").drop("n_")
-    joined = keyed.join(first, "digest_", "left")
+    counts = keyed.where(big).groupBy("digest_").agg(F.min("page_id").alias("first_"), F.count(F.lit(1)).alias("n_"))
+    first = counts.where("n_ > 1 and first_ is not null")
+    # Payloads that a large share of the pages repeats are few; their pages do not travel, but meet their first page
+    # by a broadcast of at most HOT_SHARE rows.
+    hot = F.col("n_") * HOT_SHARE > pages.count()
+    few = F.broadcast(first.where(hot)).select("digest_", F.col("first_").alias("hot_"))
+    dealt = keyed.join(few, "digest_", "left")
+    rest = dealt.where("hot_ is null").drop("hot_").join(first.where(~hot).drop("n_"), "digest_", "left")
+    joined = rest.unionByName(dealt.where("hot_ is not null").withColumnRenamed("hot_", "first_"))
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_")), F.col("first_"))
     return joined.select("page_id", "url", "html", refers.alias("refers_to"))
 
@@ -184,7 +190,7 @@ def parsed(headers: dict[str, str]) -> dict:
 
 
 class Files(InputPartition):
-    def __init__(self, files: list[tuple[str, int]]):
+    def __init__(self, files: list[tuple[str, int, int]]):
         self.files = files
 
 
@@ -210,23 +216,14 @@ class WarcReader(DataSourceReader):
         return True
 
     def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        held: list[tuple[str, int]] = []
-        for path, size in listed(self.folder, ".warc.gz"):
-            if held and sum(s for _, s in held) + size > PARTITION_BYTES:
-                out.append(Files(held))
-                held = []
-            held.append((path, size))
-        if held:
-            out.append(Files(held))
-        return out or [Files([])]
+        return [Files(files) for files in planned(listed(self.folder, ".warc.gz"), PARTITION_BYTES, cut=False)] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         store, top = open_store(self.folder)
         schema = pa.schema([("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
         rows: list[dict] = []
         held = 0
-        for path, size in partition.files:
+        for path, _, size in partition.files:
             with store.open_input_file(f"{top}/{path}") as file:
                 for headers, record in Records(file, size):
                     row = parsed(headers)
@@ -273,9 +270,9 @@ def read_warc(spark: SparkSession, folder: str, payload: str = "true") -> DataFr
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
     folder = write_warc(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc")
-    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
-    full = read_warc(spark, folder, "verify").where("record_type = 'response'").select(*columns)
-    return full.unionByName(read_warc(spark, folder, "false").where("record_type = 'revisit'").select(*columns))
+    # One pass: responses are read whole and verified, revisits by their headers alone.
+    found = read_warc(spark, folder, "verify").where(F.col("record_type").isin("response", "revisit"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = f"""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import PythonException
 
 from sievework.llm import media
-from sievework.llm.archives import listed
+from sievework.llm.archives import listed, planned
 
 
 def rows():
@@ -71,6 +71,44 @@ def test_retry_by_member():
     assert media.retried(flaky, 2)[0] is None
 
 
+def test_damaged_directory_is_alone(spark, docs, tmp_path):
+    folder = media.write_media(docs.where("doc_id >= 100").repartition(3), f"file://{tmp_path}/m")
+    names = [path for path, _ in listed(folder, ".zip")]
+    with open(f"{tmp_path}/m/{names[0]}", "r+b") as file:
+        file.truncate(5000)
+    got = media.read_media(spark, folder, errors="null", rangeBytes="4000")
+    lost = [r for r in got.collect() if r.member is None]
+    assert [(r.archive, r.payload) for r in lost] == [(names[0], None)] and lost[0].error
+    whole = {r.archive for r in got.collect() if r.payload is not None}
+    assert whole == set(names[1:])
+    assert sum(r.doc_id is None for r in media.measure(got).collect()) == 1
+    with pytest.raises(PythonException):
+        media.read_media(spark, folder).collect()
+
+
+def test_a_short_member_is_tried_again():
+    def short(attempt):
+        if not attempt:
+            raise EOFError
+        return b"ok"
+
+    assert media.retried(short, 2) == (b"ok", None)
+
+
+def test_plans_cover_every_byte_once():
+    found = [(f"f{k}", size) for k, size in enumerate((5, 100, 1, 64, 33, 7))]
+    for step in (1, 10, 50, 1000):
+        for cut in (True, False):
+            plan = planned(found, step, cut)
+            pieces = sorted(p for part in plan for p in part)
+            for path, size in found:
+                mine = [(a, b) for f, a, b in pieces if f == path]
+                assert mine[0][0] == 0 and mine[-1][1] == size and all(x[1] == y[0] for x, y in zip(mine, mine[1:]))
+            assert all(sum(b - a for _, a, b in part) <= max(step, 0 if cut else 100) for part in plan)
+    assert len(planned([(f"f{k}", 1 << 30) for k in range(3000)], 8 << 20, True)) <= 22_000
+    assert planned([], 10, True) == []
+
+
 def test_empty(spark, docs, tmp_path):
     folder = media.write_media(docs.limit(0), f"file://{tmp_path}/m")
     assert media.measure(media.read_media(spark, folder)).count() == 0
