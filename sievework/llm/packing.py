@@ -212,7 +212,10 @@ def partitions_for(n: int, per_partition: int) -> int:
 
 
 def deal(items: DataFrame, n: int, number: int, per_partition: int) -> DataFrame:
-    return items.repartition(partitions_for(n, per_partition), F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(number)))
+    """Deal pieces by hash, and by their place in the table too, so that rows that repeat id and text part ways."""
+    dealt = items.withColumn("at_", F.monotonically_increasing_id())
+    dealt = dealt.repartition(partitions_for(n, per_partition), F.xxhash64("doc_id", "piece", "ids_crc32", "at_", F.lit(number)))
+    return dealt.drop("at_")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:

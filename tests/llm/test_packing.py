@@ -68,3 +68,56 @@ def test_pack_empty(spark, docs):
 def test_partitions():
     assert [packing.partitions_for(n, 16384) for n in (0, 1, 16385, 16384 * 5000, 1 << 32)] == [1, 1, 2, 4096, 16384]
     assert packing.partitions_for(40, 10) == 4
+
+
+def fewest_bins(lengths, capacity):
+    """The fewest bins of a few lengths, by trying all places of each."""
+    best = len(lengths)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best and k < len(lengths):
+            return
+        if k == len(lengths):
+            best = min(best, len(rooms))
+            return
+        for i in range(len(rooms)):
+            if rooms[i] >= lengths[k] and rooms[i] not in rooms[:i]:
+                place(k + 1, [*rooms[:i], rooms[i] - lengths[k], *rooms[i + 1 :]])
+        place(k + 1, [*rooms, capacity - lengths[k]])
+
+    place(0, [])
+    return best
+
+
+def test_bound_and_packing_against_the_optimum():
+    rng = np.random.default_rng(7)
+    met = 0
+    for _ in range(60):
+        cap = 30
+        lengths = np.sort(rng.integers(3, 22, rng.integers(2, 9)))[::-1]
+        least = fewest_bins(lengths.tolist(), cap)
+        bound = packing.lower_bound(np.bincount(lengths, minlength=cap + 1))
+        used = len(packing.best_fit(lengths, cap)[2])
+        assert bound <= least <= used <= least + 1
+        met += bound == used
+    assert met > 30
+
+
+def test_exchange_lowers_the_count(spark):
+    """Partitions that each leave room exchange their open bins' pieces and need fewer bins in all."""
+    rng = np.random.default_rng(8)
+    rows = [(k, 0, 0, int(n), 0) for k, n in enumerate(rng.integers(20, 60, 400))]
+    pieces = spark.createDataFrame(rows, packing.PIECES)
+    count = lambda rounds: packing.pack(pieces, 100, 10, rounds).select("sequence_id").distinct().count()
+    once, exchanged = count(1), count(4)
+    assert exchanged < once and exchanged >= packing.lower_bound(np.bincount([r[3] for r in rows], minlength=101))
+
+
+def test_repeated_rows_part_ways(spark):
+    same = spark.createDataFrame([(1, 0, 0, 40, 5)] * 2000, packing.PIECES)
+    sizes = packing.deal(same, 2000, 0, 100).mapInPandas(lambda it: ([b.groupby("doc_id", as_index=False).size() for b in it if len(b)]), "doc_id long, size long").collect()
+    assert sum(r["size"] for r in sizes) == 2000 and max(r["size"] for r in sizes) < 300
+    packed = packing.pack(same, 100, 100)
+    # Two of them fill a sequence, so that each partition may leave one sequence with a single piece.
+    assert packed.count() == 2000 and 1000 <= packed.select("sequence_id").distinct().count() <= 1020
