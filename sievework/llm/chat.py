@@ -286,14 +286,17 @@ def escaper(control: tuple[str, ...], escape: str) -> tuple[Callable[[str], str]
 def operate(op: str, args: list, escape: dict[str, Callable]):
     if op in escape:
         return escape[op](str(args[0]))
-    if op[0] == "|":
-        return _FILTERS[op[1:]](args[0])
     if op == "not":
         return not args[0]
-    a, b = args
-    if op == "+":
-        return a + b
-    return a == b if op == "==" else a != b if op == "!=" else a in b
+    try:
+        if op[0] == "|":
+            return _FILTERS[op[1:]](args[0])
+        a, b = args
+        if op == "+":
+            return a + b
+        return a == b if op == "==" else a != b if op == "!=" else a in b
+    except TypeError as e:
+        raise TemplateError(f"{op.lstrip('|')} does not apply to {', '.join(type(a).__name__ for a in args)}") from e
 
 
 def fold(node, escape: dict[str, Callable]):

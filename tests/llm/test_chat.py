@@ -67,3 +67,9 @@ def test_round_trip(spark):
     assert one.text == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\na\\1b<|im_end|>\n<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     assert [one.text[m.start : m.stop] for m in one.mask] == ["a\\1b", ""]
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
+
+
+def test_filters_on_wrong_types_are_template_errors():
+    for source in ("{{ 1 | upper }}", "{{ n | length }}", "{{ n + 'x' }}", "{{ 'x' in n }}"):
+        with pytest.raises(chat.TemplateError):
+            chat.Template(source).render([], n=3)
