@@ -2,52 +2,17 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .constants import CONFUSABLES, DIGRAPHS, MIN_ALIAS_LENGTH
+from .urls import wide
 
 _ASCII = {k: v for k, v in CONFUSABLES.items() if k.isascii()}
 
 
-def skeleton_one(text: str) -> str:
-    """One text in Python, for any characters."""
-    mapped = (CONFUSABLES.get(c, "" if unicodedata.combining(c) or not c.isalnum() else c) for c in unicodedata.normalize("NFKD", text).lower())
-    return "".join(mapped)
-
-
-@F.pandas_udf(T.StringType())
-def _skeleton_slow(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None else skeleton_one(v))
-
-
-@F.pandas_udf(T.StringType())
-def _idna_slow(values: pd.Series) -> pd.Series:
-    def decode(label: str | None) -> str | None:
-        try:
-            return None if label is None else ".".join(p.encode("ascii").decode("idna") if p.startswith("xn--") else p for p in label.split("."))
-        except UnicodeError:
-            return label
-
-    return values.map(decode)
-
-
-@F.pandas_udf(T.StringType())
-def label_skeletons(values: pd.Series) -> pd.Series:
-    """Decoded hosts with each run of letters and digits as its skeleton; dots stay, other characters become spaces."""
-
-    def run(host: str | None) -> str | None:
-        return None if host is None else ".".join(" ".join(map(skeleton_one, re.split(r"\W+", part.replace("_", " ")))) for part in host.split("."))
-
-    return values.map(run)
-
-
 def ascii_skeleton(value: Column) -> Column:
     """The skeleton of an ASCII text: lower case, look-alike digits mapped, other characters dropped."""
     mapped = F.translate(F.lower(value), "".join(_ASCII), "".join(_ASCII.values()))
@@ -55,15 +20,17 @@ def ascii_skeleton(value: Column) -> Column:
 
 
 def skeleton(value: Column) -> Column:
-    """The skeleton of any text; only texts with other than ASCII characters leave the JVM."""
-    wide = value.rlike("[^\\x00-\\x7F]")
-    return F.coalesce(_skeleton_slow(F.when(wide, value)), ascii_skeleton(value))
+    """The skeleton of any text: compatible characters decomposed, look-alikes mapped, all but letters and digits dropped."""
+    plain = F.lower(F.try_reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), value, F.lit(True)))
+    mapped = F.translate(plain, "".join(CONFUSABLES), "".join(CONFUSABLES.values()))
+    return F.when(wide(value), F.regexp_replace(mapped, "[^\\p{L}\\p{N}]", "")).otherwise(ascii_skeleton(value))
 
 
 def idna_decode(value: Column) -> Column:
-    """Punycode labels decoded; a text that cannot be decoded stays."""
-    coded = value.rlike("(^|\\.)xn--")
-    return F.coalesce(_idna_slow(F.when(coded, value)), value)
+    """Punycode labels decoded; a text of which a label cannot be decoded stays."""
+    coded = lambda c: c.rlike("(^|\\.)xn--")
+    decoded = F.try_reflect(F.lit("java.net.IDN"), F.lit("toUnicode"), value, F.lit(1))
+    return F.when(coded(value), F.when(coded(decoded), value).otherwise(decoded)).otherwise(value)
 
 
 def variants(base: Column) -> Column:
@@ -87,3 +54,10 @@ def tokens(value: Column, to_skeleton=ascii_skeleton) -> Column:
 
 def looks_confusable(value: Column) -> Column:
     return value.rlike("[^\\x00-\\x7F]|\\p{Nd}")
+
+
+def alias_variants(alias: str) -> list[str]:
+    """What variants and tokens make of a catalog alias (ASCII letters and digits), for literal tables."""
+    bare = "".join(_ASCII.get(c, c) for c in alias.lower() if c.isalnum())
+    made = {bare, *(bare.replace(*d) for d in DIGRAPHS), bare.replace(*DIGRAPHS[0]).replace(*DIGRAPHS[1])}
+    return sorted(v for v in made if len(v) >= MIN_ALIAS_LENGTH)

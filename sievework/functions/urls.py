@@ -1,33 +1,53 @@
 """URL expressions: scheme outcome, normalisation, public-suffix parts, host types, digests.
 
-Rows of plain ASCII without brackets stay in the JVM. Only rows with other characters or bracketed hosts (IDN,
-IPv6) pass an Arrow UDF; all other rows reach it as nulls.
+All of them run in the JVM. Where text is not ASCII, the Unicode normal forms and the IDNA encoding come from static
+methods of libraries that Spark ships, called by try_reflect on those rows only.
 """
 
 from __future__ import annotations
 
-import ipaddress
-import re
-import unicodedata
+from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .constants import MAX_URL_LENGTH, SUFFIX_RULES
 
 PARTS = ("original_url", "normalized_url", "scheme", "hostname", "port", "path", "query", "fragment", "subdomain", "domain", "suffix", "registrable_domain")
-_SPACE = "[\\x09-\\x0D\\x1C-\\x20]"
+#: All white space of Unicode, and the separators 0x1C to 0x1F.
+_SPACE = "[\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
+_WIDE = "[^\\x00-\\x7F]"
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4 = f"^{OCTET}(?:\\.{OCTET}){{3}}$"
-SLOW = T.StructType([T.StructField(n, T.IntegerType() if n == "port" else T.StringType()) for n in ("normalized_url", "scheme", "hostname", "port", "path", "query", "fragment")])
 
 
 def strip(value: Column) -> Column:
-    """Trim all ASCII white space, as well as the separators 0x1C to 0x1F."""
-    return F.regexp_replace(value, f"^{_SPACE}+|{_SPACE}+$", "")
+    """Trim all white space."""
+    return F.regexp_replace(value, f"\\A{_SPACE}+|{_SPACE}+\\z", "")
+
+
+def wide(value: Column) -> Column:
+    """Whether a text holds other than ASCII characters."""
+    return value.rlike(_WIDE)
+
+
+def composed(value: Column, compatible: bool = False) -> Column:
+    """The Unicode normal form NFC, or NFKC if compatible."""
+    return F.when(wide(value), F.try_reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), value, F.lit(compatible))).otherwise(value)
+
+
+def idna(host: Column) -> Column:
+    """The ASCII form of a host (IDNA 2003, as browsers' older forms have it); null where there is none."""
+    return F.when(wide(host), F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), host, F.lit(1))).otherwise(host)
+
+
+def is_ipv6(value: Column) -> Column:
+    """Whether a text without brackets is an IPv6 address, with or without a zone."""
+    group = "[0-9A-Fa-f]{1,4}"
+    body = F.regexp_replace(F.regexp_replace(value, "%[^%]+\\z", ""), f"(?<=:){OCTET}(?:\\.{OCTET}){{3}}\\z", "0:0")
+    short = body.rlike(f"\\A(?:{group}(?::{group})*)?::(?:{group}(?::{group})*)?\\z") & (F.regexp_count(body, F.lit("[0-9A-Fa-f]+")) <= 7)
+    return body.rlike(f"\\A{group}(?::{group}){{7}}\\z") | short
 
 
 def scheme_outcome(value: Column) -> Column:
@@ -56,48 +76,68 @@ def upper_percent(value: Column) -> Column:
 def host_type(value: Column) -> Column:
     """DOMAIN, IPV4 or IPV6 of a host with or without brackets; blank and null are DOMAIN."""
     text = F.regexp_replace(strip(F.coalesce(value, F.lit(""))), "^[\\[\\]]+|[\\[\\]]+$", "")
-    six = F.when(text.contains(":"), _is_ipv6(F.when(text.contains(":"), text)))
-    return F.when(text.rlike(IPV4), "IPV4").when(F.coalesce(six, F.lit(False)), "IPV6").otherwise("DOMAIN")
+    return F.when(text.rlike(IPV4), "IPV4").when(text.contains(":") & is_ipv6(text), "IPV6").otherwise("DOMAIN")
 
 
-@F.pandas_udf(T.BooleanType())
-def _is_ipv6(values: pd.Series) -> pd.Series:
-    def test(text: str | None) -> bool:
-        try:
-            return text is not None and ipaddress.ip_address(text).version == 6
-        except ValueError:
-            return False
+SUFFIX_CONF = "spark.sievework.suffixFile"
 
-    return values.map(test)
 
+def read_suffix_rules(path: str, private: bool = False) -> tuple[str, ...]:
+    """The rules of a file in the public suffix list's format: one a line, "//" for comments, other scripts in IDNA.
 
-def suffix_rules(rules: tuple[str, ...] = SUFFIX_RULES) -> dict[str, list[str]]:
-    """Rules by kind: exact suffixes, parents of wildcards, exceptions."""
-    return {
-        "exact": [r for r in rules if r[0] not in "*!"],
-        "wild": [r[2:] for r in rules if r.startswith("*.")],
-        "except": [r[1:] for r in rules if r.startswith("!")],
-    }
-
-
-def suffix_labels(host: Column, rules: tuple[str, ...] = SUFFIX_RULES) -> Column:
-    """How many last labels of host are its public suffix: the longest rule wins; 0 without a rule."""
-    kinds = suffix_rules(rules)
+    Rules between the markers of the private section count only with private.
+    """
+    rules: list[str] = []
+    inside = False
+    with open(path, encoding="utf-8") as file:
+        for line in file:
+            if "===BEGIN PRIVATE DOMAINS===" in line or "===END PRIVATE DOMAINS===" in line:
+                inside = "===BEGIN" in line
+            rule = line.split("//", 1)[0].split()
+            if rule and (private or not inside):
+                mark = rule[0][:1] if rule[0][0] == "!" else rule[0][:2] if rule[0][:2] == "*." else ""
+                rules.append(mark + rule[0][len(mark) :].lower().encode("idna").decode("ascii"))
+    if not rules:
+        raise ValueError(f"{path} holds no rules")
+    return tuple(rules)
+
+
+def rules_of(spark: SparkSession) -> tuple[str, ...]:
+    """The session's public suffixes: those of the file that spark.sievework.suffixFile names, else SUFFIX_RULES.
+
+    SUFFIX_RULES covers endings in common use only. unknown_endings counts hosts that no rule covers.
+    """
+    path = spark.conf.get(SUFFIX_CONF, None)
+    return read_suffix_rules(path) if path else SUFFIX_RULES
+
+
+def suffix_labels(host: str, rules: Sequence[str] = SUFFIX_RULES) -> Column:
+    """How many last labels of a host column are its public suffix: an exception wins, then the longest rule; else 0."""
+    by: dict[tuple[str, int], list[str]] = {}
+    for rule in rules:
+        kind = rule[0] if rule[0] in "*!" else ""
+        name = rule.lstrip("!*").removeprefix(".")
+        by.setdefault((kind, name.count(".") + 1), []).append(name)
+    tail = lambda n: f"substring_index(`{host}`, '.', -{n})"
+    among = lambda kind, n: F.expr(f"{tail(n)} in ({', '.join(map(repr, by[kind, n]))})") if (kind, n) in by else F.lit(False)
     labels = F.size(F.split(host, "\\."))
-    longest = max(r.count(".") + 1 for r in rules)
+    longest = max((n + (kind == "*") for kind, n in by), default=0)
     out = F.lit(0)
     for n in range(1, longest + 1):
-        tail = F.substring_index(host, ".", -n)
-        parent = F.substring_index(host, ".", -(n - 1)) if n > 1 else F.lit("")
-        hit = tail.isin(*kinds["exact"]) | (parent.isin(*kinds["wild"]) if n > 1 and kinds["wild"] else F.lit(False))
-        out = F.when((labels >= n) & hit, n).otherwise(out)
-    for n in range(2, longest + 2):
-        mine = [r for r in kinds["except"] if r.count(".") + 1 == n]
-        if mine:
-            out = F.when(F.substring_index(host, ".", -n).isin(*mine) & (labels >= n), n - 1).otherwise(out)
+        out = F.when((labels >= n) & (among("", n) | among("*", n - 1)), n).otherwise(out)
+    for n in range(2, longest + 1):
+        if ("!", n) in by:
+            out = F.when((labels >= n) & among("!", n), n - 1).otherwise(out)
     return out
 
 
+def unknown_endings(normalized: DataFrame) -> DataFrame:
+    """(ending, n) of hosts that no suffix rule covers; the whole host is their registrable domain."""
+    host = F.col("hostname")
+    rows = normalized.where((F.col("suffix") == "") & ~host.rlike(IPV4) & ~host.contains(":"))
+    return rows.groupBy(F.substring_index(host, ".", -1).alias("ending")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add columns behind a one-row generator.
 
@@ -107,12 +147,13 @@ def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def with_domain_parts(df: DataFrame, host: str = "hostname", rules: tuple[str, ...] = SUFFIX_RULES) -> DataFrame:
-    """Add subdomain, domain, suffix and registrable_domain of a host column."""
+def with_domain_parts(df: DataFrame, host: str = "hostname", rules: Sequence[str] | None = None) -> DataFrame:
+    """Add subdomain, domain, suffix and registrable_domain of a host column; without rules by those of the session."""
+    rules = rules_of(df.sparkSession) if rules is None else rules
     h, n = F.col(host), F.col("_suffix_n")
     is_ip = h.rlike(IPV4) | h.contains(":")
     labels = F.split(h, "\\.")
-    df = staged(df, {"_suffix_n": F.when(is_ip, -1).otherwise(suffix_labels(h, rules)), "_labels": labels})
+    df = staged(df, {"_suffix_n": F.when(is_ip, -1).otherwise(suffix_labels(host, rules)), "_labels": labels})
     size = F.size("_labels")
     body = F.slice(F.col("_labels"), 1, F.greatest(size - F.greatest(n, F.lit(0)), F.lit(0)))
     df = staged(df, {"_body": body, "suffix": F.when(n <= 0, "").otherwise(F.array_join(F.slice(F.col("_labels"), size - n + 1, F.greatest(n, F.lit(1))), "."))})
@@ -131,120 +172,66 @@ def domain_url(host: Column) -> Column:
     return F.concat(F.lit("https://"), F.when(host.contains(":"), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host), F.lit("/"))
 
 
-_URL = re.compile(r"([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?", re.S)
-_HEX = re.compile("%(..)?", re.S)
-
-
-def normalize_one(value: str | None) -> dict | None:
-    """One URL in Python, for any characters: its parts, or None where it is rejected."""
-    text = unicodedata.normalize("NFC", value or "").strip()
-    if not text or len(text) > MAX_URL_LENGTH or any(ord(c) < 32 or ord(c) == 127 for c in text):
-        return None
-    claimed = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", text)
-    if claimed and claimed[1].lower() not in ("http", "https"):
-        return None
-    found = _URL.fullmatch(text) or _URL.fullmatch(f"https://{text}")
-    if not found or found[1].lower() not in ("http", "https"):
-        return None
-    scheme, authority = found[1].lower(), found[2]
-    rest = [part or "" for part in found.groups()[2:]]
-    plain = re.sub("[@:#?]", "", authority)
-    if any(c in unicodedata.normalize("NFKC", plain) for c in "/?#@:") or ("[" in authority) != ("]" in authority):
-        return None
-    user, at, place = authority.rpartition("@")
-    try:
-        if "[" in place:
-            inside = re.fullmatch(r"\[([^\[\]]*)\](?::(.*))?", place)
-            if not inside:
-                return None
-            host, port = inside[1].lower(), inside[2] or ""
-            ipaddress.IPv6Address(host)
-        else:
-            host, _, port = place.partition(":")
-            host = host.lower()
-        if not host or any(c.isspace() for c in host):
-            return None
-        host = host.rstrip(".").encode("idna").decode("ascii").lower()
-    except (ValueError, UnicodeError):
-        return None
-    number = None
-    if port:
-        if not (port.isascii() and port.isdigit() and int(port) <= 65535):
-            return None
-        number = int(port)
-    try:
-        shown = f"[{host}]" if ipaddress.ip_address(host).version == 6 else host
-    except ValueError:
-        if not re.fullmatch(r"[a-z0-9.-]+", host) or ".." in host:
-            return None
-        shown = host
-    if any(m[1] is None or not re.fullmatch("[0-9A-Fa-f]{2}", m[1]) for part in rest for m in _HEX.finditer(part)):
-        return None
-    path, query, fragment = (_HEX.sub(lambda m: m[0].upper(), part) for part in rest)
-    usual = number == {"http": 80, "https": 443}[scheme]
-    whole = f"{scheme}://{user}{at}{shown}" + ("" if number is None or usual else f":{number}") + path + (f"?{query}" if query else "") + (f"#{fragment}" if fragment else "")
-    return {"normalized_url": whole, "scheme": scheme, "hostname": host, "port": number, "path": path, "query": query, "fragment": fragment}
-
-
-@F.pandas_udf(SLOW)
-def _normalize_slow(values: pd.Series) -> pd.DataFrame:
-    empty = dict.fromkeys(("normalized_url", "scheme", "hostname", "port", "path", "query", "fragment"))
-    out = pd.DataFrame([normalize_one(v) or empty if v is not None else empty for v in values], columns=list(empty))
-    return out.astype({"port": "Int32"})
-
-
-def with_normalized(df: DataFrame, url: str = "url", rules: tuple[str, ...] = SUFFIX_RULES) -> DataFrame:
+_PATTERN = "(?s)\\A([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\\?([^#]*))?(?:#(.*))?\\z"
+# A last dot is left only where the host ended in a full stop of another script.
+_LABELS = "\\A[a-z0-9-]{1,63}(?:\\.[a-z0-9-]{1,63})*\\.?\\z"
+
+
+def with_normalized(df: DataFrame, url: str = "url", rules: Sequence[str] | None = None) -> DataFrame:
     """Add the 12 parts of a URL column; all but original_url are null where the URL is rejected.
 
-    Columns of df that have a part's name give way to it.
+    Columns of df that have a part's name give way to it. Brackets belong to IPv6 hosts; elsewhere before the path they
+    are an error.
     """
     df = df.drop(*[c for c in df.columns if c in PARTS and c != url])
     if url in PARTS:
         df, url = df.withColumnRenamed(url, "_url_"), "_url_"
-    raw = F.col(url)
-    slow = raw.rlike("[^\\x00-\\x7F]|[\\[\\]]")
-    text = F.col("_text")
-    df = df.withColumns({"original_url": raw, "_slow": _normalize_slow(F.when(slow, raw))})
-    df = staged(df, {"_text": F.when(~slow, strip(raw))})
-    has_scheme = text.rlike("^[A-Za-z][A-Za-z0-9+.-]*://")
-    df = staged(df, {"_whole": F.when(has_scheme, text).otherwise(F.concat(F.lit("https://"), text))})
-    pattern = "^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\\?([^#]*))?(?:#(.*))?$"
-    part = lambda k: F.regexp_extract("_whole", pattern, k)
-    df = staged(df, {"_scheme": F.lower(part(1)), "_authority": part(2), "_path": part(3), "_query": part(4), "_fragment": part(5)})
+    col = F.col
+    df = df.withColumn("original_url", col(url))
+    df = staged(df, {"_text": strip(composed(col(url)))})
+    has_scheme = col("_text").rlike("\\A[A-Za-z][A-Za-z0-9+.-]*://")
+    df = staged(df, {"_whole": F.when(has_scheme, col("_text")).otherwise(F.concat(F.lit("https://"), "_text"))})
+    df = staged(df, {name: F.regexp_extract("_whole", _PATTERN, k) for k, name in enumerate(("_scheme", "_authority", "_path", "_query", "_fragment"), 1)})
     place = F.substring_index("_authority", "@", -1)
-    df = staged(df, {"_place": place, "_user": F.when(F.col("_authority").contains("@"), F.expr("left(_authority, length(_authority) - length(substring_index(_authority, '@', -1)))")).otherwise("")})
-    host = F.regexp_replace(F.lower(F.substring_index("_place", ":", 1)), "\\.+$", "")
-    port = F.when(F.col("_place").contains(":"), F.expr("substring(_place, length(substring_index(_place, ':', 1)) + 2)")).otherwise("")
-    df = staged(df, {"_host": host, "_port": port})
-    number = F.when(F.col("_port").rlike("^[0-9]{1,9}$"), F.col("_port").cast("int")).when(F.col("_port").rlike("^0*[0-9]{1,9}$"), F.regexp_replace("_port", "^0+(?=[0-9])", "").cast("int"))
-    df = staged(df, {"_number": number})
+    df = staged(df, {"_place": place, "_user": F.expr("left(_authority, length(_authority) - length(substring_index(_authority, '@', -1)))")})
+    bracketed = col("_authority").rlike("[\\[\\]]")
+    inside = F.regexp_extract("_place", "\\A\\[([^\\[\\]]*)\\](?::.*)?\\z", 1)
+    after = F.when(bracketed, F.regexp_extract("_place", "\\]:(.*)\\z", 1)).otherwise(F.regexp_extract("_place", "(?s):(.*)\\z", 1))
+    name = F.regexp_replace(F.lower(F.substring_index("_place", ":", 1)), "\\.+\\z", "")
+    df = staged(df, {"_six": bracketed, "_host": F.when(bracketed, F.lower(inside)).otherwise(idna(name)), "_port": after})
+    number = F.when(col("_port").rlike("\\A0*[0-9]{1,9}\\z"), F.regexp_replace("_port", "\\A0+(?=[0-9])", "").cast("int"))
+    df = staged(df, {"_number": number, "scheme": F.lower("_scheme")})
+    # Compatible forms of characters must not bring in a delimiter.
+    delimiters = wide(col("_authority")) & composed(F.translate("_authority", "@:#?", ""), True).rlike("[/?#@:]")
     ok = (
-        (text != "")
-        & (F.length(text) <= MAX_URL_LENGTH)
-        & ~text.rlike("[\\x00-\\x1F\\x7F]")
-        & (scheme_outcome(text) != "UNSUPPORTED_SCHEME")
-        & F.col("_scheme").isin("http", "https")
-        & F.col("_host").rlike("^[a-z0-9-]{1,63}(\\.[a-z0-9-]{1,63})*$")
-        & ((F.col("_port") == "") | F.coalesce(F.col("_number") <= 65535, F.lit(False)))
-        & ~bad_percent(F.col("_path"))
-        & ~bad_percent(F.col("_query"))
-        & ~bad_percent(F.col("_fragment"))
+        (col("_text") != "")
+        & (F.length("_text") <= MAX_URL_LENGTH)
+        & ~col("_text").rlike("[\\x00-\\x1F\\x7F]")
+        & (scheme_outcome(col("_text")) != "UNSUPPORTED_SCHEME")
+        & col("scheme").isin("http", "https")
+        & ~delimiters
+        & F.when(col("_six"), is_ipv6(col("_host"))).otherwise(col("_host").rlike(_LABELS))
+        & ((col("_port") == "") | F.coalesce(col("_number") <= 65535, F.lit(False)))
+        & ~bad_percent(col("_path"))
+        & ~bad_percent(col("_query"))
+        & ~bad_percent(col("_fragment"))
     )
     df = staged(df, {"_ok": F.coalesce(ok, F.lit(False))})
-    fast = {"scheme": F.col("_scheme"), "hostname": F.col("_host"), "port": F.col("_number"), "path": upper_percent(F.col("_path")), "query": upper_percent(F.col("_query")), "fragment": upper_percent(F.col("_fragment"))}
-    df = staged(df, {name: F.when(F.col("_ok"), value).otherwise(F.col(f"_slow.{name}")) for name, value in fast.items()})
-    usual = F.coalesce(((F.col("scheme") == "http") & (F.col("port") == 80)) | ((F.col("scheme") == "https") & (F.col("port") == 443)), F.lit(False))
+    parts = {"hostname": col("_host"), "port": col("_number"), "path": upper_percent(col("_path")), "query": upper_percent(col("_query")), "fragment": upper_percent(col("_fragment"))}
+    df = df.withColumn("_name", col("scheme")).drop("scheme")
+    df = staged(df, {name: F.when(col("_ok"), value) for name, value in ({"scheme": col("_name")} | parts).items()})
+    usual = F.coalesce(((col("scheme") == "http") & (col("port") == 80)) | ((col("scheme") == "https") & (col("port") == 443)), F.lit(False))
     built = F.concat(
-        F.col("scheme"), F.lit("://"), F.col("_user"), F.col("hostname"),
-        F.when(F.col("port").isNull() | usual, "").otherwise(F.concat(F.lit(":"), F.col("port").cast("string"))),
-        F.col("path"),
-        F.when(F.col("query") == "", "").otherwise(F.concat(F.lit("?"), F.col("query"))),
-        F.when(F.col("fragment") == "", "").otherwise(F.concat(F.lit("#"), F.col("fragment"))),
+        col("scheme"), F.lit("://"), col("_user"), F.when(col("_six"), F.concat(F.lit("["), "hostname", F.lit("]"))).otherwise(col("hostname")),
+        F.when(col("port").isNull() | usual, "").otherwise(F.concat(F.lit(":"), col("port").cast("string"))),
+        col("path"),
+        F.when(col("query") == "", "").otherwise(F.concat(F.lit("?"), col("query"))),
+        F.when(col("fragment") == "", "").otherwise(F.concat(F.lit("#"), col("fragment"))),
     )
-    df = staged(df, {"normalized_url": F.when(F.col("_ok"), built).otherwise(F.col("_slow.normalized_url"))})
+    df = staged(df, {"normalized_url": F.when(col("_ok"), built)})
     df = with_domain_parts(df, "hostname", rules)
-    hidden = [c for c in ("_url_", "_text", "_slow", "_whole", "_scheme", "_authority", "_path", "_query", "_fragment", "_place", "_user", "_host", "_port", "_number", "_ok") if c in df.columns]
-    return df.drop(*hidden)
+    hidden = ("_url_", "_text", "_whole", "_scheme", "_authority", "_path", "_query", "_fragment", "_place", "_user", "_six", "_host", "_port", "_number", "_name", "_ok")
+    return df.drop(*[c for c in hidden if c in df.columns])
 
 
 def outcome(scheme: Column, normalized: Column) -> Column:
