@@ -8,12 +8,21 @@ import re
 from collections.abc import Sequence
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import BRAND_VERSION, FRESH_DAYS, SHORTENER_VERSION, SHORTENERS, STALE_DAYS, brands
 
-BUNDLE_VERSION = 1
+# The form of a bundle, which devices read, and the reasons for refusing one, in the order of the tests.
+BUNDLE_VERSION = "ti-bundle-v1"
+ALGORITHM = "sha256"
+POLICY_VERSION = "DecisionPolicyV2"
+SECTIONS = ("threatIntel", "brands", "shorteners")
+REASONS = (
+    "bundle_not_an_object", "unsupported_bundle_version", "missing_payload", "missing_integrity_block", "payload_not_canonicalisable",
+    "integrity_digest_mismatch", "missing_payload_sections", "indicator_count_mismatch", "catalog_payload_invalid",
+)
 
 
 def row_hash(columns: Sequence[str]) -> Column:
@@ -96,12 +105,17 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     return old.join(new, list(keys), "left_anti").unionByName(new)
 
 
+# Fixed form: sorted keys, no white space, ASCII escapes.
+_CANONICAL = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+
+
 def canonical_json(payload: Any) -> str:
-    return json.dumps(payload, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+    """The one text of a payload, which its digest is taken of."""
+    return _CANONICAL.encode(payload)
 
 
 def payload_digest(payload: Any) -> str:
-    return hashlib.sha256(canonical_json(payload).encode("ascii")).hexdigest()
+    return hashlib.sha256(canonical_json(payload).encode()).hexdigest()
 
 
 def bundle_digests(digests: DataFrame, column: str = "digest") -> DataFrame:
@@ -119,50 +133,85 @@ def catalog_payload() -> dict:
 
 
 def _unfit(value: Any) -> bool:
-    """Whether a payload holds floats or text beyond ASCII, which have no stable form."""
+    """Whether a payload holds floats, text beyond ASCII or other types, which have no stable form."""
     if isinstance(value, dict):
         return any(_unfit(v) for pair in value.items() for v in pair)
-    if isinstance(value, (list, tuple)):
+    if isinstance(value, list):
         return any(map(_unfit, value))
-    return isinstance(value, float) or isinstance(value, str) and not value.isascii()
+    return not (value is None or isinstance(value, int) or isinstance(value, str) and value.isascii())
 
 
-def build_bundle(digests: Sequence[str], created_at: str, policy_version: str) -> dict:
+def build_bundle(digests: Sequence[str], created_at: str, policy_version: str = POLICY_VERSION) -> dict:
     """A sealed bundle of digests and catalogs; digests come from bundle_digests and are what a device can hold."""
     listed = sorted({d.lower() for d in digests})
     if any(not re.fullmatch("[0-9a-f]{64}", d) for d in listed):
         raise ValueError("digests need 64 hexadecimal digits")
-    payload = {"threatIntel": {"count": len(listed), "digests": listed}, **catalog_payload()}
-    if _unfit(payload):
-        raise ValueError("a payload holds ASCII text and whole numbers only")
-    return {"bundleVersion": BUNDLE_VERSION, "createdAt": created_at, "policyVersion": policy_version, "payload": payload, "integrity": {"algorithm": "sha256", "digest": payload_digest(payload)}}
-
-
-def verify_bundle(bundle: Any) -> tuple[bool, str]:
-    """(whether a bundle holds, the first reason against it)."""
-    if not isinstance(bundle, dict):
-        return False, "not_an_object"
-    payload, seal = bundle.get("payload"), bundle.get("integrity")
-    if bundle.get("bundleVersion") != BUNDLE_VERSION:
-        return False, "version"
-    if not isinstance(payload, dict):
-        return False, "payload"
-    if not isinstance(seal, dict) or seal.get("algorithm") != "sha256":
-        return False, "integrity"
-    if _unfit(payload):
-        return False, "not_canonical"
-    if payload_digest(payload) != seal.get("digest"):
-        return False, "digest"
-    if any(not isinstance(payload.get(k), dict) for k in ("threatIntel", "brands", "shorteners")):
-        return False, "sections"
-    intel = payload["threatIntel"]
-    if not isinstance(intel.get("digests"), list) or intel.get("count") != len(intel["digests"]):
-        return False, "count"
-    if not payload["brands"].get("entries") or not payload["shorteners"].get("domains"):
-        return False, "catalog"
-    return True, "ok"
+    intel = {"digestAlgorithm": ALGORITHM, "indicatorCount": len(listed), "indicatorDigests": listed}
+    payload = {"threatIntel": intel, **catalog_payload()}
+    if _unfit([payload, created_at, policy_version]):
+        raise ValueError("a bundle holds ASCII text and whole numbers only")
+    seal = {"algorithm": ALGORITHM, "canonicalDigest": payload_digest(payload)}
+    return {"bundleVersion": BUNDLE_VERSION, "createdAt": created_at, "policyVersion": policy_version, "payload": payload, "integrity": seal}
+
+
+def verify_bundle(bundle: Any) -> tuple[bool, str, str]:
+    """(whether a bundle holds, the first reason against it or "ok", the digest as far as it was computed)."""
+    held = bundle if isinstance(bundle, dict) else {}
+    payload, seal = held.get("payload"), held.get("integrity")
+    early = (
+        isinstance(bundle, dict),
+        held.get("bundleVersion") == BUNDLE_VERSION,
+        isinstance(payload, dict),
+        isinstance(seal, dict) and seal.get("algorithm") == ALGORITHM,
+    )
+    if not all(early):
+        return False, REASONS[early.index(False)], ""
+    try:
+        actual = payload_digest(payload)
+    except (TypeError, ValueError):
+        return False, REASONS[4], ""
+    parts = [payload.get(s) if isinstance(payload.get(s), dict) else None for s in SECTIONS]
+    intel, brand, short = (p or {} for p in parts)
+    listed = intel.get("indicatorDigests")
+    late = (
+        actual == str(seal.get("canonicalDigest", "")),
+        None not in parts,
+        isinstance(listed, list) and _whole(intel.get("indicatorCount", -1)) == len(listed),
+        isinstance(brand.get("entries"), list) and isinstance(short.get("domains"), list),
+    )
+    return (True, "ok", actual) if all(late) else (False, REASONS[5 + late.index(False)], actual)
+
+
+def _whole(value: Any) -> int | None:
+    """A count that may be given as a number or its text; None for anything else."""
+    try:
+        return int(value)
+    except (TypeError, ValueError):
+        return None
 
 
 def bundle_summary(bundle: dict) -> dict:
-    payload = bundle["payload"]
-    return {"bundleVersion": bundle["bundleVersion"], "createdAt": bundle["createdAt"], "indicators": payload["threatIntel"]["count"], "brands": payload["brands"]["entryCount"], "shorteners": payload["shorteners"]["domainCount"]}
+    """What a bundle says of itself; counts that it does not state are those of its lists."""
+    payload, said = bundle.get("payload", {}), ("bundleVersion", "createdAt", "policyVersion")
+    counted = {"indicatorCount": ("threatIntel", "indicatorCount", None), "brandCount": ("brands", "entryCount", "entries"), "shortenerCount": ("shorteners", "domainCount", "domains")}
+    out = {name: bundle.get(name) for name in said}
+    for name, (section, stated, listed) in counted.items():
+        held = payload.get(section, {})
+        out[name] = int(held.get(stated, len(held.get(listed, []))))
+    return out | {"canonicalDigest": bundle.get("integrity", {}).get("canonicalDigest")}
+
+
+def verified(bundles: DataFrame, column: str = "bundle") -> DataFrame:
+    """Add ok and reason of each bundle given as JSON text; each is a small document of its own."""
+
+    @F.pandas_udf("struct<ok: boolean, reason: string>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        def parsed(text: str | None) -> Any:
+            try:
+                return json.loads(text or "null")
+            except ValueError:
+                return None
+
+        return pd.DataFrame([verify_bundle(parsed(t))[:2] for t in texts], columns=["ok", "reason"])
+
+    return bundles.withColumn("_v", run(column)).select(*bundles.columns, "_v.ok", "_v.reason")

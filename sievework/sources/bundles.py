@@ -13,7 +13,7 @@ import shutil
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from ..operators.integrity import bundle_summary, verify_bundle
+from ..operators.integrity import REASONS, bundle_summary, verify_bundle
 from .sinks import _load, _replace
 
 SHIPPED, IMPORTED, ROLLED_BACK, NONE = "SHIPPED", "IMPORTED", "ROLLED_BACK", "NONE"
@@ -57,8 +57,8 @@ def parse_verified(content: bytes) -> tuple[dict | None, str]:
     try:
         bundle = json.loads(content)
     except ValueError:
-        return None, "not_an_object"
-    ok, reason = verify_bundle(bundle)
+        return None, REASONS[0]
+    ok, reason, _ = verify_bundle(bundle)
     return (bundle if ok else None), reason
 
 

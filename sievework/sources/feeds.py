@@ -40,8 +40,8 @@ def _fail_if_empty(df: DataFrame, what: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """All-text CSV; a line that does not fit fails the query, and lines that start with # are comments."""
-    return spark.read.option("header", header).option("comment", "#").option("mode", "FAILFAST").option("enforceSchema", False).csv(path)
+    """All-text CSV with doubled quotes; a line that does not fit fails the query, and lines that start with # are comments."""
+    return spark.read.option("header", header).option("comment", "#").option("mode", "FAILFAST").option("enforceSchema", False).option("escape", '"').csv(path)
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -145,11 +145,11 @@ def openphish(spark: SparkSession, path: str, collected_at: str) -> DataFrame:
 
 
 def cert_polska(spark: SparkSession, path: str, collected_at: str) -> DataFrame:
-    """A JSON array; entries with a domain and without a deletion date stay."""
+    """A JSON array; entries with a domain, but for outer dots, and without a deletion date stay; none at all is an error."""
     df = spark.read.option("multiLine", True).option("mode", "FAILFAST").option("primitivesAsString", True).json(path)
     value = lambda name: strip(F.col(f"`{c}`")) if (c := find_column(df, (name,))) else F.lit(None).cast("string")
-    rows = df.where((F.coalesce(value("domainaddress") if find_column(df, ("domainaddress",)) else value("domain"), F.lit("")) != "") & (F.coalesce(value("deletedate"), F.lit("")) == ""))
-    domain = value("domainaddress") if find_column(df, ("domainaddress",)) else value("domain")
+    domain = F.trim(F.coalesce(value("domainaddress") if find_column(df, ("domainaddress",)) else value("domain"), F.lit("")), F.lit("."))
+    rows = _fail_if_empty(df.where((domain != "") & (F.coalesce(value("deletedate"), F.lit("")) == "")), path)
     return _tagged(rows, F.concat(F.lit("https://"), domain, F.lit("/")), "PHISHING", "cert_polska", collected_at, insert_date=value("insertdate"), register_position_id=value("registerpositionid"), scope=F.lit("poland"))
 
 

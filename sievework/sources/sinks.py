@@ -17,8 +17,9 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode
 
 
 def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV with a header and \\n line ends, for tools that want text."""
-    df.write.mode(mode).option("header", True).option("lineSep", "\n").csv(path)
+    """CSV with a header and \\n line ends, for tools that want text; blanks stay, and quotes are doubled."""
+    options = {"header": True, "lineSep": "\n", "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(**options).csv(path)
 
 
 def _replace(path: str, payload: dict) -> None:

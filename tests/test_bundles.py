@@ -21,9 +21,9 @@ def test_store(tmp_path):
     first = store.put(made("2026-02-01", "b"))
     assert (first.source, first.snapshot_id, first.previous_id) == (bundles.IMPORTED, "ti-2026-02-01", None)
     second = store.put(made("2026-03-01", "b", "c"))
-    assert second.previous_id == "ti-2026-02-01" and second.summary["indicators"] == 2
-    assert store.put(b"{").error == "not_an_object" and store.put(b"[]").error == "not_an_object"
-    assert store.put(made("2026-04-01", "d").replace(b"d" * 64, b"e" * 64)).error == "digest"
+    assert second.previous_id == "ti-2026-02-01" and second.summary["indicatorCount"] == 2
+    assert store.put(b"{").error == "bundle_not_an_object" == store.put(b"[]").error
+    assert store.put(made("2026-04-01", "d").replace(b"d" * 64, b"e" * 64)).error == "integrity_digest_mismatch"
     assert store.load()[1].snapshot_id == "ti-2026-03-01"
 
     back = store.roll_back()
@@ -34,7 +34,7 @@ def test_store(tmp_path):
     good.write_bytes(made("2026-05-01", "f"))
     bad.write_bytes(b"{}")
     bundle, status = store.load((str(good), str(bad), f"{tmp_path}/absent.json"))
-    assert bundle["createdAt"] == "2026-05-01" and status.error == "version" and not good.exists() and bad.exists()
+    assert bundle["createdAt"] == "2026-05-01" and status.error == "unsupported_bundle_version" and not good.exists() and bad.exists()
 
     (tmp_path / "store" / f"{status.sha256}.json").write_bytes(made("2026-05-01", "0"))
     bundle, status = store.load()

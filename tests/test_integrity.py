@@ -48,8 +48,9 @@ def test_history(spark):
 
 def test_bundle():
     bundle = I.build_bundle(["A" * 64, "a" * 64, "b" * 64], "2026-01-01", "V2")
-    assert I.verify_bundle(bundle) == (True, "ok") and I.bundle_summary(bundle)["indicators"] == 2 and I.bundle_summary(bundle)["brands"] == 54
-    assert I.verify_bundle(json.loads(I.canonical_json(bundle))) == (True, "ok")
+    digest = bundle["integrity"]["canonicalDigest"]
+    assert I.verify_bundle(bundle) == (True, "ok", digest) == I.verify_bundle(json.loads(I.canonical_json(bundle)))
+    assert I.bundle_summary(bundle) == {"bundleVersion": "ti-bundle-v1", "createdAt": "2026-01-01", "policyVersion": "V2", "indicatorCount": 2, "brandCount": 54, "shortenerCount": 26, "canonicalDigest": digest}
 
     def broken(change):
         b = copy.deepcopy(bundle)
@@ -59,19 +60,26 @@ def test_bundle():
     def resealed(change):
         def run(b):
             change(b["payload"])
-            b["integrity"]["digest"] = I.payload_digest(b["payload"])
+            b["integrity"]["canonicalDigest"] = I.payload_digest(b["payload"])
 
         return broken(run)
 
-    assert I.verify_bundle([])[1] == "not_an_object"
-    assert broken(lambda b: b.update(bundleVersion=9)) == "version"
-    assert broken(lambda b: b.update(payload=1)) == "payload"
-    assert broken(lambda b: b.pop("integrity")) == "integrity"
-    assert broken(lambda b: b["payload"].update(x=1.5)) == "not_canonical"
-    assert broken(lambda b: b["payload"]["threatIntel"]["digests"].pop()) == "digest"
-    assert resealed(lambda p: p.pop("brands")) == "sections"
-    assert resealed(lambda p: p["threatIntel"].update(count=9)) == "count"
-    assert resealed(lambda p: p["brands"].update(entries=[])) == "catalog"
+    assert I.verify_bundle([]) == (False, "bundle_not_an_object", "") == I.verify_bundle(None)
+    assert broken(lambda b: b.update(bundleVersion=1)) == "unsupported_bundle_version"
+    assert broken(lambda b: b.update(payload=1)) == "missing_payload"
+    assert broken(lambda b: b.pop("integrity")) == "missing_integrity_block"
+    assert broken(lambda b: b["integrity"].update(algorithm="md5")) == "missing_integrity_block"
+    assert broken(lambda b: b["payload"].update(x={1})) == "payload_not_canonicalisable"
+    assert broken(lambda b: b["payload"]["threatIntel"]["indicatorDigests"].pop()) == "integrity_digest_mismatch"
+    assert resealed(lambda p: p.pop("brands")) == "missing_payload_sections"
+    assert resealed(lambda p: p["threatIntel"].update(indicatorCount=9)) == "indicator_count_mismatch"
+    assert resealed(lambda p: p["threatIntel"].update(indicatorCount="2")) == "ok"
+    assert resealed(lambda p: p["brands"].update(entries=None)) == "catalog_payload_invalid"
+    # The first reason in order counts.
+    assert broken(lambda b: b.update(bundleVersion=1, payload=1)) == "unsupported_bundle_version"
+    assert resealed(lambda p: (p.pop("brands"), p["threatIntel"].update(indicatorCount=9))) == "missing_payload_sections"
+    for bad in ({"x": 1.5}, {"x": "é"}, {"é": 1}, [{"x": (1,)}]):
+        assert I._unfit(bad)
     with pytest.raises(ValueError):
         I.build_bundle(["nope"], "d", "p")
 
