@@ -37,6 +37,12 @@ def split_conflicts(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return df.join(keys, key, "left_anti"), df.join(keys, key, "left_semi")
 
 
+def first_of_agreeing(df: DataFrame, key: str, order: str = "ord") -> DataFrame:
+    """The first row of each key whose rows agree on the label, by one aggregate with map-side combining."""
+    found = df.groupBy(key).agg(F.min_by(F.struct("*"), order).alias("_first"), F.min("label").alias("_low"), F.max("label").alias("_high"))
+    return found.where("_low = _high").select("_first.*")
+
+
 @dataclass(frozen=True)
 class Cleaned:
     clean: DataFrame
@@ -67,8 +73,7 @@ def clean(raw: DataFrame, order: str = "ord") -> Cleaned:
     short urls; take out every row of a normalised url with several labels; drop normalised copies.
     """
     valid = _normalised(raw, order).where("normalized_url is not null")
-    kept, conflicts = split_conflicts(valid, "normalized_url")
-    return Cleaned(keep_first(kept, ["normalized_url"], order), conflicts)
+    return Cleaned(first_of_agreeing(valid, "normalized_url", order), split_conflicts(valid, "normalized_url")[1])
 
 
 def cleaning_stats(raw: DataFrame, order: str = "ord") -> DataFrame:
@@ -98,7 +103,7 @@ def cleaning_stats(raw: DataFrame, order: str = "ord") -> DataFrame:
 def domain_only_view(clean_rows: DataFrame, order: str = "ord", host: str = "registrable_domain") -> DataFrame:
     """One row per (domain URL, label) without domains of several labels."""
     rows = clean_rows.withColumns({"model_url": domain_url(F.col(host)), "dataset_view": F.lit("DOMAIN_ONLY")})
-    return keep_first(split_conflicts(rows, "model_url")[0], ["model_url", "label"], order)
+    return first_of_agreeing(rows, "model_url", order)
 
 
 def approved_rows(rows: DataFrame, pairs: Sequence[tuple[str, str]] = APPROVED_FULL_URL) -> DataFrame:
@@ -133,13 +138,15 @@ def cross_source_audit(rows: DataFrame, sources: Sequence[str] = PHISHING_SOURCE
 
 def accumulate(snapshots: DataFrame, url: str = "url", date: str = "snapshot_date") -> DataFrame:
     """Each normalised URL of dated snapshots once, with its first date."""
-    rows = with_normalized(snapshots, url).where("normalized_url is not null")
-    return rows.groupBy("normalized_url", "registrable_domain").agg(F.min(date).alias("first_snapshot_date"))
+    distinct = snapshots.groupBy(F.col(url).alias("url")).agg(F.min(date).alias("first_"))
+    rows = with_normalized(distinct).where("normalized_url is not null")
+    return rows.groupBy("normalized_url", "registrable_domain").agg(F.min("first_").alias("first_snapshot_date"))
 
 
 def accumulation_counts(snapshots: DataFrame, url: str = "url") -> DataFrame:
     """One row of counters of an accumulation."""
-    rows = with_normalized(snapshots, url).groupBy("normalized_url", "registrable_domain").agg(F.count(F.lit(1)).alias("n"))
+    distinct = snapshots.groupBy(F.col(url).alias("url")).agg(F.count(F.lit(1)).alias("rows_"))
+    rows = with_normalized(distinct).groupBy("normalized_url", "registrable_domain").agg(F.sum("rows_").alias("n"))
     valid = F.col("normalized_url").isNotNull()
     rows = rows.groupBy("registrable_domain").agg(F.sum("n").alias("n"), F.count_if(valid).alias("urls"), F.coalesce(F.sum(F.when(valid, F.col("n"))), F.lit(0)).alias("valid"))
     long = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")

@@ -102,7 +102,11 @@ def split_candidates(df: DataFrame, group: str, ratios: Sequence[float] = SPLIT_
     if abs(sum(ratios) - 1) > 1e-9:
         raise ValueError("ratios must sum to 1")
     groups = df.where(F.col(group).isNotNull()).select(group).distinct()
-    tried = groups.select(F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"), group)
+    return _dealt(groups.select(F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"), group), group, ratios, seed)
+
+
+def _dealt(tried: DataFrame, group: str, ratios: Sequence[float], seed: int) -> DataFrame:
+    """Add the split of (attempt, group) rows that hold all groups of their attempts."""
     ranked = with_hash_rank(tried.withColumn("_h", order_key(F.col("attempt") + seed, F.col(group))), group, ["attempt"])
     held = F.ceil(F.col("_n") * (ratios[1] + ratios[2]) - 1e-9)
     test = F.ceil(held * (ratios[2] / (ratios[1] + ratios[2])) - 1e-9)
@@ -132,12 +136,15 @@ def split_scores(df: DataFrame, candidates: DataFrame, group: str, ratios: Seque
 
 
 def group_split(df: DataFrame, group: str, ratios: Sequence[float] = SPLIT_RATIOS, seed: int = SEED, attempts: int = 64) -> DataFrame:
-    """(group, split) of the attempt with the lowest score, the first of equals; needs four groups."""
-    candidates = split_candidates(df, group, ratios, seed, attempts)
-    best = split_scores(df, candidates, group, ratios).agg(F.min(F.struct("score", "attempt")).alias("b")).select(F.col("b.attempt").alias("attempt"))
-    n = df.select(group).distinct().where(F.col(group).isNotNull()).agg(F.count(F.lit(1)).alias("_n"))
+    """(group, split) of the attempt with the lowest score, the first of equals; needs four groups.
+
+    Attempts are scored first; only the groups of the best are ranked for the result.
+    """
+    best = split_scores(df, split_candidates(df, group, ratios, seed, attempts), group, ratios).agg(F.min(F.struct("score", "attempt")).alias("b")).select(F.col("b.attempt").alias("attempt"))
+    groups = df.select(group).distinct().where(F.col(group).isNotNull())
     enough = F.assert_true(F.col("_n") >= 4, F.lit("a split needs at least four groups")).isNull()
-    return candidates.join(F.broadcast(best), "attempt").crossJoin(F.broadcast(n)).where(enough).select(group, "split")
+    chosen = _dealt(groups.crossJoin(F.broadcast(best)), group, ratios, seed)
+    return chosen.crossJoin(F.broadcast(groups.agg(F.count(F.lit(1)).alias("_n")))).where(enough).select(group, "split")
 
 
 def with_split(df: DataFrame, assignment: DataFrame, group: str) -> DataFrame:

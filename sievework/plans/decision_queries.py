@@ -323,6 +323,26 @@ def pol_counterfactual(spark, sf):
     return policy.counterfactuals(policy.decide_v2, df, _evidence(df)).select(F.col("feature__phishing_probability").alias("p"))
 
 
+@query("pol_counterfactual_broken", "SELECT 'known_malicious_guardrail,whitelist_override' AS violations, count(*) AS n FROM v_dec WHERE p < 0.85")
+def pol_counterfactual_broken(spark, sf):
+    """A policy of thresholds alone breaks the guardrails wherever it does not block."""
+    df = A.decisions(spark, sf)
+    p = policy.value("phishing_probability")
+    risk = F.when(p >= 0.85, "DANGEROUS").when(p >= 0.35, "SUSPICIOUS").otherwise("SAFE")
+    found = policy.counterfactuals(lambda _: F.struct(risk.alias("risk"), policy.probability_only(0.35, 0.85).alias("action")), df, _evidence(df))
+    return found.groupBy(F.array_join("violations", ",").alias("violations")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("pol_counterfactual_unknown", "SELECT 'whitelist_risk,unknown_not_safe' AS violations, count(*) AS n FROM v_dec")
+def pol_counterfactual_unknown(spark, sf):
+    """A policy that trusts silence: risk falls without intelligence and rises by a whitelist."""
+    df = A.decisions(spark, sf)
+    known = policy.flag("known_malicious")
+    risk = F.when(known, "DANGEROUS").when(policy.flag("whitelist_hit"), "DANGEROUS").when(policy.available("known_malicious"), "SUSPICIOUS").otherwise("SAFE")
+    found = policy.counterfactuals(lambda _: F.struct(risk.alias("risk"), F.when(known, "BLOCK").otherwise("ALLOW").alias("action")), df, _evidence(df))
+    return found.groupBy(F.array_join("violations", ",").alias("violations")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("pol_final", "SELECT CASE WHEN known THEN 'BLOCK' WHEN p >= 0.85 THEN 'BLOCK' WHEN p >= 0.35 THEN 'REVIEW' ELSE 'ALLOW' END AS final, count(*) AS n FROM v_dec GROUP BY 1")
 def pol_final(spark, sf):
     return A.decisions(spark, sf).groupBy(policy.guardrail(policy.probability_only(0.35, 0.85)).alias("final")).agg(F.count(F.lit(1)).alias("n"))
@@ -425,6 +445,17 @@ def mdl_parity(spark, sf):
     return metrics.parity(left, right).select(*[F.round(c, 9).alias(c) for c in ("max_abs_error", "mean_abs_error", "agreement")])
 
 
+@query("mdl_parity_scaled", """
+WITH q AS (SELECT id, p0, p1, p2, sqrt(p0) AS a, sqrt(p1) AS b, sqrt(p2) AS c FROM v_scored3),
+g AS (SELECT abs(p0 - a / (a + b + c)) AS g0, abs(p1 - b / (a + b + c)) AS g1, abs(p2 - c / (a + b + c)) AS g2 FROM q)
+SELECT round(max(greatest(g0, g1, g2)), 6) AS max_abs_error, round(avg((g0 + g1 + g2) / 3), 6) AS mean_abs_error, 1.0::DOUBLE AS agreement FROM g""")
+def mdl_parity_scaled(spark, sf):
+    """Parity of a model with itself at temperature 2: other probabilities, the same likeliest class."""
+    left = A.scored3(spark, sf)
+    right = left.withColumn("p", calibration.apply_temperature(F.col("p"), 2.0))
+    return _rounded(metrics.parity(left, right))
+
+
 _T3 = "SELECT id, y, pow(p0, 1 / 2.0::DOUBLE) AS a, pow(p1, 1 / 2.0::DOUBLE) AS b, pow(p2, 1 / 2.0::DOUBLE) AS c FROM v_scored3"
 
 
@@ -477,13 +508,26 @@ def cal_thresholds(spark, sf):
     return _rounded(calibration.threshold_table(A.scored2(spark, sf), F.col("score"), F.col("y") == 1, _THRESHOLDS))
 
 
-@query("cal_pipeline")
+_CALIBRATED = """
+WITH g AS (SELECT unnest(list_concat([k / 20::DOUBLE for k in range(1, 101)], [5 + k / 4::DOUBLE for k in range(1, 41)])) AS t),
+l AS (SELECT half, y, predicted, [p0, p1, p2] AS p, least(greatest(own, 1e-12), 1) AS own FROM v_scored3),
+n AS (SELECT t, round(avg(ln(exp(ln(p[1]) / t) + exp(ln(p[2]) / t) + exp(ln(p[3]) / t)) - ln(own) / t), 12) AS nll FROM l, g WHERE half = 0 GROUP BY 1),
+b AS (SELECT t FROM n ORDER BY nll, t LIMIT 1),
+s AS (SELECT 'before' AS stage, 1.0::DOUBLE AS t, y, p FROM l WHERE half = 1 UNION ALL
+      SELECT 'after', t, y, [pow(p[1], 1 / t) / z, pow(p[2], 1 / t) / z, pow(p[3], 1 / t) / z] FROM (SELECT *, pow(p[1], 1 / t) + pow(p[2], 1 / t) + pow(p[3], 1 / t) AS z FROM l, b WHERE half = 1)),
+m AS (SELECT stage, t, y, p, list_max(p) AS conf, CAST(list_position(p, list_max(p)) - 1 = y AS INTEGER) AS hit, least(CAST(ceil(list_max(p) * 15) AS INTEGER), 15) AS bin FROM s),
+e AS (SELECT stage, sum(n * abs(acc - conf)) / sum(n) AS ece FROM (SELECT stage, bin, count(*) AS n, avg(hit) AS acc, avg(conf) AS conf FROM m GROUP BY 1, 2) GROUP BY 1),
+r AS (SELECT stage, t AS temperature, round(avg(-ln(p[y + 1])), 6) AS nll, round(avg(pow(p[1] - CAST(y = 0 AS INTEGER), 2) + pow(p[2] - CAST(y = 1 AS INTEGER), 2) + pow(p[3] - CAST(y = 2 AS INTEGER), 2)), 6) AS brier FROM m GROUP BY 1, 2)
+"""
+
+
+@query("cal_pipeline", _CALIBRATED + "SELECT stage, temperature, nll, brier, round(ece, 6) AS ece FROM r JOIN e USING (stage)")
 def cal_pipeline(spark, sf):
     rows = A.scored3(spark, sf)
     return _rounded(calibration.calibrate(rows.where("half = 0"), rows.where("half = 1")))
 
 
-@query("cal_select")
+@query("cal_select", _CALIBRATED + "SELECT stage AS selected FROM r JOIN e USING (stage) ORDER BY ece, brier, nll, stage DESC LIMIT 1")
 def cal_select(spark, sf):
     rows = A.scored3(spark, sf)
     return calibration.select_probabilities(calibration.calibrate(rows.where("half = 0"), rows.where("half = 1")))
@@ -579,6 +623,36 @@ def int_bundle_build(spark, sf):
     return integrity.bundle_digests(A.digests(A.intel(spark, sf)).unionByName(bad))
 
 
+_REASON = "['ok', 'unsupported_bundle_version', 'missing_payload', 'missing_integrity_block', 'integrity_digest_mismatch', 'missing_payload_sections', 'indicator_count_mismatch', 'catalog_payload_invalid', 'bundle_not_an_object'][CAST(ord % 9 AS INTEGER) + 1]"
+
+
+@query("int_bundle_verify", f"SELECT ord, ord % 9 = 0 AS ok, {_REASON} AS reason FROM v_urls")
+def int_bundle_verify(spark, sf):
+    """Bundles of the kinds that verification tells apart, one to a row of the table."""
+    whole = integrity.build_bundle(["a" * 64, "b" * 64], "2026-09-01")
+    intel_, brand = whole["payload"]["threatIntel"], whole["payload"]["brands"]
+
+    def sealed(**sections) -> dict:
+        payload = {k: v for k, v in (whole["payload"] | sections).items() if v is not None}
+        return whole | {"payload": payload, "integrity": whole["integrity"] | {"canonicalDigest": integrity.payload_digest(payload)}}
+
+    kinds = [
+        whole, whole | {"bundleVersion": 1}, whole | {"payload": []}, whole | {"integrity": {}}, whole | {"payload": whole["payload"] | {"x": 1}},
+        sealed(shorteners=None), sealed(threatIntel=intel_ | {"indicatorCount": 7}), sealed(brands=brand | {"entries": {}}), [],
+    ]
+    texts = F.array(*[F.lit(integrity.canonical_json(k)) for k in kinds])
+    rows = A.urls(spark, sf).select("ord", F.get(texts, (F.col("ord") % len(kinds)).cast("int")).alias("bundle"))
+    return integrity.verified(rows).select("ord", "ok", "reason")
+
+
+@query("int_bundle_summary", "SELECT 'ti-bundle-v1' AS version, count(*) AS indicators, 54 AS brands, 26 AS shorteners FROM (SELECT DISTINCT indicator FROM v_ti)")
+def int_bundle_summary(spark, sf):
+    """A bundle built of the feed's digests, which are a list that a device holds, and what it says of itself."""
+    listed = [r.digest for r in integrity.bundle_digests(A.digests(A.intel(spark, sf))).collect()]
+    said = integrity.bundle_summary(integrity.build_bundle(listed, "2026-09-01"))
+    return spark.createDataFrame([(said["bundleVersion"], said["indicatorCount"], said["brandCount"], said["shortenerCount"])], "version string, indicators long, brands int, shorteners int")
+
+
 @query("snk_comparison", "SELECT ord AS k, 'new' AS v FROM v_urls WHERE ord % 4 = 0 UNION ALL SELECT ord, 'old' FROM v_urls WHERE ord % 2 = 0 AND ord % 4 <> 0")
 def snk_comparison(spark, sf):
     rows = A.urls(spark, sf)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import features
-from ..operators import models, sampling
+from ..operators import models, policy, sampling
 from ..sources import feeds, sinks
 from ..streaming import incremental
 from . import adapters as A
@@ -38,6 +38,24 @@ def src_jsonl(spark, sf):
     return feeds.read_any(spark, path).select("ord", "url")
 
 
+@query("src_json", "SELECT CAST(ord AS BIGINT) AS ord, url FROM v_urls")
+def src_json(spark, sf):
+    """Files of one JSON array each, of up to 500 records."""
+    folder = incremental.shared_folder(spark, "feeds") + "/rows.json"
+    arrays = A.urls(spark, sf).groupBy(F.floor(F.col("ord") / 500)).agg(F.to_json(F.collect_list(F.struct("ord", "url"))).alias("value")).select("value")
+    arrays.write.option("maxRecordsPerFile", 1).text(folder)
+    return feeds.read_any(spark, folder).select(F.col("ord").cast("long").alias("ord"), "url")
+
+
+@query("snk_csv", "SELECT ord, url, label, source, collected_at FROM v_raw")
+def snk_csv(spark, sf):
+    """What an export holds, read again with the engine's own reader; blanks and quotes survive."""
+    folder = incremental.shared_folder(spark, "sinks") + "/raw.csv"
+    rows = A.raw(spark, sf)
+    sinks.export_csv(rows, folder)
+    return spark.read.csv(folder, header=True, schema=rows.schema, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, multiLine=True)
+
+
 @query("src_tranco", "SELECT 'https://' || hostname AS url, 'BENIGN' AS label, 'tranco' AS source, min(ord) AS rank FROM v_hosts GROUP BY hostname")
 def src_tranco(spark, sf):
     rows = A.hosts(spark, sf).groupBy("hostname").agg(F.min("ord").alias("rank"))
@@ -71,6 +89,26 @@ def src_phishtank(spark, sf):
     return feeds.parse(spark, "phishtank", folder).select("url", "collected_at", "source")
 
 
+@query("src_cert_pl", "SELECT DISTINCT 'https://' || hostname || '/' AS url, 'PHISHING' AS label, 'cert_polska' AS source FROM v_hosts")
+def src_cert_pl(spark, sf):
+    rows = A.hosts(spark, sf).groupBy("hostname").agg(F.min("ord").alias("ord"))
+    listed = F.collect_list(F.struct(F.concat(F.lit(" "), "hostname", F.lit(".")).alias("DomainAddress"), F.col("ord").alias("RegisterPositionId")))
+    folder = incremental.shared_folder(spark, "feeds") + "/hole.json"
+    rows.groupBy(F.floor(F.col("ord") / 500)).agg(F.to_json(listed).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    return feeds.parse(spark, "cert_polska", folder, collected_at="2026-09-01").select("url", "label", "source")
+
+
+@query("src_threatfox", "SELECT 'https://' || hostname || '/' AS url, 'MALWARE' AS label, 'botnet_cc' AS threat_type, min(ord) % 3 AS kind FROM v_hosts GROUP BY hostname HAVING min(ord) % 3 <> 1")
+def src_threatfox(spark, sf):
+    """Documents of up to 500 indicators; those of other kinds and threats go."""
+    folder = incremental.shared_folder(spark, "feeds") + "/iocs.json"
+    rows = A.hosts(spark, sf).groupBy("hostname").agg((F.min("ord") % 3).alias("kind"), F.min("ord").alias("ord"))
+    listed = rows.select("ord", F.struct(F.concat(F.lit("."), "hostname", F.lit(".")).alias("ioc"), F.when(F.col("kind") == 1, "url").otherwise("domain").alias("ioc_type"), F.lit("botnet_cc").alias("threat_type"), F.array(F.col("kind").cast("string")).alias("tags")).alias("d"))
+    docs = listed.groupBy(F.floor(F.col("ord") / 500)).agg(F.to_json(F.struct(F.lit("ok").alias("query_status"), F.collect_list("d").alias("data"))).alias("value")).select("value")
+    docs.write.option("maxRecordsPerFile", 1).text(folder)
+    return feeds.parse(spark, "threatfox", folder, collected_at="2026-09-01").select("url", "label", "threat_type", F.col("tags").cast("long").alias("kind"))
+
+
 @query("src_urlhaus", "SELECT url, collected_at, 'MALWARE' AS label FROM v_urls")
 def src_urlhaus(spark, sf):
     rows = A.urls(spark, sf)
@@ -88,12 +126,12 @@ def src_union_raw(spark, sf):
     return feeds.load_raw(spark, root, {"benign": ["a.csv"], "phishing": ["b.txt"]}).groupBy("label", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src_snapshot_discover")
+@query("src_snapshot_discover", "SELECT collected_at AS snapshot_date, CAST(count(*) AS INTEGER) AS records, sha256(string_agg(url || chr(10), '' ORDER BY ord)) AS sha256 FROM v_urls GROUP BY 1")
 def src_snapshot_discover(spark, sf):
     root = incremental.shared_folder(spark, "snapshots")
     rows = A.urls(spark, sf)
     for (day,) in rows.where("collected_at is not null").select("collected_at").distinct().collect():
-        rows.where(F.col("collected_at") == day).select("url").coalesce(1).write.text(f"{root}/{day}")
+        rows.where(F.col("collected_at") == day).coalesce(1).sortWithinPartitions("ord").select("url").write.text(f"{root}/{day}")
     return feeds.discover_snapshots(spark, root).where("path like '%.txt'").select("snapshot_date", "records", "sha256")
 
 
@@ -185,10 +223,25 @@ def mdl_ablation(spark, sf):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.max("feature__url_length").alias("left_over"))
 
 
-@query("imp_permutation")
+_PERMUTED = " UNION ALL ".join(f"""
+SELECT 'x{k}' AS feature, avg(CAST((l.x0n * 2 > l.x1n + l.x2n) <> (l.x0 * 2 > l.x1 + l.x2) AS INTEGER)) AS change_rate FROM (
+  SELECT a.x0, a.x1, a.x2, {', '.join(f'b.x{j} AS x{j}n' if j == k else f'a.x{j} AS x{j}n' for j in range(3))} FROM
+  (SELECT *, substr(sha256('{42 + k}|' || id), 1, 2) AS b, row_number() OVER (PARTITION BY substr(sha256('{42 + k}|' || id), 1, 2) ORDER BY sha256('{1042 + k}|' || id), id) AS r FROM x) a JOIN
+  (SELECT *, substr(sha256('{42 + k}|' || id), 1, 2) AS b, row_number() OVER (PARTITION BY substr(sha256('{42 + k}|' || id), 1, 2) ORDER BY sha256('{2042 + k}|' || id), id) AS r FROM x) b USING (b, r)) l""" for k in range(3))
+
+
+@query("mdl_ablation_policy", "SELECT CASE WHEN white THEN 'ALLOW' WHEN p >= 0.7 AND CAST(ip AS INTEGER) + CAST(mismatch AS INTEGER) >= 1 THEN 'BLOCK' WHEN p >= 0.3 THEN 'REVIEW' ELSE 'ALLOW' END AS action, count(*) AS n FROM v_dec GROUP BY 1")
+def mdl_ablation_policy(spark, sf):
+    """What the first policy decides without intelligence and the login keyword."""
+    rows = models.ablate(A.decisions(spark, sf), ["known_malicious", "contains_login"])
+    decided = rows.select(policy.decide_v1(policy.evidence_count(set(rows.columns))).action.alias("action"))
+    return decided.groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("imp_permutation", f"WITH x AS (SELECT id, p0 AS x0, p1 AS x1, p2 AS x2 FROM v_scored3), u AS ({_PERMUTED}) SELECT feature, round(change_rate, 6) AS change_rate FROM u ORDER BY change_rate DESC, feature LIMIT 10")
 def imp_permutation(spark, sf):
     score = lambda df: df.withColumn("predicted", (F.col("x0") * 2 > F.col("x1") + F.col("x2")).cast("int"))
-    return models.permutation_importance(_examples(spark, sf), ["x0", "x1", "x2"], score, "id")
+    return models.permutation_importance(_examples(spark, sf), ["x0", "x1", "x2"], score, "id").select("feature", F.round("change_rate", 6).alias("change_rate"))
 
 
 @query("cal_holdout", "SELECT count(*) AS n FROM v_scored3 WHERE half = 1 OR source <> 's1'")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import confusables, features, urls
-from ..functions.constants import FEATURES, KEYWORDS
+from ..functions.constants import FEATURES, KEYWORDS, SUFFIX_RULES
 from ..operators import audit, cleaning, intel
 from . import adapters as A
 from .registry import query
@@ -40,6 +40,34 @@ def url_domain_parts(spark, sf):
     return A.hosts(spark, sf).select("ord", "subdomain", "domain", "suffix", "registrable_domain")
 
 
+_SUFFIX_HOSTS = ("a.b.co.uk", "co.uk", "b.com", "x.y.z.ck", "www.ck", "a.www.ck", "y.ck", "m.city.kawasaki.jp", "m.n.kawasaki.jp", "c.m.n.kawasaki.jp", "k.ne.jp", "one.two.unlisted", "printer", "192.0.2.7", "a.uk")
+
+
+def _suffix_rows(spark, sf):
+    return A.urls(spark, sf).select("ord", A.pick("ord", _SUFFIX_HOSTS).alias("hostname"))
+
+
+_SUFFIX_SQL = f"""
+WITH r AS (SELECT unnest([{', '.join(map(repr, SUFFIX_RULES))}]) AS rule),
+h AS (SELECT DISTINCT {A._PICK('ord', _SUFFIX_HOSTS)} AS hostname FROM v_urls),
+k AS (SELECT hostname, string_split(hostname, '.') AS l, unnest(range(1, len(string_split(hostname, '.')) + 1)) AS n FROM h WHERE NOT regexp_matches(hostname, '^[0-9.]+$')),
+t AS (SELECT hostname, n, array_to_string(l[len(l) - n + 1 :], '.') AS tail, array_to_string(l[len(l) - n + 2 :], '.') AS parent FROM k),
+m AS (SELECT hostname, max(CASE WHEN rule = '!' || tail THEN n - 1 END) AS but, max(CASE WHEN rule = tail OR rule = '*.' || parent THEN n END) AS longest FROM t JOIN r ON rule IN (tail, '*.' || parent, '!' || tail) GROUP BY 1),
+s AS (SELECT hostname, string_split(hostname, '.') AS l, coalesce(but, longest, 0) AS n FROM h LEFT JOIN m USING (hostname))
+"""
+
+
+@query("url_suffixes", _SUFFIX_SQL + "SELECT ord, array_to_string(l[len(l) - n + 1 :], '.') AS suffix, CASE WHEN n = 0 OR n >= len(l) THEN hostname ELSE array_to_string(l[len(l) - n :], '.') END AS registrable_domain FROM v_urls JOIN s ON hostname = " + A._PICK("ord", _SUFFIX_HOSTS))
+def url_suffixes(spark, sf):
+    """Several labels, wildcards, exceptions and endings without a rule."""
+    return urls.with_domain_parts(_suffix_rows(spark, sf), rules=SUFFIX_RULES).select("ord", "suffix", "registrable_domain")
+
+
+@query("url_unknown_endings", f"SELECT regexp_extract(hostname, '[^.]+$') AS ending, count(*) AS n FROM (SELECT {A._PICK('ord', _SUFFIX_HOSTS)} AS hostname FROM v_urls) WHERE hostname IN ('one.two.unlisted', 'printer', 'www.ck', 'y.ck') AND hostname NOT LIKE '%.ck' GROUP BY 1")
+def url_unknown_endings(spark, sf):
+    return urls.unknown_endings(urls.with_domain_parts(_suffix_rows(spark, sf), rules=SUFFIX_RULES))
+
+
 @query("url_domain_url", "SELECT hostname, 'https://' || hostname || '/' AS model_url, count(*) AS n FROM v_hosts GROUP BY 1")
 def url_domain_url(spark, sf):
     return A.hosts(spark, sf).groupBy("hostname", urls.domain_url(F.col("hostname")).alias("model_url")).agg(F.count(F.lit(1)).alias("n"))
@@ -179,6 +207,14 @@ def view_domain_only_hosts(spark, sf):
     return cleaning.domain_only_view(cleaning.clean(A.raw(spark, sf)).clean, host="hostname").select("model_url", "label", "ord")
 
 
+@query("view_domain_only_labels", "SELECT 'https://' || registrable_domain || '/' AS model_url, CASE WHEN length(registrable_domain) % 2 = 0 THEN 'BENIGN' ELSE 'PHISHING' END AS label, min(ord) AS ord FROM v_clean GROUP BY registrable_domain")
+def view_domain_only_labels(spark, sf):
+    """The view by registrable domain where domains agree on their label."""
+    rows = cleaning.clean(A.raw(spark, sf)).clean
+    rows = rows.withColumn("label", F.when(F.length("registrable_domain") % 2 == 0, "BENIGN").otherwise("PHISHING"))
+    return cleaning.domain_only_view(rows).select("model_url", "label", "ord")
+
+
 @query("view_full_url", "SELECT normalized_url AS model_url, label, source, ord FROM v_clean WHERE (label = 'BENIGN' AND source = 'commoncrawl_tranco_candidate') OR (label = 'PHISHING' AND source IN ('openphish', 'phishtank')) OR (label = 'MALWARE' AND source = 'urlhaus')")
 def view_full_url(spark, sf):
     return cleaning.full_url_view(cleaning.clean(A.raw(spark, sf)).clean).select("model_url", "label", "source", "ord")
@@ -194,6 +230,16 @@ def accumulate_counts(spark, sf):
     return cleaning.accumulation_counts(A.snapshots(spark, sf))
 
 
+@query("accumulate_counts_mixed", """
+WITH s AS (SELECT CASE WHEN ord % 17 = 0 THEN 'ftp://' || ord ELSE 'https://u' || user_id || '.e' || (user_id % 5) || '.org/' END AS url, ord % 17 = 0 AS bad, user_id FROM v_snap)
+SELECT count(*) AS total_raw, count(*) FILTER (bad) AS invalid, count(*) FILTER (NOT bad) - count(DISTINCT url) FILTER (NOT bad) AS duplicates, count(DISTINCT url) FILTER (NOT bad) AS unique_urls, count(DISTINCT user_id % 5) FILTER (NOT bad) AS unique_domains FROM s""")
+def accumulate_counts_mixed(spark, sf):
+    """With rejected URLs and several domains."""
+    url = F.concat(F.lit("https://u"), F.col("user_id").cast("string"), F.lit(".e"), (F.col("user_id") % 5).cast("string"), F.lit(".org/"))
+    rows = A.snapshots(spark, sf).withColumn("url", F.when(F.col("ord") % 17 == 0, F.concat(F.lit("ftp://"), F.col("ord").cast("string"))).otherwise(url))
+    return cleaning.accumulation_counts(rows)
+
+
 @query("docs_dedup", "SELECT min(doc_id) AS ord, count(*) AS copies FROM documents GROUP BY text")
 def docs_dedup(spark, sf):
     rows = A.read(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("ord"), F.count(F.lit(1)).alias("copies"))
@@ -267,6 +313,16 @@ def agg_hosttype(spark, sf):
     return audit.host_type_counts(A.hosts(spark, sf), by=["label"])
 
 
+@query("agg_hosttype_mixed", """
+WITH k AS (SELECT label, CASE ord % 4 WHEN 0 THEN 'IPV4' WHEN 1 THEN 'IPV6' ELSE 'DOMAIN' END AS t, CASE ord % 4 WHEN 0 THEN '192.0.2.' || (ord % 200) WHEN 1 THEN '2001:db8::' || (ord % 99) ELSE 'a.example' END AS h FROM v_urls),
+c AS (SELECT label, count(*) AS n, count(*) FILTER (t = 'DOMAIN') AS domain, count(*) FILTER (t = 'IPV4') AS ipv4, count(*) FILTER (t = 'IPV6') AS ipv6, count(DISTINCT h) AS unique_hosts FROM k GROUP BY 1)
+SELECT *, round(domain / n::DOUBLE, 6) AS domain_share, round(ipv4 / n::DOUBLE, 6) AS ipv4_share, round(ipv6 / n::DOUBLE, 6) AS ipv6_share FROM c""")
+def agg_hosttype_mixed(spark, sf):
+    k = F.col("ord") % 4
+    host = F.when(k == 0, F.concat(F.lit("192.0.2."), (F.col("ord") % 200).cast("string"))).when(k == 1, F.concat(F.lit("2001:db8::"), (F.col("ord") % 99).cast("string"))).otherwise("a.example")
+    return audit.host_type_counts(A.urls(spark, sf).withColumn("hostname", host), by=["label"])
+
+
 @query("agg_stage_audit", """
 WITH s AS (SELECT 'cleaned' AS stage, hostname FROM v_clean WHERE label = 'MALWARE' UNION ALL SELECT 'raw', regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1) FROM v_raw WHERE label = 'MALWARE')
 SELECT stage, count(*) AS n, count(*) AS domain, CAST(0 AS BIGINT) AS ipv4, CAST(0 AS BIGINT) AS ipv6, count(DISTINCT hostname) AS unique_hosts, 1.0::DOUBLE AS domain_share, 0.0::DOUBLE AS ipv4_share, 0.0::DOUBLE AS ipv6_share FROM s GROUP BY 1""")

@@ -33,8 +33,9 @@ def accumulate_into(stream: DataFrame, target: str, checkpoint: str, url: str =
     """
 
     def append(batch: DataFrame, number: int) -> None:
-        rows = with_normalized(batch, url).where("normalized_url is not null")
-        minima = rows.groupBy("normalized_url").agg(F.min(date).alias("first_snapshot_date"))
+        distinct = batch.groupBy(F.col(url).alias("url")).agg(F.min(date).alias("first_"))
+        rows = with_normalized(distinct).where("normalized_url is not null")
+        minima = rows.groupBy("normalized_url").agg(F.min("first_").alias("first_snapshot_date"))
         minima.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -44,18 +45,24 @@ def read_accumulated(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(target).groupBy("normalized_url").agg(F.min("first_snapshot_date").alias("first_snapshot_date"))
 
 
-def register_into(stream: DataFrame, target: str, checkpoint: str, key: str = "snapshot_id"):
-    """Append records of new ids, batch by batch; a repeated batch writes the same folder again."""
+def register_into(stream: DataFrame, target: str, checkpoint: str, key: str = "snapshot_id", digest: str | None = None):
+    """Append records of new ids, batch by batch; a repeated batch writes the same folder again.
+
+    With digest, an id that comes again, in one batch or in a later one, must have the digest that it had; another one
+    ends the stream with an error.
+    """
 
     def append(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        try:
-            known = spark.read.option("basePath", target).parquet(target).where(F.col("batch") != number).select(key)
-            fresh = fresh.join(known, key, "left_anti")
-        except Exception as error:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
+        columns = batch.schema
+        empty = batch.sparkSession.createDataFrame([], columns.add("batch", "long") if "batch" not in columns.fieldNames() else columns)
+        empty.limit(0).write.mode("ignore").partitionBy("batch").parquet(target)
+        known = batch.sparkSession.read.schema(empty.schema).option("basePath", target).option("recursiveFileLookup", False).parquet(target).where(F.col("batch") != number)
+        if digest:
+            both = batch.select(key, digest).unionByName(known.select(key, digest)).groupBy(key).agg(F.min(digest).alias("a"), F.max(digest).alias("b"))
+            clash = both.where("a <> b").select(F.col(key).cast("string")).first()
+            if clash:
+                raise ValueError(f"{clash[0]} is registered with another digest")
+        fresh = batch.dropDuplicates([key]).join(known.select(key), key, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -68,9 +75,11 @@ def daily_rates(stream: DataFrame, event_time: str = "ts", delay: str = "1 day",
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, a temporary one for the session."""
+    """A new folder below spark.checkpoint.dir; where that is unset, a temporary one for the session, in local mode only."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="sievework-")
         spark.conf.set("spark.checkpoint.dir", top)
     return os.path.join(top, name, uuid.uuid4().hex)
