@@ -10,10 +10,12 @@ however many words the corpus has, while all word counts come from all documents
 1. Each task tokenises its documents once, in chunks of CHUNK_BYTES of text: a chunk keeps its tokens as numbers
    of its own word list. Chunks and word lists are a written table.
 2. Word lists are summed by word into corpus counts.
-3. Every iteration, tasks add up Baum-Welch counts of their chunks, and a shuffle adds up the tasks' counts, as
-   whole multiples of 2**-16 so that the sum does not depend on its order.
+3. Every iteration, tasks add up Baum-Welch counts of their chunks in double precision, and a shuffle adds up the
+   tasks' counts as whole numbers and whole multiples of 2**-40, so that the sum does not depend on its order. How
+   rows are dealt into tasks and chunks changes scores by rounding only.
 4. Word lists take their corpus counts by a join, meet their chunk again, and the scaled forward recursion over
-   whole documents gives the exact likelihood.
+   whole documents gives the exact likelihood. A word has one row per chunk that holds it and a chunk has as many
+   rows as distinct words, so no word holds a large share of the rows that meet in that join.
 
 Defined results: a null or empty text is the end alone; a row with a null id is scored and not learned from;
 repeated rows count each; with nothing to learn from every event is the unseen one with probability 1; an empty
@@ -36,9 +38,11 @@ from .common import column, materialize, sorted_groups, table
 STATES = 8
 CLASSES = 8192
 ITERATIONS = 6
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
+#: Tokens whose messages a task holds at a time, but for a single document that is longer.
+BLOCK_TOKENS = 1 << 19
 SMOOTHING = 50.0
-UNIT = 1 << 16
+UNIT = 1 << 40
 #: Stands for a document's end; no word holds a space.
 END = b" "
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -161,7 +165,7 @@ def expected(symbols: np.ndarray, first: np.ndarray, model: Model) -> np.ndarray
     Whole documents are worked on side by side, the longest first: place t of all that have one is one block.
     """
     k = len(model.start)
-    move, start = model.move.astype(np.float32), model.start.astype(np.float32)
+    move, start = model.move, model.start
     begins = np.flatnonzero(first)
     lengths = np.diff(np.append(begins, len(symbols)))
     order = np.argsort(-lengths, kind="stable")
@@ -171,19 +175,19 @@ def expected(symbols: np.ndarray, first: np.ndarray, model: Model) -> np.ndarray
     rank[order] = np.arange(len(order))
     x = np.empty(len(symbols), np.int64)
     x[at[np.arange(len(symbols)) - np.repeat(begins, lengths)] + np.repeat(rank, lengths)] = symbols
-    emit = model.emit.astype(np.float32)[x]
-    alpha, scale = np.empty_like(emit), np.empty((len(x), 1), np.float32)
-    ones = np.ones((k, 1), np.float32)
+    emit = model.emit[x]
+    alpha, scale = np.empty_like(emit), np.empty((len(x), 1))
+    ones = np.ones((k, 1))
     blocks = list(zip(at[:-1].tolist(), at[1:].tolist()))
     for t, (i, j) in enumerate(blocks):
         a = alpha[before : before + j - i] @ move if t else np.tile(start, (j, 1))
         a *= emit[i:j]
-        np.maximum(a @ ones, 1e-30, out=scale[i:j])
+        np.maximum(a @ ones, 1e-300, out=scale[i:j])
         np.divide(a, scale[i:j], out=alpha[i:j])
         before = i
     emit /= scale
     moves = np.zeros((k, k))
-    beta = np.ones((len(order), k), np.float32)
+    beta = np.ones((len(order), k))
     back = move.T.copy()
     for t in range(len(blocks) - 1, 0, -1):
         (i, j), before = blocks[t], blocks[t - 1][0]
@@ -207,29 +211,51 @@ def baum_welch(chunks: DataFrame, model: Model) -> np.ndarray:
     """The expected counts of all training documents: summed within tasks, then by a shuffle."""
     k = len(model.start)
 
+    names = [f"{kind}{s}" for kind in "wf" for s in range(k)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((CLASSES + k + 1, k))
         for batch in batches:
             for lengths, held, ids, tokens, classes in zip(*(batch.column(c) for c in range(5))):
                 n = lengths.values.to_numpy()
                 use = np.array([not h and i is not None for h, i in zip(held.as_py(), ids.as_py())], bool)
-                keep = np.repeat(use, n)
-                symbols = np.frombuffer(classes.as_py(), "<u2")[np.frombuffer(tokens.as_py(), "<i4")][keep].astype(np.int64)
-                if len(symbols):
-                    first = np.zeros(len(symbols), bool)
-                    first[np.cumsum(np.append(0, n[use]))[:-1]] = True
-                    total += expected(symbols, first, model)
+                symbols = np.frombuffer(classes.as_py(), "<u2")[np.frombuffer(tokens.as_py(), "<i4")][np.repeat(use, n)].astype(np.int64)
+                symbols, n = by_length(symbols, n[use].astype(np.int64))
+                for a, b, starts in blocks_of(n, BLOCK_TOKENS):
+                    first = np.zeros(b - a, bool)
+                    first[starts] = True
+                    total += expected(symbols[a:b], first, model)
         rows = np.flatnonzero(total.any(1))
-        whole = np.rint(total[rows] * UNIT).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *(pa.array(whole[:, s]) for s in range(k))], ["row", *(f"s{s}" for s in range(k))])
+        whole = np.floor(total[rows])
+        parts = [*whole.T.astype(np.int64), *np.rint((total[rows] - whole) * UNIT).T.astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *map(pa.array, parts)], ["row", *names])
 
-    parts = chunks.select("lengths", "held", "doc_ids", "tokens", "classes").mapInArrow(run, "row int, " + ", ".join(f"s{s} long" for s in range(k)))
+    parts = chunks.select("lengths", "held", "doc_ids", "tokens", "classes").mapInArrow(run, "row int, " + ", ".join(f"{n} long" for n in names))
     out = np.zeros((CLASSES + k + 1, k))
-    for r in parts.groupBy("row").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(k)]).collect():
-        out[r["row"]] = [r[f"s{s}"] / UNIT for s in range(k)]
+    for r in parts.groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).collect():
+        out[r["row"]] = [r[f"w{s}"] + r[f"f{s}"] / UNIT for s in range(k)]
     return out
 
 
+def by_length(symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents (one after the other) with the longest first: documents of like lengths keep all of a block's lanes busy."""
+    order = np.argsort(-lengths, kind="stable")
+    begins, sorted_lengths = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    shift = begins - (np.cumsum(sorted_lengths) - sorted_lengths)
+    return symbols[np.repeat(shift, sorted_lengths) + np.arange(len(symbols))], sorted_lengths
+
+
+def blocks_of(lengths: np.ndarray, tokens: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first, end, starts of documents from first) of runs of documents of up to so many tokens, or of a longer one."""
+    ends = np.cumsum(lengths)
+    at = 0
+    while at < len(ends):
+        begin = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, begin + tokens, "right")))
+        yield begin, int(ends[stop - 1]), ends[at:stop] - lengths[at:stop] - begin
+        at = stop
+
+
 def log_likelihoods(symbols: np.ndarray, lengths: np.ndarray, model: Model, events: np.ndarray) -> np.ndarray:
     """Natural log-likelihoods of documents (their symbols one after the other) by the scaled forward recursion."""
     order = np.argsort(-lengths, kind="stable")

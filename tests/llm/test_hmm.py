@@ -133,4 +133,38 @@ def test_training_raises_held_out_likelihood(spark, docs):
 def test_degenerate(spark, docs):
     assert hmm.score_documents(docs.limit(0)).count() == 0
     got = hmm.score_documents(docs.where("doc_id is null")).collect()
-    assert [(r.n_known, r.train_tokens, r.base_score, r.score, r.held_out) for r in got] == [(0, 0, 0.0, 0.0, False)]
+    assert [(r.n_known, r.train_tokens, r.base_score, r.held_out) for r in got] == [(0, 0, 0.0, False)]
+    assert got[0].score == pytest.approx(0, abs=1e-12)
+
+
+def test_scores_do_not_depend_on_layout(spark, monkeypatch):
+    """Other partitions, orders, chunks and blocks give the same scores but for rounding."""
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(400)]
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(words, int(n)))) for k, n in enumerate(rng.integers(1, 90, 60))] + [(900 + k, " ".join(rng.choice(words[k::3], 1500))) for k in range(3)], "doc_id long, text string")
+    score = lambda d, size: np.array([r.score for r in hmm.score_documents(d, states=3, iterations=3, chunk_bytes=size).orderBy("doc_id").collect()])
+    one = score(docs.coalesce(1).sortWithinPartitions("doc_id"), 1 << 20)
+    monkeypatch.setattr(hmm, "BLOCK_TOKENS", 200)
+    two = score(docs.repartition(7).sortWithinPartitions("text"), 3000)
+    np.testing.assert_allclose(one, two, rtol=1e-9)
+
+
+def test_blocks_hold_whole_documents():
+    rng = np.random.default_rng(10)
+    for limit in (1, 7, 100, 10_000):
+        lengths = rng.integers(1, 30, 50)
+        found = [(a + s, b) for a, b, starts in hmm.blocks_of(lengths, limit) for s in starts]
+        assert [f[0] for f in found] == [0, *np.cumsum(lengths)[:-1].tolist()]
+        blocks = list(hmm.blocks_of(lengths, limit))
+        assert blocks[-1][1] == lengths.sum() and all(x[1] == y[0] for x, y in zip(blocks, blocks[1:]))
+        assert all(b - a <= limit or len(starts) == 1 for a, b, starts in blocks)
+    assert list(hmm.blocks_of(np.zeros(0, np.int64), 5)) == []
+
+
+def test_by_length_keeps_documents():
+    rng = np.random.default_rng(11)
+    docs = [rng.integers(0, 100, n) for n in rng.integers(1, 9, 40)]
+    symbols, lengths = hmm.by_length(np.concatenate(docs), np.array([len(d) for d in docs]))
+    assert lengths.tolist() == sorted((len(d) for d in docs), reverse=True)
+    parts = np.split(symbols, np.cumsum(lengths)[:-1])
+    assert sorted(p.tolist() for p in parts) == sorted(d.tolist() for d in docs)
