@@ -6,9 +6,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.constants import FEATURES, LABELS
+from ..functions.features import with_features
+from ..functions.urls import with_normalized
 from .metrics import class_weights
 from .sampling import group_folds, order_key
 
@@ -24,13 +27,35 @@ def assembled(df: DataFrame, columns: Sequence[str], y: str = "y", weights: int
     return out.join(F.broadcast(table), y)
 
 
-def fit_trees(df: DataFrame, columns: Sequence[str], classes: int, y: str = "y", seed: int = 42, rounds: int = 20):
-    """Gradient-boosted trees for two classes, a forest for more, with balanced weights."""
-    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+class OneVersusRest:
+    """Two-class models, one per class, whose probabilities of their class are scaled to sum to one."""
 
-    kind = GBTClassifier(maxIter=rounds, seed=seed) if classes == 2 else RandomForestClassifier(numTrees=rounds, seed=seed)
-    kind.setFeaturesCol("features").setLabelCol(y).setWeightCol("weight")
-    return kind.fit(assembled(df, columns, y, classes))
+    def __init__(self, models: Sequence):
+        self.models = models
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+
+        for k, model in enumerate(self.models):
+            df = model.setProbabilityCol(f"_p{k}").setRawPredictionCol(f"_r{k}").setPredictionCol(f"_c{k}").transform(df)
+        own = F.array(*[F.get(vector_to_array(f"_p{k}"), F.lit(1)) for k in range(len(self.models))])
+        df = df.withColumn("_own", own).withColumn("_sum", F.aggregate("_own", F.lit(0.0), lambda acc, x: acc + x))
+        df = df.withColumn("_own", F.transform("_own", lambda x: x / F.col("_sum")))
+        return df.withColumns({"probability": array_to_vector("_own"), "prediction": (F.array_position("_own", F.array_max("_own")) - 1).cast("double")})
+
+
+def fit_trees(df: DataFrame, columns: Sequence[str], classes: int, y: str = "y", seed: int = 42, rounds: int = 20, without: Sequence[str] = ()):
+    """Gradient-boosted trees with balanced weights: one model for two classes, one against the rest for each of more.
+
+    without names columns to leave out (IP_FEATURES for the variant without them); predict takes the same columns.
+    """
+    from pyspark.ml.classification import GBTClassifier
+
+    rows = assembled(df, [c for c in columns if c not in without], y, classes)
+    fit = lambda frame, label: GBTClassifier(maxIter=rounds, seed=seed, featuresCol="features", labelCol=label, weightCol="weight").fit(frame)
+    if classes == 2:
+        return fit(rows, y)
+    return OneVersusRest([fit(rows.withColumn("_is", (F.col(y) == k).cast("int")), "_is") for k in range(classes)])
 
 
 def fit_logistic(df: DataFrame, columns: Sequence[str], y: str = "y"):
@@ -61,6 +86,18 @@ def out_of_fold(df: DataFrame, columns: Sequence[str], group: str, k: int = 5, y
     return out
 
 
+def predict_url(spark: SparkSession, model, url: str, columns: Sequence[str] = FEATURES, names: Sequence[str] = LABELS) -> dict:
+    """One URL's normal form, features, probabilities by class and likeliest class; an error where the URL is rejected."""
+    rows = with_features(with_normalized(spark.createDataFrame([(url,)], "url string")).where("normalized_url is not null"))
+    found = predict(model, rows, columns).first()
+    if found is None:
+        raise ValueError("the URL is rejected")
+    return {
+        "resultType": "Model prediction", "normalizedUrl": found["normalized_url"], "registrableDomain": found["registrable_domain"], "features": {f: found[f] for f in FEATURES},
+        "probabilities": dict(zip(names, found["p"])), "predictedClass": names[found["predicted"]],
+    }
+
+
 class Network:
     """A dense trunk with GELU and softmax heads, run by numpy on batches; weights are plain arrays."""
 
@@ -86,6 +123,93 @@ class Network:
         return out
 
 
+    def arrays(self) -> list[np.ndarray]:
+        return [a for pair in (*self.layers, *self.heads.values()) for a in pair]
+
+    def moved(self, flat: np.ndarray) -> Network:
+        """The same shapes with other values, given one after the other."""
+        cuts = np.cumsum([a.size for a in self.arrays()])[:-1]
+        made = [v.reshape(a.shape) for v, a in zip(np.split(flat, cuts), self.arrays())]
+        pairs = list(zip(made[::2], made[1::2]))
+        return Network(pairs[: len(self.layers)], dict(zip(self.heads, pairs[len(self.layers) :])))
+
+    def gradient(self, x: np.ndarray, targets: dict[str, np.ndarray], weights: dict[str, np.ndarray]) -> tuple[float, np.ndarray]:
+        """(loss, its gradient, flat): cross entropies of all heads, summed over rows; a target below 0 does not count."""
+        inputs, slopes = [x], []
+        for w, b in self.layers:
+            z = inputs[-1] @ w + b
+            t = np.tanh(0.7978845608028654 * (z + 0.044715 * z**3))
+            slopes.append(0.5 * (1 + t) + 0.5 * z * (1 - t * t) * 0.7978845608028654 * (1 + 3 * 0.044715 * z * z))
+            inputs.append(0.5 * z * (1 + t))
+        loss, back, heads = 0.0, np.zeros_like(inputs[-1]), []
+        for name, (w, b) in self.heads.items():
+            z = inputs[-1] @ w + b
+            z = z - z.max(1, keepdims=True)
+            p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+            y = np.maximum(targets[name], 0)
+            scale = weights[name][y] * (targets[name] >= 0)
+            rows = np.arange(len(x))
+            loss -= float((scale * np.log(np.maximum(p[rows, y], 1e-300))).sum())
+            p[rows, y] -= 1
+            p *= scale[:, None]
+            heads += [inputs[-1].T @ p, p.sum(0)]
+            back += p @ w.T
+        layers: list[np.ndarray] = []
+        for (w, _), slope, below in zip(reversed(self.layers), reversed(slopes), reversed(inputs[:-1])):
+            back = back * slope
+            layers = [below.T @ back, back.sum(0), *layers]
+            back = back @ w.T
+        return loss, np.concatenate([a.ravel() for a in (*layers, *heads)])
+
+
+def _summed_gradient(rows: DataFrame, network: Network, weights: dict[str, np.ndarray], encoded: str) -> tuple[float, np.ndarray]:
+    """Loss and gradient over all rows: summed within tasks, then by slot in a shuffle; the network's size comes back."""
+    size, names = sum(a.size for a in network.arrays()), list(network.heads)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size + 1)
+        for batch in batches:
+            if len(batch):
+                loss, found = network.gradient(np.stack(batch[encoded].to_numpy()), {n: batch[n].fillna(-1).to_numpy(int) for n in names}, weights)
+                total += np.append(found, loss)
+        yield pd.DataFrame({"slot": np.arange(size + 1, dtype=np.int32), "value": total})
+
+    out = np.zeros(size + 1)
+    for r in rows.select(encoded, *names).mapInPandas(run, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).collect():
+        out[r.slot] = r["value"]
+    return out[-1], out[:-1]
+
+
+def fit_network(train: DataFrame, validation: DataFrame, start: Network, epochs: int = 50, rate: float = 0.01, decay: float = 1e-4, patience: int = 8, encoded: str = "encoded") -> tuple[Network, list[float]]:
+    """Train a network's heads on columns of their names (class numbers, null where unknown), with balanced weights.
+
+    An epoch is one step of Adam on the gradient over all rows, which tasks sum, under a cosine schedule; the network of
+    lowest validation loss is kept, and training ends when it has not fallen for patience epochs. Returns the network
+    and the validation losses. There is no dropout, and steps are whole passes, not small batches.
+    """
+    weights, counts = {}, {}
+    for name, (_, b) in start.heads.items():
+        found = {r[name]: r["count"] for r in train.where(F.col(name).isNotNull()).groupBy(name).count().collect()}
+        counts[name] = max(1, sum(found.values()))
+        weights[name] = np.array([counts[name] / (len(b) * max(1, found.get(k, 0))) for k in range(len(b))])
+    share = {n: w / counts[n] for n, w in weights.items()}
+    flat = np.concatenate([a.ravel() for a in start.arrays()]).astype(float)
+    first, second = np.zeros_like(flat), np.zeros_like(flat)
+    best, kept, losses = np.inf, start, []
+    for epoch in range(epochs):
+        _, slope = _summed_gradient(train, start.moved(flat), share, encoded)
+        first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope * slope
+        step = (first / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(second / (1 - 0.999 ** (epoch + 1))) + 1e-8)
+        now = rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
+        flat = flat - now * (step + decay * flat)
+        losses.append(_summed_gradient(validation, start.moved(flat), share, encoded)[0])
+        if losses[-1] < best:
+            best, kept = losses[-1], start.moved(flat)
+        elif epoch - int(np.argmin(losses)) >= patience:
+            break
+    return kept, losses
+
+
 def score_network(df: DataFrame, network: Network, encoded: str = "encoded") -> DataFrame:
     """Add one probability array per head, in Arrow batches."""
     heads = ", ".join(f"{n}: array<double>" for n in network.heads)

@@ -186,3 +186,24 @@ def counterfactuals(decide: Callable[[Column], Column], df: DataFrame, evidence:
     }
     names = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in broken.items()]))
     return rows.select("_row.*", names.alias("violations")).where(F.size("violations") > 0)
+
+
+# The fields of a golden decision.
+GOLDEN = ("input", "expectedAction", "expectedRisk", "expectedReasonCode", "brandDetected", "brandOfficialDomain", "brandDomainMismatch", "brandRiskScore", "shortenerDetected", "redirectStatus")
+
+
+def golden_fixtures(df: DataFrame, url: str = "url") -> DataFrame:
+    """What the second policy decides for rows with decision features and brand and shortener structs, as fixtures."""
+    decision = decide_v2(evidence_count(set(df.columns)))
+    values = (
+        F.col(url), decision.action, decision.risk, decision.reason, F.col("brand.detected"), F.col("brand.official_domain"), F.col("brand.domain_mismatch"),
+        F.round("brand.risk_score", 6), F.col("shortener.detected"), F.lit("NOT_OBSERVED"),
+    )
+    return df.select(*[v.alias(n) for n, v in zip(GOLDEN, values)])
+
+
+def golden_counts(fixtures: DataFrame) -> DataFrame:
+    """(kind, value, n): fixtures by action and by reason."""
+    found = fixtures.groupingSets([["expectedAction"], ["expectedReasonCode"]], "expectedAction", "expectedReasonCode").agg(F.count(F.lit(1)).alias("n"))
+    kind = F.when(F.col("expectedReasonCode").isNull(), "action").otherwise("reason")
+    return found.select(kind.alias("kind"), F.coalesce("expectedAction", "expectedReasonCode").alias("value"), "n")

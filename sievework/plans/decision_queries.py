@@ -558,6 +558,30 @@ def feat_v2(spark, sf):
     return made.select("ord", F.col("feature__brand_domain_mismatch").alias("mismatch"), F.col("feature__shortener_detected").alias("shortener"), F.col("available__redirect_count").alias("redirect_seen"))
 
 
+_GOLDEN = """
+WITH g AS (SELECT page_id AS ord, page_id % 10 AS k, (page_id % 101) / 100::DOUBLE AS p FROM pages),
+d AS (SELECT ord, CASE WHEN k IN (0, 1) THEN 'ALLOW OFFICIAL_BRAND_DOMAIN_ALLOW' WHEN k IN (2, 3, 4, 7) AND p >= 0.85 THEN 'BLOCK BRAND_IMPERSONATION_BLOCK' WHEN k IN (2, 3, 4, 7) THEN 'REVIEW BRAND_IMPERSONATION_REVIEW'
+  WHEN k IN (5, 6) THEN 'REVIEW SHORTENER_REVIEW' WHEN p >= 0.35 THEN 'REVIEW ELEVATED_PROBABILITY' ELSE 'ALLOW LOW_RISK' END AS decision, k IN (5, 6) AS short FROM g)
+"""
+
+
+def _golden(spark, sf):
+    rows = intel.brand_assessment(A.branded(spark, sf)).withColumn("shortener", intel.shortener(F.col("hostname"), F.col("registrable_domain")))
+    rows = rows.withColumns({"redirect": F.struct(F.lit("NOT_OBSERVED").alias("status"), F.lit(0).alias("count"), F.lit(False).alias("cross_domain")), "phishing_probability": (F.col("ord") % 101) / 100, "known_malicious": F.lit(0), "urlhaus_hit": F.lit(0), "threatfox_hit": F.lit(0)})
+    made = features.with_intel(features.with_decision_features(features.with_features(rows)))
+    return policy.golden_fixtures(made.withColumn("url", F.col("ord")))
+
+
+@query("int_golden", _GOLDEN + "SELECT ord AS input, split_part(decision, ' ', 1) AS action, split_part(decision, ' ', 2) AS reason, short AS shortener FROM d")
+def int_golden(spark, sf):
+    return _golden(spark, sf).select("input", F.col("expectedAction").alias("action"), F.col("expectedReasonCode").alias("reason"), F.col("shortenerDetected").alias("shortener"))
+
+
+@query("int_golden_counts", _GOLDEN + "SELECT 'action' AS kind, split_part(decision, ' ', 1) AS value, count(*) AS n FROM d GROUP BY 2 UNION ALL SELECT 'reason', split_part(decision, ' ', 2), count(*) FROM d GROUP BY 2")
+def int_golden_counts(spark, sf):
+    return policy.golden_counts(_golden(spark, sf))
+
+
 @query("feat_zscore", "SELECT round(avg(length(normalized_url)), 6) AS mean_url_length, round(stddev_pop(length(normalized_url)), 6) AS scale_url_length, round(avg(length(hostname)), 6) AS mean_hostname_length, 1.0::DOUBLE AS scale_redirect_count FROM v_hosts")
 def feat_zscore(spark, sf):
     return _rounded(features.fit_normalizer(_vector(spark, sf)), "mean_url_length", "scale_url_length", "mean_hostname_length", "scale_redirect_count")
