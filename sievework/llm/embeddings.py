@@ -194,3 +194,13 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, tile: int = T
 
 def op6_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL = f"""
+WITH RECURSIVE r AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, row_number() OVER () AS k FROM embeddings),
+v AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM r WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.k AS a, b.k AS b FROM v a JOIN v b ON a.label = b.label AND a.k <> b.k AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= {THRESHOLD}),
+reach(k, id) AS (SELECT k, vec_id FROM r UNION SELECT l.b, reach.id FROM reach JOIN l ON l.a = reach.k),
+c AS (SELECT k, min(id) AS component_id FROM reach GROUP BY 1), n AS (SELECT a AS k, count(*) AS n_links FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM r JOIN c USING (k) LEFT JOIN n USING (k)
+"""

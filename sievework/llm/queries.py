@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import ORACLE_SQL as CHAT_SQL
 from .chat import op2_chat_formatting
+from .embeddings import ORACLE_SQL as EMBEDDINGS_SQL
 from .embeddings import op6_embedding_near_dedup
 from .hmm import op1_lm_scoring
 from .langid import op9_language_id
@@ -36,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": CHAT_SQL, "op4_warc": WARC_SQL}
+    return {"op2_chat_formatting": CHAT_SQL, "op4_warc": WARC_SQL, "op6_embedding_near_dedup": EMBEDDINGS_SQL}
