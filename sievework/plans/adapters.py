@@ -103,12 +103,19 @@ def snapshots(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "events").select(F.col("event_id").alias("ord"), F.concat(F.lit("https://u"), F.col("user_id").cast("string"), F.lit(".example.org/")).alias("url"), F.date_format("ts", "yyyy-MM-dd").alias("snapshot_date"), F.col("event_type").alias("label"), "user_id", "ts", "value")
 
 
+def feed(spark: SparkSession, sf: str) -> DataFrame:
+    """(provider, indicator, timestamp, ord) of all hosts of pages."""
+    return _reported(hosts(spark, sf))
+
+
 def intel(spark: SparkSession, sf: str) -> DataFrame:
-    """(provider, indicator, timestamp, ord): every ninth host of pages by hash, with its first date."""
-    rows = hosts(spark, sf).select("hostname", "collected_at", "ord")
-    chosen = rows.where(F.conv(F.substring(order_key(9, F.col("hostname")), 1, 6), 16, 10).cast("long") % 9 == 0)
+    """The feed that lookups search: every ninth host of pages by hash, so that they meet unknown hosts too."""
+    return _reported(hosts(spark, sf).where(F.conv(F.substring(order_key(9, F.col("hostname")), 1, 6), 16, 10).cast("long") % 9 == 0))
+
+
+def _reported(rows: DataFrame) -> DataFrame:
     provider = F.when(F.length("hostname") % 2 == 0, "urlhaus").otherwise("threatfox")
-    return chosen.select(provider.alias("provider"), F.concat(F.lit(" "), F.upper("hostname"), F.lit(".")).alias("indicator"), F.col("collected_at").alias("timestamp"), "ord")
+    return rows.where(F.col("hostname").isNotNull()).select(provider.alias("provider"), F.concat(F.lit(" "), F.upper("hostname"), F.lit(".")).alias("indicator"), F.col("collected_at").alias("timestamp"), "ord")
 
 
 def branded(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,9 +172,10 @@ SQL = {
                  l_partkey % 5 = 0 AS brand, l_partkey % 10 = 0 AS mismatch, CASE WHEN l_partkey % 20 = 0 THEN 0.85 WHEN l_partkey % 10 = 0 THEN 0.35 ELSE 0.0 END AS brand_score, l_suppkey % 7 = 0 AS short, l_orderkey % 8 = 0 AS redirect FROM lineitem)""",
     "v_snap": "SELECT event_id AS ord, 'https://u' || user_id || '.example.org/' AS url, strftime(ts, '%Y-%m-%d') AS snapshot_date, event_type AS label, user_id, ts, value FROM events",
     "v_ti": "SELECT CASE WHEN length(hostname) % 2 = 0 THEN 'urlhaus' ELSE 'threatfox' END AS provider, hostname AS indicator, min_by(collected_at, ord) AS timestamp FROM v_hosts WHERE CAST('0x' || substr(sha256('9|' || hostname), 1, 6) AS BIGINT) % 9 = 0 GROUP BY 1, 2",
+    "v_feed": "SELECT CASE WHEN length(hostname) % 2 = 0 THEN 'urlhaus' ELSE 'threatfox' END AS provider, hostname AS indicator, min_by(collected_at, ord) AS timestamp FROM v_hosts WHERE hostname IS NOT NULL GROUP BY 1, 2",
 }
 #: What each view reads of the others.
-NEEDS = {"v_raw": ["v_urls"], "v_norm": ["v_raw"], "v_hosts": ["v_urls"], "v_valid": ["v_norm"], "v_dedup": ["v_raw"], "v_dnorm": ["v_dedup"], "v_bad": ["v_dnorm"], "v_clean": ["v_bad"], "v_ti": ["v_hosts"]}
+NEEDS = {"v_raw": ["v_urls"], "v_norm": ["v_raw"], "v_hosts": ["v_urls"], "v_valid": ["v_norm"], "v_dedup": ["v_raw"], "v_dnorm": ["v_dedup"], "v_bad": ["v_dnorm"], "v_clean": ["v_bad"], "v_ti": ["v_hosts"], "v_feed": ["v_hosts"]}
 
 
 def sql(body: str) -> str:

@@ -133,14 +133,14 @@ def spl_kfold_check(spark, sf):
     return sampling.fold_check(rows, sampling.group_folds(rows, "user_id", 5), "user_id")
 
 
-@query("indicator_digest", "SELECT DISTINCT sha256(indicator) AS digest FROM v_ti")
+@query("indicator_digest", "SELECT DISTINCT sha256(indicator) AS digest FROM v_feed")
 def indicator_digest(spark, sf):
-    return A.digests(A.intel(spark, sf))
+    return A.digests(A.feed(spark, sf))
 
 
-@query("ti_index", "SELECT provider, indicator, timestamp FROM v_ti")
+@query("ti_index", "SELECT provider, indicator, timestamp FROM v_feed")
 def ti_index(spark, sf):
-    return intel.build_index(A.intel(spark, sf))
+    return intel.build_index(A.feed(spark, sf))
 
 
 _HOST_STATUS = "SELECT h.ord, CASE WHEN t.indicator IS NULL THEN 'UNKNOWN' ELSE 'KNOWN_MALICIOUS' END AS status, CASE WHEN t.indicator IS NULL THEN 'NONE' ELSE 'DOMAIN_MATCH' END AS confidence, t.timestamp FROM v_hosts h LEFT JOIN v_ti t ON t.indicator = h.hostname AND t.provider = '{0}'"
@@ -172,9 +172,9 @@ def ti_digest(spark, sf):
     return intel.contains(A.hosts(spark, sf), A.digests(A.intel(spark, sf)), "hostname", "registrable_domain").select("ord", "known_malicious")
 
 
-@query("ti_freeze", "SELECT count(*) AS indicators, sha256(coalesce(string_agg(d, chr(10) ORDER BY d), '')) AS digest FROM (SELECT DISTINCT sha256(indicator) AS d FROM v_ti)")
+@query("ti_freeze", "SELECT count(*) AS indicators, sha256(coalesce(string_agg(d, chr(10) ORDER BY d), '')) AS digest FROM (SELECT DISTINCT sha256(indicator) AS d FROM v_feed)")
 def ti_freeze(spark, sf):
-    return intel.snapshot_digest(A.digests(A.intel(spark, sf)))
+    return intel.snapshot_digest(A.digests(A.feed(spark, sf)))
 
 
 @query("ti_overlap", """
@@ -299,10 +299,10 @@ def pol_guardrail(spark, sf):
     return policy.guardrail_report(A.decisions(spark, sf).withColumn("action", policy.probability_only(0.35, 0.85)))
 
 
-@query("pol_guardrail_probe", "SELECT digest FROM (SELECT DISTINCT sha256(indicator) AS digest FROM v_ti) ORDER BY 1 LIMIT 200")
+@query("pol_guardrail_probe", "SELECT digest FROM (SELECT DISTINCT sha256(indicator) AS digest FROM v_feed) ORDER BY 1 LIMIT 200")
 def pol_guardrail_probe(spark, sf):
     """The probe feature: the first 200 digests in order."""
-    return A.digests(A.intel(spark, sf)).orderBy("digest").limit(200)
+    return A.digests(A.feed(spark, sf)).orderBy("digest").limit(200)
 
 
 @query("pol_cost_eval", _ACTED + f", m AS (SELECT avg({_COST}) FILTER (true_state <> 'BENIGN') AS bad, avg({_COST}) FILTER (true_state = 'BENIGN') AS good FROM d) SELECT round(0.02 * bad + 0.98 * good, 6) AS expected_cost, (SELECT round(avg(CAST(a = 'REVIEW' AS INTEGER)), 6) FROM d) AS review_rate, (SELECT round(avg(CAST(a = 'BLOCK' AS INTEGER)), 6) FROM d) AS block_rate, (SELECT round(avg(CAST(a = 'BLOCK' AS INTEGER)), 6) FROM d WHERE true_state = 'PHISHING') AS phishing_block_rate FROM m")
@@ -641,10 +641,10 @@ def int_history_register(spark, sf):
     return integrity.register_history(rows.where("snapshot_id % 2 = 0"), rows.where("snapshot_id % 3 <> 0 or snapshot_id % 6 = 3"))
 
 
-@query("int_bundle_build", "SELECT DISTINCT sha256(indicator) AS digest FROM v_ti")
+@query("int_bundle_build", "SELECT DISTINCT sha256(indicator) AS digest FROM v_feed")
 def int_bundle_build(spark, sf):
     bad = spark.createDataFrame([("xyz",)], "digest string")
-    return integrity.bundle_digests(A.digests(A.intel(spark, sf)).unionByName(bad))
+    return integrity.bundle_digests(A.digests(A.feed(spark, sf)).unionByName(bad))
 
 
 _REASON = "['ok', 'unsupported_bundle_version', 'missing_payload', 'missing_integrity_block', 'integrity_digest_mismatch', 'missing_payload_sections', 'indicator_count_mismatch', 'catalog_payload_invalid', 'bundle_not_an_object'][CAST(ord % 9 AS INTEGER) + 1]"
@@ -669,10 +669,10 @@ def int_bundle_verify(spark, sf):
     return integrity.verified(rows).select("ord", "ok", "reason")
 
 
-@query("int_bundle_summary", "SELECT 'ti-bundle-v1' AS version, count(*) AS indicators, 54 AS brands, 26 AS shorteners FROM (SELECT DISTINCT indicator FROM v_ti)")
+@query("int_bundle_summary", "SELECT 'ti-bundle-v1' AS version, count(*) AS indicators, 54 AS brands, 26 AS shorteners FROM (SELECT DISTINCT indicator FROM v_feed)")
 def int_bundle_summary(spark, sf):
     """A bundle built of the feed's digests, which are a list that a device holds, and what it says of itself."""
-    listed = [r.digest for r in integrity.bundle_digests(A.digests(A.intel(spark, sf))).collect()]
+    listed = [r.digest for r in integrity.bundle_digests(A.digests(A.feed(spark, sf))).collect()]
     said = integrity.bundle_summary(integrity.build_bundle(listed, "2026-09-01"))
     return spark.createDataFrame([(said["bundleVersion"], said["indicatorCount"], said["brandCount"], said["shortenerCount"])], "version string, indicators long, brands int, shorteners int")
 

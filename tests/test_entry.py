@@ -21,7 +21,7 @@ def test_flagship(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", ["cln_stats", "pol_v2", "met_auroc", "agg_crosstab", "ti_overlap", "brand_assess"])
+@pytest.mark.parametrize("name", ["cln_stats", "pol_v2", "met_auroc", "agg_crosstab", "ti_overlap", "brand_assess", "indicator_digest", "ti_index", "ti_freeze", "pol_guardrail_probe", "int_bundle_build", "int_bundle_summary"])
 def test_queries_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     db = duckdb.connect()
@@ -57,3 +57,9 @@ def test_upper_cased_variants_keep_long_urls_whole(spark, tmp_path):
     spark.createDataFrame([(i, f"https://h.example.org/{t}", "") for i, t in tails.items()], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.url for r in entry.queries()["dedup_exact"](spark, str(tmp_path)).collect()}
     assert {f"HTTPS://H.EXAMPLE.ORG/{t}" for t in tails.values()} <= got
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
+def test_threat_index_holds_all_hosts(spark):
+    hosts = {r.h for r in spark.read.parquet(f"{SF}/pages.parquet").selectExpr("lower(parse_url(url, 'HOST')) h").collect()}
+    assert {r.indicator for r in entry.queries()["ti_index"](spark, SF).collect()} == hosts - {None}
