@@ -75,6 +75,12 @@ def test_segment_counts_bound_the_distance(spark, points):
         c = int(np.int64(got[int(np.uint64(p).view(np.int64))]).view(np.uint64))
         assert [(c >> 2 * k) & 3 for k in range(32)] == [((p >> 2 * k) & 3).bit_count() for k in range(32)]
     assert sum(simhash.GROUPS) == (1 << 64) - 1
+    unary = simhash.unary_counts(np.array(points, np.uint64)).tolist()
+    counts = [[((p >> 2 * k) & 3).bit_count() for k in range(32)] for p in points]
+    for i in range(0, len(points), 7):
+        for j in range(len(points)):
+            apart = sum(abs(a - b) for a, b in zip(counts[i], counts[j]))
+            assert (unary[i] ^ unary[j]).bit_count() == apart <= (points[i] ^ points[j]).bit_count()
 
 
 def test_components(spark):
