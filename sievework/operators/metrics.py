@@ -7,6 +7,7 @@ task sees all scores.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -64,10 +65,15 @@ def binary_metrics(df: DataFrame, y: str = "y", predicted: str = "predicted", by
     )
 
 
+#: Ranges of scores that ranking_metrics works through apart.
+RANGES = 4096
+
+
 def ranking_metrics(df: DataFrame, y: str = "y", score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """AUROC with ties averaged and average precision; null where one of the two classes is missing."""
     cells = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("s")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    cells = cells.withColumn("range_", F.floor(F.least(F.greatest("s", F.lit(0.0)), F.lit(1.0)) * 1024))
+    # Ranges in the order of scores of any size, a quarter of them between 0 and 1; not-a-number is the largest score.
+    cells = cells.withColumn("range_", F.when(F.isnan("s"), RANGES).otherwise(F.floor((F.atan("s") / math.pi + 0.5) * RANGES)))
     ranges = cells.groupBy(*by, "range_").agg(F.sum("pos").alias("rp"), F.sum("n").alias("rn"))
     above = Window.partitionBy(*by).orderBy(F.col("range_").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
@@ -146,7 +152,7 @@ def latency_summary(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataF
 def histogram(df: DataFrame, column: str, bins: int = 40, quantile: float = 0.99, by: Sequence[str] = ()) -> DataFrame:
     """Counts of equal bins after clipping at a quantile: the data of the distribution plots."""
     limits = df.groupBy(*by).agg(F.percentile(column, quantile).alias("_top"), F.min(column).alias("_low"))
-    joined = df.join(F.broadcast(limits), list(by)) if by else df.crossJoin(F.broadcast(limits))
+    joined = df.join(limits, list(by)) if by else df.crossJoin(F.broadcast(limits))
     clipped = F.least(F.col(column).cast("double"), F.col("_top"))
     width = (F.col("_top") - F.col("_low")) / bins
     slot = F.when(width <= 0, 0).otherwise(F.least(F.floor((clipped - F.col("_low")) / width), F.lit(bins - 1)))

@@ -33,6 +33,12 @@ def test_ranking(spark):
     y, s = rng.integers(0, 2, 500), np.round(rng.random(500), 2)
     got = metrics.ranking_metrics(spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, s)], "y int, score double")).first()
     assert got.auroc == pytest.approx(auroc(y, s)) and got.auprc == pytest.approx(average_precision(y, s))
+    logits = 20 * s - 10
+    logits[:3] = 1e9, -1e9, np.inf
+    got = metrics.ranking_metrics(spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, logits)], "y int, score double")).first()
+    assert got.auroc == pytest.approx(auroc(y, logits)) and got.auprc == pytest.approx(average_precision(y, logits))
+    highest = metrics.ranking_metrics(spark.createDataFrame([(1, float("nan")), (0, 0.5), (0, float("inf"))], "y int, score double")).first()
+    assert highest.auroc == 1.0
     one = metrics.ranking_metrics(spark.createDataFrame([(1, 0.5), (1, 0.7)], "y int, score double")).first()
     assert one.auroc is None and one.auprc is None
 
