@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, connected_components, lowest_by, materialize, meet, sorted_groups, table, tiles, unite
+from .common import HOT_SHARE, connected_components, least_of, lowest_by, materialize, meet, sorted_groups, table, tiles, unite
 
 THRESHOLD = 0.98
 TILE = 4096
@@ -109,9 +109,9 @@ class Found:
         unite(self.root, i, j)
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(node, links, its component's first node) of the rows that have links."""
+        """(node, links, its component's least node) of the rows that have links."""
         linked = self.counts > 0
-        return self.nodes[linked], self.counts[linked], self.nodes[self.root[linked]]
+        return self.nodes[linked], self.counts[linked], least_of(self.root, self.nodes)[linked]
 
 
 KEYS = ["group_", "lo_", "hi_"]

@@ -7,7 +7,8 @@ vectors never exceeds the Hamming distance of the fingerprints, so fingerprints
 fingerprint therefore goes to 15 grid cells (pair of groups, counts within them), and only fingerprints that share
 a cell are compared: first by the Manhattan distance of their vectors, in order of the whole count, which bounds that
 in turn, and where it is within 4, exactly. Of random fingerprints one pair in 2,000 meets in a cell. Crowded cells are cut into tiles of pairs of blocks. A tile hands
-on a star of links for each component it sees, not pairs, and components over all tiles come from repeated joins.
+on a star of links for each component it sees, around its least fingerprint, not pairs, so that tiles that see the same
+component name the same star; components over all tiles come from repeated joins.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; fewer words than a shingle
 are one shingle; repeated rows share a fingerprint; a row with a null id gets the component of its fingerprint,
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
-from .common import HOT_SHARE, connected_components, lowest_by, materialize, meet, star_edges, table, tiles, unite, whole_groups
+from .common import HOT_SHARE, connected_components, least_of, lowest_by, materialize, meet, star_edges, table, tiles, unite, whole_groups
 
 WORDS = 4
 DISTANCE = 4
@@ -149,10 +150,11 @@ def links(points: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stars(nodes: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-            far = np.flatnonzero(root != np.arange(len(nodes)))
+            nodes = nodes.view(np.int64)
+            centre = least_of(root, nodes)
+            far = np.flatnonzero(nodes != centre)
             if len(far):
-                nodes = nodes.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(centre[far])], ["a", "b"])
 
         for rows, starts in whole_groups(batches, keys, 1 << 18):
             fp, block, lo, hi = (rows.column(c).to_numpy() for c in ("fp", "blk_", "lo_", "hi_"))

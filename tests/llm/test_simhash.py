@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from sievework.llm import simhash
-from sievework.llm.common import connected_components, meet
+from sievework.llm.common import connected_components, least_of, meet, open_links
 
 
 def slow_fingerprint(text):
@@ -164,3 +164,13 @@ def test_connected_components(spark):
     want = brute_components(nodes, lambda a, b: (a, b) in pairs)
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == want
+
+
+def test_open_links(spark):
+    """Stars around their least nodes are settled; a node with two links or a link onward is not."""
+    for edges, more in (([], False), ([(5, 1), (6, 1), (9, 2)], False), ([(5, 1), (5, 2)], True), ([(5, 3), (3, 1)], True)):
+        assert open_links(spark.createDataFrame(edges, "u long, v long")) == (len(edges), more)
+
+
+def test_least_of():
+    assert least_of(np.array([0, 0, 2, 0, 2]), np.array([7, 5, -1, 9, -3])).tolist() == [5, 5, -3, 5, -3]
