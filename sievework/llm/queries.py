@@ -17,6 +17,8 @@ from .packing import op10_best_fit_packing
 from .pieces import op7_sentencepiece
 from .quality import op5_quality_classifier
 from .simhash import op8_simhash_near_dedup
+from .trie import ORACLE_SQL as TRIE_SQL
+from .trie import op11_conversation_trie
 from .warc import ORACLE_SQL as WARC_SQL
 from .warc import op4_warc
 
@@ -33,8 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash_near_dedup": op8_simhash_near_dedup,
         "op9_language_id": op9_language_id,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_conversation_trie": op11_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": CHAT_SQL, "op4_warc": WARC_SQL, "op6_embedding_near_dedup": EMBEDDINGS_SQL}
+    return {"op2_chat_formatting": CHAT_SQL, "op4_warc": WARC_SQL, "op6_embedding_near_dedup": EMBEDDINGS_SQL, "op11_conversation_trie": TRIE_SQL}
