@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .align import op12_tokenizer_alignment
 from .chat import ORACLE_SQL as CHAT_SQL
 from .chat import op2_chat_formatting
 from .embeddings import ORACLE_SQL as EMBEDDINGS_SQL
@@ -36,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": op9_language_id,
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_conversation_trie": op11_conversation_trie,
+        "op12_tokenizer_alignment": op12_tokenizer_alignment,
     }
 
 
