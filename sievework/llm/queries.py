@@ -18,6 +18,7 @@ from .packing import op10_best_fit_packing
 from .pieces import op7_sentencepiece
 from .quality import op5_quality_classifier
 from .simhash import op8_simhash_near_dedup
+from .toxicity import op13_toxicity
 from .trie import ORACLE_SQL as TRIE_SQL
 from .trie import op11_conversation_trie
 from .warc import ORACLE_SQL as WARC_SQL
@@ -38,6 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_conversation_trie": op11_conversation_trie,
         "op12_tokenizer_alignment": op12_tokenizer_alignment,
+        "op13_toxicity": op13_toxicity,
     }
 
 
