@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import with_normalized
+from ..storage import shared_folder as shared_folder
 
 
 def read_snapshots(spark: SparkSession, path: str, schema: str, per_trigger: int = 100) -> DataFrame:
@@ -74,17 +71,6 @@ def daily_rates(stream: DataFrame, event_time: str = "ts", delay: str = "1 day",
     return stream.withWatermark(event_time, delay).groupBy(window.alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, a temporary one for the session, in local mode only."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="sievework-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return os.path.join(top, name, uuid.uuid4().hex)
-
-
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> None:
     """Run a stream over what there is now into Parquet below folder."""
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
