@@ -2,8 +2,8 @@
 
 Labels are known by document, so tokens are labelled first:
 
-1. Over all labelled training documents, a word's features (itself and its beginnings) are counted by the documents
-   that hold them. Of toxic documents only as many count as show the feature between different neighbours, so that
+1. Over labelled training documents (EVIDENCE_PER_CLASS of a class at most, by the hash of their ids), a word's
+   features (itself and its beginnings) are counted by the documents that hold them. Of toxic documents only as many count as show the feature between different neighbours, so that
    the chance words of a much copied text gain nothing by its copies. Features whose likelihood ratio is beyond what
    the number of features of their kind makes likely by chance, and that are far more frequent in toxic documents, are kept.
 2. In toxic documents, words with a kept feature are toxic tokens; all other tokens are clean ones.
@@ -19,7 +19,7 @@ so one very long text takes no longer than many short ones.
 Defined results: null and empty texts are scored like any text, without tokens; repeated rows score alike; a null id
 is never learned from but scored; an empty table gives no rows; labels other than 0 and 1, null labels and ids whose
 labels disagree are left out; where an id repeats, learning counts its rows each, and the sample takes one; without
-training rows of both classes, or without a kept feature, every score is the share of toxic rows, 0 without labels.
+training rows of both classes, or without a kept feature, every score is the share of toxic labels, 0 without labels.
 Only the named columns are read.
 """
 
@@ -30,6 +30,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,8 @@ from .quality import held_out
 THRESHOLD = 0.5
 #: Lengths of the beginnings that are features beside the whole word.
 BEGINNINGS = (4, 5, 6)
-#: The field is fitted on at most so many documents of a class; counts are of all labelled training documents.
+#: Features are counted on about so many documents of a class, and the field is fitted on about so many of them.
+EVIDENCE_PER_CLASS = 100_000
 SAMPLE_PER_CLASS = 2000
 SAMPLE_PARTITIONS = 16
 #: A field has at most so many features, those of the best evidence.
@@ -60,69 +63,70 @@ _WORD = re.compile(r"[^\W_]+")
 _SIGN = 1 << 63
 
 
-def word_hash(text: str) -> int:
-    import xxhash
+#: Counts documents among the features; no word is empty.
+ALL = ""
 
-    value = xxhash.xxh64_intdigest(text.encode("utf-8", "replace"))
-    return value - 2 * _SIGN if value >= _SIGN else value
 
-
-def features_of(word: str) -> tuple[int, ...]:
-    """The features of a word, without regard to case; the last two bits tell their kind (the word or a length)."""
+def features_of(word: str) -> tuple[str, ...]:
+    """The features of a word without regard to case: itself, and its beginnings with a star."""
     word = word.lower()
-    return (word_hash(word) & -4, *(word_hash(word[:k]) & -4 | i for i, k in enumerate(BEGINNINGS, 1) if len(word) >= k))
+    return (word, *(word[:k] + "*" for k in BEGINNINGS if len(word) >= k))
 
 
 def evidence(labelled: DataFrame) -> DataFrame:
     """(feature, contexts, toxic, clean) of (text, toxic): bits of neighbours in toxic documents, and documents by class."""
 
-    class Words(dict):
-        def __missing__(self, word: str) -> tuple[int, tuple[int, ...]]:
+    class Features(dict):
+        def __missing__(self, word: str) -> tuple[str, ...]:
             if len(self) >= CACHE_WORDS:
                 self.clear()
-            found = features_of(word)
-            value = self[word] = (found[0] >> 2 & 0xFFFFFFFF, found)
+            value = self[word] = features_of(word)
             return value
 
-    def batch_of(docs: list[Counter], bits: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    def batch_of(docs: list[Counter], bits: dict[str, int]) -> Iterator[pa.RecordBatch]:
         keys = list(docs[0] | docs[1])
         signed = [v - 2 * _SIGN if (v := bits.get(k, 0)) >= _SIGN else v for k in keys]
-        columns = [pa.array(x, pa.int64()) for x in (keys, signed, [docs[1][k] for k in keys], [docs[0][k] for k in keys])]
+        columns = [pa.array(keys, pa.string()), *(pa.array(x, pa.int64()) for x in (signed, [docs[1][k] for k in keys], [docs[0][k] for k in keys]))]
         whole = pa.RecordBatch.from_arrays(columns, ["feature", "contexts", "toxic", "clean"])
         for a in range(0, len(keys), 50_000):
             yield whole.slice(a, 50_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, docs, bits = Words(), [Counter(), Counter()], {}
+        features, docs, bits = Features(), [Counter(), Counter()], {}
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                found = [words[w] for w in _WORD.findall(text.as_py() or "")]
-                docs[toxic].update(set().union(*(f for _, f in found)))
+                words = _WORD.findall(text.as_py() or "")
+                docs[toxic][ALL] += 1
+                docs[toxic].update(set(chain.from_iterable(map(features.__getitem__, set(words)))))
                 if toxic:
-                    beside = [0, *(h for h, _ in found), 0]
-                    for left, (_, own), right in zip(beside, found, beside[2:]):
+                    near = [0, *(crc32(w.encode("utf-8", "replace")) for w in words), 0]
+                    for left, word, right in zip(near, words, near[2:]):
                         bit = 1 << ((left * 0x9E3779B1 + right * 0x85EBCA77) >> 24 & 63)
-                        for f in own:
+                        for f in features[word]:
                             bits[f] = bits.get(f, 0) | bit
                 if len(docs[0]) + len(docs[1]) >= HELD_FEATURES:
                     yield from batch_of(docs, bits)
                     docs, bits = [Counter(), Counter()], {}
         yield from batch_of(docs, bits)
 
-    parts = labelled.select(F.col("text"), F.col("toxic")).mapInArrow(run, "feature long, contexts long, toxic long, clean long")
+    parts = labelled.select(F.col("text"), F.col("toxic")).mapInArrow(run, "feature string, contexts long, toxic long, clean long")
     return parts.groupBy("feature").agg(F.bit_or("contexts").alias("contexts"), F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def kept_features(counts: DataFrame, toxic_docs: int, clean_docs: int) -> list[int]:
-    """The features of best evidence, at most MOST_FEATURES of them."""
-    share = toxic_docs / (toxic_docs + clean_docs)
+def kept_features(counts: DataFrame) -> list[str]:
+    """The features of best evidence, at most MOST_FEATURES of them; none without documents of both classes."""
+    all_ = counts.where(F.col("feature") == ALL).first()
+    if all_ is None or not all_.toxic or not all_.clean:
+        return []
+    counts = counts.where(F.col("feature") != ALL)
+    share = all_.toxic / (all_.toxic + all_.clean)
     filled = F.bit_count("contexts")
     seen = F.when(filled < 64, -64 * F.log(1 - filled / 64)).otherwise(F.col("toxic"))
     a, b = F.col("a"), F.col("clean").cast("double")
-    ratio = (a / toxic_docs) / ((b + 0.5) / clean_docs)
+    ratio = (a / all_.toxic) / ((b + 0.5) / all_.clean)
     b_part = F.when(b > 0, b * F.log(b / ((a + b) * (1 - share)))).otherwise(0.0)
     gain = 2 * (a * F.log(a / ((a + b) * share)) + b_part)
-    kind = F.col("feature").bitwiseAND(3)
+    kind = F.when(F.endswith("feature", F.lit("*")), F.length("feature")).otherwise(0)
     least = F.lit(0.0)
     for r in counts.groupBy(kind.alias("kind")).count().collect():
         least = F.when(kind == r.kind, 2 * math.log(max(r["count"], 2)) + 4).otherwise(least)
@@ -171,7 +175,7 @@ def ratios(e: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndarray:
 class Field:
     """A fitted field: weights of features of the token, of the word before and of the word after; bias; log moves."""
 
-    keys: tuple[int, ...]
+    keys: tuple[str, ...]
     weights: np.ndarray  # 3 x features
     bias: float
     move: np.ndarray  # 2 x 2 log potentials from state to state, clean first; that of clean to clean is 0
@@ -204,7 +208,7 @@ def summaries(odds: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nda
 SPARSE = "toxic int, n int, places array<int>, features array<int>"
 
 
-def encoded(sample: DataFrame, keys: list[int]) -> DataFrame:
+def encoded(sample: DataFrame, keys: list[str]) -> DataFrame:
     """(toxic, n, places, features) of (text, toxic): where in n tokens kept features are, by number."""
     arrow = pa.schema([("toxic", pa.int32()), ("n", pa.int32()), ("places", pa.list_(pa.int32())), ("features", pa.list_(pa.int32()))])
 
@@ -266,7 +270,7 @@ def gradient(field: Field, batch: pa.RecordBatch) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def fit_field(rows: DataFrame, keys: list[int], iterations: int = ITERATIONS) -> Field:
+def fit_field(rows: DataFrame, keys: list[str], iterations: int = ITERATIONS) -> Field:
     """Fit weights by gradients that tasks sum over all rows of encoded; each weight has a step of its own (Rprop)."""
     k = len(keys)
     size = 3 * k + 4
@@ -326,41 +330,48 @@ def calibrated(field: Field, rows: DataFrame) -> Field:
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0, iterations: int = ITERATIONS) -> Field | float:
     """The field learned from labelled rows of (doc_id, text) outside the held-out remainder, or else the share of toxic rows."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("top_")).where("toxic = top_").drop("top_")
     known = known.where(~held_out("doc_id", modulus, remainder))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    labelled = rows.join(known, "doc_id")
-    n = {r.toxic: r["count"] for r in rows.select("doc_id").join(known, "doc_id").groupBy("toxic").count().collect()}
-    share = n.get(1, 0) / max(1, sum(n.values()))
+    n = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(n) < 2:
-        return share
-    keys = kept_features(materialize(evidence(labelled), "evidence"), n[1], n[0])
+        return n.get(1, 0) / max(1, sum(n.values()))
+
+    def about(limit: int) -> DataFrame:
+        """About limit ids of each class at most, by their hash: few enough to broadcast, and no task ranks ids."""
+        least = F.when(F.col("toxic") == 1, min(1.0, limit / n[1]) * (1 << 31)).otherwise(min(1.0, limit / n[0]) * (1 << 31))
+        return F.broadcast(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < least))
+
+    keys = kept_features(materialize(evidence(rows.join(about(EVIDENCE_PER_CLASS), "doc_id")), "evidence"))
     if not keys:
-        return share
-    few = known.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS)
-    few = few.union(known.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS))
-    sample = rows.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+        return n[1] / (n[0] + n[1])
+    sample = rows.join(about(SAMPLE_PER_CLASS), "doc_id").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
     coded = materialize(encoded(sample.repartition(SAMPLE_PARTITIONS, "doc_id"), keys), "sample")
     return calibrated(fit_field(coded, keys, iterations), coded)
 
 
 class Words(dict):
-    """Numbers words as they come; what each adds to the log emission of its token and of those beside it."""
+    """Numbers words with kept features as they come, other words being 0; sums holds their weights for a token and those beside it."""
 
     def __init__(self, field: Field):
         self.number = {k: i for i, k in enumerate(field.keys)}
+        self.starts = {k[: BEGINNINGS[0]] for k in field.keys}
         self.weights = field.weights
         self.clear_all()
 
     def clear_all(self) -> None:
         self.clear()
-        self.sums: list[np.ndarray] = []
+        self.sums: list[np.ndarray] = [np.zeros(3)]
 
     def __missing__(self, word: str) -> int:
-        found = [self.number[f] for f in features_of(word) if f in self.number]
-        self.sums.append(self.weights[:, found].sum(1) if found else np.zeros(3))
-        value = self[word] = len(self.sums) - 1
+        value = 0
+        if word.lower()[: BEGINNINGS[0]] in self.starts:
+            found = [self.number[f] for f in features_of(word) if f in self.number]
+            if found:
+                value = len(self.sums)
+                self.sums.append(self.weights[:, found].sum(1))
+        self[word] = value
         return value
 
 

@@ -91,13 +91,14 @@ def test_gradient_equals_differences_of_the_enumerated_likelihood():
 
 
 def test_evidence_equals_plain_counts_and_ignores_copies(spark):
-    rows = [("you utter foe", 1)] * 30 + [(f"a{i} vileness b{i}", 1) for i in range(30)] + [(f"calm day {i}", 0) for i in range(90)] + [(None, 0), ("", 1)]
+    rows: list[tuple] = [("you utter foe", 1)] * 30 + [(f"a{i} vileness b{i}", 1) for i in range(30)] + [(f"calm day {i}", 0) for i in range(90)] + [(None, 0), ("", 1)]
     counts = toxicity.evidence(spark.createDataFrame(rows, "text string, toxic int").repartition(5))
     found = {r.feature: r for r in counts.collect()}
     word = {w: found[toxicity.features_of(w)[0]] for w in ("utter", "vileness", "calm")}
     assert (word["utter"].toxic, word["utter"].clean, bin(word["utter"].contexts & (1 << 64) - 1).count("1")) == (30, 0, 1)
     assert (word["vileness"].toxic, word["calm"].clean) == (30, 90)
-    kept = toxicity.kept_features(counts, 61, 91)
+    kept = toxicity.kept_features(counts)
+    assert (found[toxicity.ALL].toxic, found[toxicity.ALL].clean) == (61, 91)
     assert set(toxicity.features_of("VILENESS")) <= set(kept) and not set(toxicity.features_of("utter")) & set(kept)
 
 
