@@ -140,9 +140,3 @@ def with_encoded(df: DataFrame, normalizer: DataFrame) -> DataFrame:
     masks = [F.col(f"available__{n}") for n in DECISION_FEATURES]
     values = [F.when(m, value(n)).otherwise(0.0).cast("double") for n, m in zip(DECISION_FEATURES, masks)]
     return df.withColumn("encoded", F.array(*values, *[m.cast("double") for m in masks])).drop(*normalizer.columns)
-
-
-def token_statistics(df: DataFrame, column: str) -> DataFrame:
-    """Exact percentiles, maximum and mean of a count column."""
-    shares = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    return df.agg(*[F.percentile(column, p).alias(n) for n, p in shares.items()], F.max(column).alias("max"), F.avg(column).alias("mean"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.constants import ARTIFACT_SPREAD
 from ..functions.features import with_features
 from ..functions.urls import host_type, with_normalized
+from ..storage import stored
+from .quantiles import beside, exact_quantiles
 
 # Measures of the bias summary.
 CONTINUOUS = (
@@ -52,12 +54,15 @@ def enriched(views: DataFrame, url: str = "model_url") -> DataFrame:
 
 
 def bias_summary(rows: DataFrame) -> DataFrame:
-    """Means and medians of measures and percentages of flags per (view, label), in one aggregation."""
+    """Means and medians of measures and percentages of flags per (view, label); medians by selection."""
+    by = ["dataset_view", "label"]
+    rows = stored(rows.select(*by, *CONTINUOUS, *FLAGS), "enriched")
     aggs: list[Column] = [F.count(F.lit(1)).alias("count")]
-    for c in CONTINUOUS:
-        aggs += [F.round(F.avg(c), 6).alias(f"{c}_mean"), F.round(F.median(c), 6).alias(f"{c}_median")]
+    aggs += [F.round(F.avg(c), 6).alias(f"{c}_mean") for c in CONTINUOUS]
     aggs += [F.round(F.avg(c) * 100, 6).alias(f"{c}_percent") for c in FLAGS]
-    return rows.groupBy("dataset_view", "label").agg(*aggs)
+    medians = exact_quantiles(rows, CONTINUOUS, {"median": 0.5}, by)
+    medians = medians.select(*by, *[F.round(f"{c}_median", 6).alias(f"{c}_median") for c in CONTINUOUS])
+    return beside(rows.groupBy(*by).agg(*aggs), medians, by)
 
 
 def bias_warnings(summary: DataFrame, limit: float = ARTIFACT_SPREAD) -> DataFrame:

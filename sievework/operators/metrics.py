@@ -13,6 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+from .quantiles import beside, exact_quantiles
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0."""
@@ -145,14 +148,18 @@ def top_share(df: DataFrame, name: str, value: str, k: int = 20) -> DataFrame:
 
 
 def latency_summary(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mean, exact P50 and P95, minimum and maximum."""
-    return df.groupBy(*by).agg(F.avg(column).alias("mean"), F.percentile(column, 0.5).alias("p50"), F.percentile(column, 0.95).alias("p95"), F.min(column).alias("min"), F.max(column).alias("max"))
+    """Mean, exact P50 and P95 by selection, minimum and maximum."""
+    found = exact_quantiles(df, [column], {"p50": 0.5, "p95": 0.95}, by).withColumnsRenamed({f"{column}_{p}": p for p in ("p50", "p95")})
+    whole = beside(df.groupBy(*by).agg(F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max")), found, by)
+    return whole.select(*by, "mean", "p50", "p95", "min", "max")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 40, quantile: float = 0.99, by: Sequence[str] = ()) -> DataFrame:
     """Counts of equal bins after clipping at a quantile: the data of the distribution plots."""
-    limits = df.groupBy(*by).agg(F.percentile(column, quantile).alias("_top"), F.min(column).alias("_low"))
-    joined = df.join(limits, list(by)) if by else df.crossJoin(F.broadcast(limits))
+    df = stored(df.select(*by, column), "histogram")
+    found = exact_quantiles(df, [column], {"top": quantile}, by).withColumnRenamed(f"{column}_top", "_top")
+    limits = beside(df.groupBy(*by).agg(F.min(column).alias("_low")), found, by)
+    joined = beside(df, limits, by)
     clipped = F.least(F.col(column).cast("double"), F.col("_top"))
     width = (F.col("_top") - F.col("_low")) / bins
     slot = F.when(width <= 0, 0).otherwise(F.least(F.floor((clipped - F.col("_low")) / width), F.lit(bins - 1)))
@@ -165,3 +172,11 @@ def parity(left: DataFrame, right: DataFrame, key: str = "id", p: str = "p") ->
     gaps = F.zip_with("_a", "_b", lambda a, b: F.abs(a - b))
     mean = F.aggregate(gaps, F.lit(0.0), lambda acc, x: acc + x) / F.size(gaps)
     return both.agg(F.max(F.array_max(gaps)).alias("max_abs_error"), F.avg(mean).alias("mean_abs_error"), F.avg((argmax(F.col("_a")) == argmax(F.col("_b"))).cast("double")).alias("agreement"))
+
+
+def token_statistics(df: DataFrame, column: str) -> DataFrame:
+    """Exact percentiles by selection, maximum and mean of a count column."""
+    shares = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    found = exact_quantiles(df, [column], shares).withColumnsRenamed({f"{column}_{n}": n for n in shares})
+    whole = beside(df.agg(F.max(column).alias("max"), F.avg(column).alias("mean")), found, ())
+    return whole.select(*shares, "max", "mean")

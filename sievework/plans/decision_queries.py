@@ -435,7 +435,7 @@ def lat_percentiles(spark, sf):
 @query("feat_token_stats", "SELECT quantile_cont(n, 0.5) AS p50, round(quantile_cont(n, 0.9), 6) AS p90, round(quantile_cont(n, 0.95), 6) AS p95, round(quantile_cont(n, 0.99), 6) AS p99, max(n) AS max, round(avg(n), 6) AS mean FROM (SELECT len(string_split(text, ' '))::BIGINT AS n FROM documents WHERE text IS NOT NULL)")
 def feat_token_stats(spark, sf):
     rows = A.read(spark, sf, "documents").where("text is not null").select(F.size(F.split("text", " ", -1)).cast("long").alias("n"))
-    return _rounded(features.token_statistics(rows, "n"))
+    return _rounded(metrics.token_statistics(rows, "n"))
 
 
 @query("mdl_parity", "SELECT 0.0::DOUBLE AS max_abs_error, 0.0::DOUBLE AS mean_abs_error, 1.0::DOUBLE AS agreement FROM v_scored3 LIMIT 1")
