@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import PySparkValueError
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import LARGE_SOURCES, MAX_SOURCE_SHARE, SEED, SOURCE_CAP_MULTIPLIER, SPLIT_RATIOS
 from ..functions.urls import host_type
+from ..storage import stored
 
 PARTS = ("train", "validation", "test")
 
@@ -66,9 +68,9 @@ def artifact_controlled(df: DataFrame, host: str = "hostname", seed: int = SEED,
     malware, domain = F.col("label") == "MALWARE", F.col("_type") == "DOMAIN"
     on_ip = F.coalesce(malware & ~domain, F.lit(False))
     limit = kind.agg(F.count_if(malware & domain).alias("_limit"))
-    by = Window.partitionBy("label").orderBy(order_key(seed, F.col(key)), key)
-    cut = kind.where(on_ip).withColumn("_row", F.row_number().over(by)).crossJoin(F.broadcast(limit)).where("_row <= _limit")
-    return kind.where(~on_ip).drop("_type").unionByName(cut.drop("_type", "_row", "_limit"))
+    ranked = with_hash_rank(kind.where(on_ip).withColumn("_h", order_key(seed, F.col(key))), key)
+    cut = ranked.crossJoin(F.broadcast(limit)).where("_rank < _limit")
+    return kind.where(~on_ip).drop("_type").unionByName(cut.drop("_type", "_rank", "_n", "_limit"))
 
 
 def regime(df: DataFrame, name: str, target: int, host: str = "hostname", seed: int = SEED, key: str = "ord") -> DataFrame:
@@ -97,54 +99,135 @@ def with_hash_rank(df: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame
     return df.join(counts, [*by, "_p"]).withColumn("_rank", within + F.col("_below")).drop("_p", "_h", "_below")
 
 
-def split_candidates(df: DataFrame, group: str, ratios: Sequence[float] = SPLIT_RATIOS, seed: int = SEED, attempts: int = 64) -> DataFrame:
-    """(attempt, group, split) of every group for each attempt, by hash rank within the attempt."""
+#: Hex digits of the hash prefixes by which groups are counted: 4096 buckets an attempt, whatever the size.
+PREFIX = 3
+
+
+def _parts(ratios: Sequence[float], total: Column) -> tuple[Column, Column]:
+    """How many groups are the test, and how many are held out of training in all."""
+    held = F.ceil(total * (ratios[1] + ratios[2]) - 1e-9)
+    return F.ceil(held * (ratios[2] / (ratios[1] + ratios[2])) - 1e-9), held
+
+
+def _tried(groups: DataFrame, group: str, seed: int, attempts: int) -> DataFrame:
+    """Every group for every attempt with its hash and the hash's prefix; rows leave their tasks only when counted or cut down."""
+    rows = groups.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+    rows = rows.withColumn("_h", order_key(F.col("attempt") + seed, F.col(group)))
+    return rows.withColumn("_p", F.substring("_h", 1, PREFIX))
+
+
+def _cuts(buckets: DataFrame, ratios: Sequence[float]) -> DataFrame:
+    """One row an attempt: the bucket that holds each cut and how many of its groups lie before it.
+
+    buckets is (attempt, _p, n), of at most 4096 rows an attempt.
+    """
+    order = Window.partitionBy("attempt").orderBy("_p")
+    rows = buckets.withColumns({"_to": F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("n").over(Window.partitionBy("attempt"))})
+    test, held = _parts(ratios, F.col("_all"))
+
+    def at(cut: Column, name: str) -> list[Column]:
+        inside = (F.col("_to") - F.col("n") < cut) & (cut <= F.col("_to"))
+        bucket = F.coalesce(F.max(F.when(inside, F.col("_p"))), F.lit(""))
+        left = F.coalesce(F.max(F.when(inside, cut - F.col("_to") + F.col("n"))), F.lit(0))
+        return [bucket.alias(f"_{name}_p"), left.cast("long").alias(f"_{name}_n")]
+
+    return rows.groupBy("attempt").agg(*at(test, "test"), *at(held, "held"), F.max("_all").alias("_groups"))
+
+
+def _split_of(p: Column, rank: Column) -> Column:
+    """The split by prefix and, in the buckets of the cuts, the rank from 0 within the bucket."""
+    before = lambda name: (p < F.col(f"_{name}_p")) | ((p == F.col(f"_{name}_p")) & (rank < F.col(f"_{name}_n")))
+    return F.when(before("test"), "test").when(before("held"), "validation").otherwise("train")
+
+
+def _at_cut() -> Column:
+    return F.col("_p").isin(F.col("_test_p"), F.col("_held_p"))
+
+
+def _settled(tried: DataFrame, cuts: DataFrame, group: str) -> DataFrame:
+    """tried with its split: by the prefix alone, but in the buckets of the cuts, where groups are ranked."""
+    rows = tried.join(F.broadcast(cuts), "attempt")
+    within = F.row_number().over(Window.partitionBy("attempt", "_p").orderBy("_h", group)) - 1
+    ranked = rows.where(_at_cut()).withColumn("_rank", within)
+    plain = rows.where(~_at_cut()).withColumn("_rank", F.lit(0))
+    out = plain.unionByName(ranked)
+    return out.withColumn("split", _split_of(F.col("_p"), F.col("_rank"))).drop("_h", "_p", "_rank", *[c for c in cuts.columns if c != "attempt"])
+
+
+def _check_ratios(ratios: Sequence[float]) -> None:
     if abs(sum(ratios) - 1) > 1e-9:
         raise ValueError("ratios must sum to 1")
-    groups = df.where(F.col(group).isNotNull()).select(group).distinct()
-    return _dealt(groups.select(F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"), group), group, ratios, seed)
 
 
-def _dealt(tried: DataFrame, group: str, ratios: Sequence[float], seed: int) -> DataFrame:
-    """Add the split of (attempt, group) rows that hold all groups of their attempts."""
-    ranked = with_hash_rank(tried.withColumn("_h", order_key(F.col("attempt") + seed, F.col(group))), group, ["attempt"])
-    held = F.ceil(F.col("_n") * (ratios[1] + ratios[2]) - 1e-9)
-    test = F.ceil(held * (ratios[2] / (ratios[1] + ratios[2])) - 1e-9)
-    split = F.when(F.col("_rank") < test, "test").when(F.col("_rank") < held, "validation").otherwise("train")
-    return ranked.select("attempt", group, split.alias("split"))
+def split_candidates(df: DataFrame, group: str, ratios: Sequence[float] = SPLIT_RATIOS, seed: int = SEED, attempts: int = 64) -> DataFrame:
+    """(attempt, group, split) of every group for each attempt, by hash rank within the attempt."""
+    _check_ratios(ratios)
+    groups = stored(df.where(F.col(group).isNotNull()).select(group).distinct(), "groups")
+    tried = _tried(groups, group, seed, attempts)
+    cuts = _cuts(tried.groupBy("attempt", "_p").agg(F.count(F.lit(1)).alias("n")), ratios)
+    return _settled(tried, cuts, group).select("attempt", group, "split")
+
+
+def _label_counts(df: DataFrame, group: str) -> DataFrame:
+    """(group, labels): rows of each label by group, written once."""
+    counts = df.where(F.col(group).isNotNull()).groupBy(group, "label").agg(F.count(F.lit(1)).alias("n"))
+    return stored(counts.groupBy(group).agg(F.collect_list(F.struct("label", "n")).alias("labels")), "groups")
+
 
+def split_scores(df: DataFrame, group: str, ratios: Sequence[float] = SPLIT_RATIOS, seed: int = SEED, attempts: int = 64) -> DataFrame:
+    """(attempt, score): distance from the ratios, from the label mix, and five for each label that a part lacks."""
+    _check_ratios(ratios)
+    return _scored(_label_counts(df, group), group, ratios, seed, attempts)[0]
 
-def split_scores(df: DataFrame, candidates: DataFrame, group: str, ratios: Sequence[float] = SPLIT_RATIOS) -> DataFrame:
-    """(attempt, score): distance from the ratios, from the label mix, and five for each label that a part lacks.
 
-    Rows are first counted by (group, label), so the attempts multiply groups and not rows.
+def _scored(groups: DataFrame, group: str, ratios: Sequence[float], seed: int, attempts: int) -> tuple[DataFrame, DataFrame]:
+    """Scores and cuts of all attempts from _label_counts.
+
+    Groups and label counts are summed by (attempt, prefix), so the attempts multiply 4096 buckets and no rows or
+    groups; only the groups in a cut's bucket, one in some thousand, are ranked.
     """
-    counts = df.groupBy(group, "label").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("_total"), F.count_distinct("label").alias("_labels"))
+    tried = _tried(groups, group, seed, attempts)
+    entry = lambda of_groups, label, n: F.struct(F.lit(of_groups).alias("of_groups"), label.alias("label"), n.alias("n"))
+    entries = F.concat(F.array(entry(True, F.lit(None).cast("string"), F.lit(1).cast("long"))), F.transform("labels", lambda x: entry(False, x.label.cast("string"), x.n)))
+    cells = tried.select("attempt", "_p", F.explode(entries).alias("e")).groupBy("attempt", "_p", "e.of_groups", "e.label").agg(F.sum("e.n").alias("n"))
+    cells = stored(cells, "cells")
+    cuts = stored(_cuts(cells.where("of_groups").select("attempt", "_p", "n"), ratios), "cuts")
+    counted = cells.where("not of_groups").join(F.broadcast(cuts), "attempt").where(~_at_cut()).select("attempt", _split_of(F.col("_p"), F.lit(0)).alias("split"), "label", "n")
+    near = _settled(tried.join(F.broadcast(cuts), "attempt").where(_at_cut()).select(*tried.columns), cuts, group)
+    near = near.select("attempt", "split", F.explode("labels").alias("e")).select("attempt", "split", F.col("e.label").cast("string").alias("label"), F.col("e.n").alias("n"))
+    sums = counted.unionByName(near).groupBy("attempt", "split", "label").agg(F.sum("n").alias("n"))
+    return _scores_of(sums, cells, attempts, ratios), cuts
+
+
+def _scores_of(sums: DataFrame, cells: DataFrame, attempts: int, ratios: Sequence[float]) -> DataFrame:
+    """(attempt, score) from label counts by (attempt, split); cells of one attempt give those of the whole."""
+    counts = cells.where("not of_groups and attempt = 0")
+    total = counts.agg(F.sum("n").alias("_total"))
     whole = counts.groupBy("label").agg(F.sum("n").alias("_all"))
     ratio = F.create_map(*[F.lit(x) for pair in zip(PARTS, ratios) for x in pair])
-    cells = candidates.join(counts, group).groupBy("attempt", "split", "label").agg(F.sum("n").alias("n"))
-    frame = candidates.select("attempt").distinct().crossJoin(F.broadcast(whole)).withColumn("split", F.explode(F.array(*map(F.lit, PARTS))))
-    cells = frame.join(cells, ["attempt", "split", "label"], "left").fillna(0, ["n"])
+    frame = whole.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))).withColumn("split", F.explode(F.array(*map(F.lit, PARTS))))
+    rows = frame.join(sums, ["attempt", "split", "label"], "left").fillna(0, ["n"])
     part = Window.partitionBy("attempt", "split")
-    cells = cells.withColumn("_part", F.sum("n").over(part)).crossJoin(F.broadcast(total))
+    rows = rows.withColumn("_part", F.sum("n").over(part)).crossJoin(F.broadcast(total))
     drift = F.abs(F.when(F.col("_part") > 0, F.col("n") / F.col("_part")).otherwise(0.0) - F.col("_all") / F.col("_total"))
-    parts = cells.groupBy("attempt", "split").agg(
+    parts = rows.groupBy("attempt", "split").agg(
         (F.abs(F.first("_part") / F.first("_total") - F.try_element_at(ratio, F.col("split"))) + F.sum(drift) + 5 * F.count_if(F.col("n") == 0)).alias("s")
     )
     return parts.groupBy("attempt").agg(F.round(F.sum("s"), 9).alias("score"))
 
 
 def group_split(df: DataFrame, group: str, ratios: Sequence[float] = SPLIT_RATIOS, seed: int = SEED, attempts: int = 64) -> DataFrame:
-    """(group, split) of the attempt with the lowest score, the first of equals; needs four groups.
-
-    Attempts are scored first; only the groups of the best are ranked for the result.
-    """
-    best = split_scores(df, split_candidates(df, group, ratios, seed, attempts), group, ratios).agg(F.min(F.struct("score", "attempt")).alias("b")).select(F.col("b.attempt").alias("attempt"))
-    groups = df.select(group).distinct().where(F.col(group).isNotNull())
-    enough = F.assert_true(F.col("_n") >= 4, F.lit("a split needs at least four groups")).isNull()
-    chosen = _dealt(groups.crossJoin(F.broadcast(best)), group, ratios, seed)
-    return chosen.crossJoin(F.broadcast(groups.agg(F.count(F.lit(1)).alias("_n")))).where(enough).select(group, "split")
+    """(group, split) of the attempt with the lowest score, the first of equals; needs four groups."""
+    _check_ratios(ratios)
+    groups = _label_counts(df, group)
+    scores, cuts = _scored(groups, group, ratios, seed, attempts)
+    if (cuts.agg(F.max("_groups")).first()[0] or 0) < 4:
+        raise PySparkValueError("a split needs at least four groups")
+    best = scores.agg(F.min(F.struct("score", "attempt")).alias("b")).select("b.attempt")
+    chosen = cuts.join(F.broadcast(best), "attempt")
+    rows = groups.select(group).crossJoin(F.broadcast(chosen.select("attempt")))
+    rows = rows.withColumn("_h", order_key(F.col("attempt") + seed, F.col(group))).withColumn("_p", F.substring("_h", 1, PREFIX))
+    return _settled(rows, chosen, group).select(group, "split")
 
 
 def with_split(df: DataFrame, assignment: DataFrame, group: str) -> DataFrame:

@@ -85,8 +85,7 @@ v AS (SELECT attempt, round(sum(sc)::DOUBLE, 9) AS score FROM z GROUP BY 1)
 
 @query("spl_score", _SPLIT_SQL + "SELECT CAST(attempt AS INTEGER) AS attempt, round(score, 6) AS score FROM v")
 def spl_score(spark, sf):
-    rows = A.snapshots(spark, sf)
-    return sampling.split_scores(rows, sampling.split_candidates(rows, "user_id"), "user_id").select("attempt", F.round("score", 6).alias("score"))
+    return sampling.split_scores(A.snapshots(spark, sf), "user_id").select("attempt", F.round("score", 6).alias("score"))
 
 
 @query("spl_group", _SPLIT_SQL + "SELECT user_id, split FROM s WHERE attempt = (SELECT attempt FROM v ORDER BY score, attempt LIMIT 1)")

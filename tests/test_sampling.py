@@ -1,3 +1,7 @@
+import hashlib
+import math
+from collections import Counter
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -40,6 +44,36 @@ def test_group_split_is_deterministic_and_does_not_leak(spark, rows):
         sampling.split_candidates(rows, "grp", (0.5, 0.1, 0.1))
 
 
+def test_splits_by_boundary_buckets_equal_a_global_ranking(spark):
+    """Many groups a bucket: 12,000 groups with 4096 prefixes, cuts within buckets."""
+    df = spark.range(12_000).select((F.col("id") % 9_001).alias("grp"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("label"))
+    ratios = (0.6, 0.25, 0.15)
+    got = {(r.attempt, r.grp): r.split for r in sampling.split_candidates(df, "grp", ratios, attempts=3).collect()}
+    labels = Counter((r.grp, r.label) for r in df.collect())
+    held, test = math.ceil(9001 * 0.4 - 1e-9), math.ceil(math.ceil(9001 * 0.4 - 1e-9) * (0.15 / 0.4) - 1e-9)
+    scores = {}
+    for attempt in range(3):
+        order = sorted(range(9_001), key=lambda g: (hashlib.sha256(f"{attempt + sampling.SEED}|{g}".encode()).hexdigest(), g))
+        want = {g: "test" if k < test else "validation" if k < held else "train" for k, g in enumerate(order)}
+        assert {g: got[attempt, g] for g in order} == want
+        scores[attempt] = 0.0
+        for part, ratio in zip(sampling.PARTS, ratios):
+            n = Counter({x: sum(c for (g, y), c in labels.items() if y == x and want[g] == part) for x in "ab"})
+            scores[attempt] += abs(sum(n.values()) / 12_000 - ratio) + sum(abs(n[x] / sum(n.values()) - sum(c for (_, y), c in labels.items() if y == x) / 12_000) for x in "ab")
+    found = {r.attempt: r.score for r in sampling.split_scores(df, "grp", ratios, attempts=3).collect()}
+    assert found == pytest.approx(scores, abs=1e-8)
+    best = min(scores, key=lambda a: (round(scores[a], 9), a))
+    assert {r.grp: r.split for r in sampling.group_split(df, "grp", ratios, attempts=3).collect()} == {g: got[best, g] for g in range(9_001)}
+
+
+def test_artifact_control_ranks_by_prefix(spark):
+    df = spark.range(3000).select(F.col("id").alias("ord"), F.lit("MALWARE").alias("label"), F.when(F.col("id") % 3 == 0, "a.com").otherwise("192.0.2.1").alias("hostname"))
+    found = sampling.artifact_controlled(df)
+    order = sorted((i for i in range(3000) if i % 3), key=lambda i: (hashlib.sha256(f"{sampling.SEED}|{i}".encode()).hexdigest(), i))
+    assert {r.ord for r in found.where("hostname <> 'a.com'").collect()} == set(order[:1000])
+    assert "windowspecdefinition(label" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_temporal(spark):
     df = spark.createDataFrame([("2026-09-01T00:00:00",), ("2026-09-02",), ("bad",), (None,), ("2026-09-02x",)], "collected_at string")
     c = sampling.temporal_contract(df).first()
