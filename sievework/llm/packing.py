@@ -5,7 +5,9 @@ piece, so all later pieces are full and need no packing. The other pieces are de
 PIECES_PER_PARTITION pieces, or of more where there would be very many partitions. Each partition is packed by
 best-fit decreasing and compared with a lower bound from dual feasible functions. A partition that meets its bound
 is certified and final. Partitions with a gap release the pieces of their bins that have room left; these are dealt
-anew, so partitions exchange documents, and packed again. A round that does not lower the count of bins is discarded.
+anew, so partitions exchange documents, and packed again. A round that does not lower the count of bins is discarded,
+and the next one's partitions are four times as large; the last is one that gains nothing in one partition, or in
+partitions of LARGEST_PARTITION pieces. A round deals only what is open, so rounds shrink.
 
 Defined results: a null text is an empty document, which is one end id; an empty table gives no rows; repeated
 rows are packed each on its own; a null id is kept; only the named columns are read, so extra columns and
@@ -14,7 +16,9 @@ clashing names do not matter; a very long text is cut into capacity-sized pieces
 
 from __future__ import annotations
 
+import itertools
 import json
+import logging
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -32,7 +36,7 @@ PIECES_PER_PARTITION = 16384
 #: Beyond so many partitions, partitions grow instead, up to LARGEST_PARTITION pieces.
 USUAL_PARTITIONS = 4096
 LARGEST_PARTITION = 1 << 18
-ROUNDS = 4
+_log = logging.getLogger(__name__)
 
 
 def rank_encoder(tokenizer_path: str) -> Callable[[str], list[int]] | None:
@@ -199,7 +203,7 @@ def pack_round(items: DataFrame, number: int, capacity: int) -> DataFrame:
         first[0] = len(room)
         low = np.zeros(len(bins), np.int64)
         low[0] = bound
-        for name, values in (("bin_", ((number + 1) << 54) + (part << 32) + bins), ("offset", offsets), ("open_", opened), ("bins_", first), ("bound_", low)):
+        for name, values in (("bin_", ((number + 1) << 52) + (part << 32) + bins), ("offset", offsets), ("open_", opened), ("bins_", first), ("bound_", low)):
             data = data.append_column(name, pa.array(values))
         yield from data.to_batches(max_chunksize=50_000)
 
@@ -218,24 +222,33 @@ def deal(items: DataFrame, n: int, number: int, per_partition: int) -> DataFrame
     return dealt.drop("at_")
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
-    """Place pieces (of pieces_of) in sequences of at most capacity ids; adds sequence_id and offset."""
+def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION, rounds: int | None = None) -> DataFrame:
+    """Place pieces (of pieces_of) in sequences of at most capacity ids; adds sequence_id and offset.
+
+    Rounds go on until more of them or larger partitions gain nothing, or for so many rounds. Each logs its bins, their lower bound and how many
+    partitions are certified.
+    """
     full = pieces.where(F.col("length") == capacity)
     done = [full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})]
     final = lambda df: df.select(*pieces.columns, F.col("bin_").alias("sequence_id"), "offset")
     items = pieces.where(F.col("length") < capacity)
     n = items.count()
     placed, spent = None, None
-    for number in range(rounds):
+    for number in itertools.count() if rounds is None else range(rounds):
         if not n:
             break
         now = materialize(pack_round(deal(items, n, number, per_partition), number, capacity), "placed")
-        bins = now.agg(F.sum("bins_"), F.sum(F.col("open_").cast("long"))).first()
-        if placed is not None and bins[0] >= spent:
-            break
+        certified = F.count_if((F.col("bins_") > 0) & (F.col("bins_") <= F.col("bound_")))
+        found = now.agg(F.sum("bins_").alias("bins"), F.sum(F.col("open_").cast("long")).alias("open"), F.sum("bound_").alias("bound"), F.count_if(F.col("bins_") > 0).alias("parts"), certified.alias("certified")).first()
+        _log.info("round %d: %d bins, at least %d, %d of %d partitions certified", number, found.bins, found.bound, found.certified, found.parts)
+        if placed is not None and found.bins >= spent:
+            if found.parts <= 1 or per_partition >= LARGEST_PARTITION:
+                break
+            per_partition *= 4  # the same pieces once more, more of them side by side
+            continue
         if placed is not None:
             done.append(final(placed.where("not open_")))
-        placed, n = now, bins[1]
+        placed, n = now, found.open
         items = placed.where("open_").select(*pieces.columns)
         spent = placed.where("open_").agg(F.count_distinct("bin_")).first()[0]
     if placed is not None:
@@ -246,6 +259,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECE
     return out
 
 
+def certificate(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: sequences of packed pieces, the whole table's lower bound, and the gap between them.
+
+    The bound needs the number of pieces of each length only, of which there are capacity at most.
+    """
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in placed.groupBy("length").count().collect():
+        counts[r.length] = r["count"]
+    bound = lower_bound(counts)
+    return placed.agg(F.count_distinct("sequence_id").alias("sequences")).select("sequences", F.lit(bound).cast("long").alias("bound"), (F.col("sequences") - bound).alias("gap"))
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION) -> DataFrame:
     """Tokenise and pack: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     return pack(materialize(pieces_of(docs, tokenizer_path, id_col, text_col, capacity), "pieces"), capacity, per_partition)

@@ -192,17 +192,18 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     the same in every run where their other columns of plain types tell them apart. Rows that repeat an id with
     texts that are not near stay each.
     """
-    # Rows of one id and text are told from others by a hash, so that the text itself need not travel for it.
-    keys = {"id_": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "hash_": F.xxhash64(F.col(text_col).cast("string"))}
+    # Rows of one id and text are told from others by 128 bits of hash, so that the text itself need not travel for it.
+    text = F.col(text_col).cast("string")
+    keys = {"id_": F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), "hash_": F.xxhash64(text), "more_": F.xxhash64(F.lit(1), text)}
     prints = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[c.alias(n) for n, c in keys.items()])
-    prints = materialize(fingerprints(prints, carried={"id_": "long", "hash_": "long"}), "prints")
-    head = F.struct(F.col("doc_id").isNull(), "id_", "hash_")
-    heads = rooted(prints, head).select(F.col("component_.id_"), F.col("component_.hash_")).distinct()
+    prints = materialize(fingerprints(prints, carried=dict.fromkeys(keys, "long")), "prints")
+    head = F.struct(F.col("doc_id").isNull(), *keys)
+    heads = rooted(prints, head).select(*[F.col(f"component_.{k}") for k in keys]).distinct()
     plain = [F.col(f"row_.`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (ArrayType, MapType, StructType, VariantType))]
-    by = Window.partitionBy("id_", "hash_").orderBy(F.col(f"row_.`{id_col}`").isNull(), F.xxhash64(*plain))
+    by = Window.partitionBy(*keys).orderBy(F.col(f"row_.`{id_col}`").isNull(), F.xxhash64(*plain))
     rows = docs.select(F.struct("*").alias("row_"), *[c.alias(n) for n, c in keys.items()])
     first = rows.withColumn("at_", F.row_number().over(by)).where("at_ = 1")
-    return first.join(heads, ["id_", "hash_"], "left_semi").select("row_.*")
+    return first.join(heads, list(keys), "left_semi").select("row_.*")
 
 
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -110,8 +110,20 @@ def test_exchange_lowers_the_count(spark):
     rows = [(k, 0, 0, int(n), 0) for k, n in enumerate(rng.integers(20, 60, 400))]
     pieces = spark.createDataFrame(rows, packing.PIECES)
     count = lambda rounds: packing.pack(pieces, 100, 10, rounds).select("sequence_id").distinct().count()
-    once, exchanged = count(1), count(4)
-    assert exchanged < once and exchanged >= packing.lower_bound(np.bincount([r[3] for r in rows], minlength=101))
+    once, exchanged, whole = count(1), count(4), count(None)
+    assert whole <= exchanged < once and whole >= packing.lower_bound(np.bincount([r[3] for r in rows], minlength=101))
+    report = packing.certificate(packing.pack(pieces, 100, 10), 100).first()
+    assert report.sequences == whole and report.gap == whole - report.bound >= 0
+
+
+def test_exchange_reaches_the_optimum(spark, caplog):
+    """Two sizes that fill a bin only together, dealt over many small partitions: the optimum is known."""
+    caplog.set_level("INFO", "sievework.llm.packing")
+    rows = [(k, 0, 0, (60, 40)[k % 2], 0) for k in range(900)]
+    packed = packing.pack(spark.createDataFrame(rows, packing.PIECES), 100, 10)
+    assert packing.certificate(packed, 100).first() == (450, 450, 0)
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n <> 100").count() == 0
+    assert "partitions certified" in caplog.text
 
 
 def test_repeated_rows_part_ways(spark):
@@ -119,5 +131,5 @@ def test_repeated_rows_part_ways(spark):
     sizes = packing.deal(same, 2000, 0, 100).mapInPandas(lambda it: ([b.groupby("doc_id", as_index=False).size() for b in it if len(b)]), "doc_id long, size long").collect()
     assert sum(r["size"] for r in sizes) == 2000 and max(r["size"] for r in sizes) < 300
     packed = packing.pack(same, 100, 100)
-    # Two of them fill a sequence, so that each partition may leave one sequence with a single piece.
-    assert packed.count() == 2000 and 1000 <= packed.select("sequence_id").distinct().count() <= 1020
+    # Two of them fill a sequence.
+    assert packed.count() == 2000 and packed.select("sequence_id").distinct().count() == 1000
