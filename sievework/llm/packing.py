@@ -4,7 +4,8 @@ Documents are tokenised once and cut only where they exceed the capacity; the re
 piece, so all later pieces are full and need no packing. The other pieces are dealt by hash into partitions of
 PIECES_PER_PARTITION pieces, or of more where there would be very many partitions. Each partition is packed by
 best-fit decreasing and compared with a lower bound from dual feasible functions. A partition that meets its bound
-is certified and final. Partitions with a gap release the pieces of their bins that have room left; these are dealt
+is certified; it keeps its bins but those that are loose (a quarter free). Partitions with a gap release the pieces of
+all bins that have room left. What is released is dealt
 anew, so partitions exchange documents, and packed again. A round that does not lower the count of bins is discarded,
 and the next one's partitions are four times as large; the last is one that gains nothing in one partition, or in
 partitions of LARGEST_PARTITION pieces. A round deals only what is open, so rounds shrink.
@@ -36,6 +37,8 @@ PIECES_PER_PARTITION = 16384
 #: Beyond so many partitions, partitions grow instead, up to LARGEST_PARTITION pieces.
 USUAL_PARTITIONS = 4096
 LARGEST_PARTITION = 1 << 18
+#: Certified partitions keep bins with less than one in so many parts of their room free.
+LOOSE = 4
 _log = logging.getLogger(__name__)
 
 
@@ -197,7 +200,8 @@ def pack_round(items: DataFrame, number: int, capacity: int) -> DataFrame:
         lengths = data.column("length").to_numpy()
         bins, offsets, room = best_fit(lengths, capacity)
         bound = lower_bound(np.bincount(lengths, minlength=capacity + 1))
-        opened = (room > 0)[bins] if len(room) > bound else np.zeros(len(bins), bool)
+        # A certified partition needs its bins, but what is loose in it may fill what is loose in others.
+        opened = (room >= (1 if len(room) > bound else max(1, capacity // LOOSE)))[bins]
         part = TaskContext.get().partitionId()
         first = np.zeros(len(bins), np.int64)
         first[0] = len(room)
