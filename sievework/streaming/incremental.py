@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import with_normalized
 from ..storage import shared_folder as shared_folder
+from . import state
 
 
 def read_snapshots(spark: SparkSession, path: str, schema: str, per_trigger: int = 100) -> DataFrame:
@@ -22,47 +23,42 @@ def first_seen(stream: DataFrame, url: str = "url", watermark: str | None = None
     return rows.dropDuplicates(["normalized_url"])
 
 
-def accumulate_into(stream: DataFrame, target: str, checkpoint: str, url: str = "url", date: str = "snapshot_date"):
+def accumulate_into(stream: DataFrame, target: str, checkpoint: str, url: str = "url", date: str = "snapshot_date", watermark: str | None = None, event_time: str = "ts"):
     """Earliest date of each URL whatever the order of arrival.
 
-    A batch appends its own minima; readers take the minimum over all (read_accumulated). Appending is the whole
-    write, so a repeated batch changes nothing, and the target can be compacted at any time.
+    The first date is state by URL, and a batch writes the URLs whose date is new or falls. Readers take the minimum
+    (read_accumulated); a repeated batch writes the same folder again, and the target can be compacted at any time.
+    With a watermark, which event_time carries, URLs are forgotten once it has passed them.
     """
+    extra = [event_time] if watermark else []
+    distinct = with_normalized(stream.select(F.col(url).alias("url"), F.col(date).alias("first_snapshot_date"), *extra)).where("normalized_url is not null")
+    spark = stream.sparkSession
+    processor = state.Earliest("normalized_url", "first_snapshot_date", event_time, state.retention(watermark, spark))
+    changed = state.by_key(distinct.select("normalized_url", "first_snapshot_date", *extra), "normalized_url", processor, "normalized_url string, first_snapshot_date string", watermark, event_time)
+    return _written(changed, target, checkpoint)
 
-    def append(batch: DataFrame, number: int) -> None:
-        distinct = batch.groupBy(F.col(url).alias("url")).agg(F.min(date).alias("first_"))
-        rows = with_normalized(distinct).where("normalized_url is not null")
-        minima = rows.groupBy("normalized_url").agg(F.min("first_").alias("first_snapshot_date"))
-        minima.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _written(changed: DataFrame, target: str, checkpoint: str):
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    with state.keyed_store(changed.sparkSession):
+        return changed.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_accumulated(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(target).groupBy("normalized_url").agg(F.min("first_snapshot_date").alias("first_snapshot_date"))
 
 
-def register_into(stream: DataFrame, target: str, checkpoint: str, key: str = "snapshot_id", digest: str | None = None):
-    """Append records of new ids, batch by batch; a repeated batch writes the same folder again.
+def register_into(stream: DataFrame, target: str, checkpoint: str, key: str = "snapshot_id", digest: str | None = None, watermark: str | None = None, event_time: str = "ts"):
+    """Append records of new ids; a repeated batch writes the same folder again.
 
-    With digest, an id that comes again, in one batch or in a later one, must have the digest that it had; another one
-    ends the stream with an error.
+    Ids are keyed state, so no batch reads what earlier ones wrote. With digest, an id that comes again, in one batch or
+    in a later one, must have the digest that it had; another one ends the stream with an error. With a watermark, ids
+    are forgotten once it has passed them.
     """
-
-    def append(batch: DataFrame, number: int) -> None:
-        columns = batch.schema
-        empty = batch.sparkSession.createDataFrame([], columns.add("batch", "long") if "batch" not in columns.fieldNames() else columns)
-        empty.limit(0).write.mode("ignore").partitionBy("batch").parquet(target)
-        known = batch.sparkSession.read.schema(empty.schema).option("basePath", target).option("recursiveFileLookup", False).parquet(target).where(F.col("batch") != number)
-        if digest:
-            both = batch.select(key, digest).unionByName(known.select(key, digest)).groupBy(key).agg(F.min(digest).alias("a"), F.max(digest).alias("b"))
-            clash = both.where("a <> b").select(F.col(key).cast("string")).first()
-            if clash:
-                raise ValueError(f"{clash[0]} is registered with another digest")
-        fresh = batch.dropDuplicates([key]).join(known.select(key), key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    processor = state.Registered(stream.columns, digest, event_time, state.retention(watermark, stream.sparkSession))
+    return _written(state.by_key(stream, key, processor, stream.schema, watermark, event_time), target, checkpoint)
 
 
 def daily_rates(stream: DataFrame, event_time: str = "ts", delay: str = "1 day", size: str = "1 day") -> DataFrame:
