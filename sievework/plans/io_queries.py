@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features
 from ..operators import models, policy, sampling
-from ..sources import feeds, sinks
+from ..sources import dated, feeds, sinks
 from ..streaming import incremental
 from . import adapters as A
 from .registry import query
@@ -126,12 +126,16 @@ def src_union_raw(spark, sf):
     return feeds.load_raw(spark, root, {"benign": ["a.csv"], "phishing": ["b.txt"]}).groupBy("label", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _write_days(rows, root):
+    """A file of urls a day, in one job."""
+    days = rows.where("collected_at is not null").select("url", F.col("collected_at").alias("day"), "ord")
+    days.repartition("day").sortWithinPartitions("day", "ord").select("url", "day").write.mode("append").partitionBy("day").text(root)
+
+
 @query("src_snapshot_discover", "SELECT collected_at AS snapshot_date, CAST(count(*) AS INTEGER) AS records, sha256(string_agg(url || chr(10), '' ORDER BY ord)) AS sha256 FROM v_urls GROUP BY 1")
 def src_snapshot_discover(spark, sf):
     root = incremental.shared_folder(spark, "snapshots")
-    rows = A.urls(spark, sf)
-    for (day,) in rows.where("collected_at is not null").select("collected_at").distinct().collect():
-        rows.where(F.col("collected_at") == day).coalesce(1).sortWithinPartitions("ord").select("url").write.text(f"{root}/{day}")
+    _write_days(A.urls(spark, sf), root)
     return feeds.discover_snapshots(spark, root).where("path like '%.txt'").select("snapshot_date", "records", "sha256")
 
 
@@ -162,6 +166,18 @@ def st_history(spark, sf):
     return spark.read.parquet(f"{folder}/table").select("snapshot_id")
 
 
+@query("st_resume", "SELECT collected_at AS snapshot_date, count(*) AS n, count(DISTINCT url) AS urls, CAST(sum(length(url)) AS BIGINT) AS chars FROM v_urls GROUP BY 1")
+def st_resume(spark, sf):
+    """Days of urls through the resumable source: the stream stops after the first two days and goes on when there are more."""
+    folder = incremental.shared_folder(spark, "resume")
+    rows = A.urls(spark, sf)
+    for half in ("collected_at < '2026-09-03'", "collected_at >= '2026-09-03'"):
+        _write_days(rows.where(half), f"{folder}/in")
+        incremental.run_to_table(dated.read_dated(spark, f"{folder}/in", f"{folder}/finished"), folder)
+    found = spark.read.parquet(f"{folder}/out")
+    return found.groupBy("snapshot_date").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("line").alias("urls"), F.sum(F.length("line")).alias("chars"))
+
+
 @query("st_rates", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
 def st_rates(spark, sf):
     """A stream's daily counts, in complete mode so that the last days are there too."""

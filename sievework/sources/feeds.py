@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import strip
+from ..storage import stored
+from .dated import file_digests
 
 CSV_SUFFIXES = (".csv", ".csv.gz", ".csv.bz2", ".csv.zip")
 FOLDER_LABELS = {"benign": "BENIGN", "phishing": "PHISHING", "malware": "MALWARE"}
@@ -191,11 +193,15 @@ def parse(spark: SparkSession, name: str, path: str, **options: object) -> DataF
 
 
 def discover_snapshots(spark: SparkSession, root: str) -> DataFrame:
-    """(path, snapshot_date, bytes, sha256, records) of dated snapshot files below root; partial files go."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    kept = files.where("not path like '%.part' and not path like '%.failures.jsonl'")
-    lines = F.filter(F.split(F.decode("content", "UTF-8"), "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(F.trim(x), F.lit("#")))
-    return kept.select("path", F.regexp_extract("path", "/(\\d{4}-\\d{2}-\\d{2})[^/]*/[^/]+$", 1).alias("snapshot_date"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.size(lines).alias("records")).where("snapshot_date <> ''")
+    """(path, snapshot_date, bytes, sha256, records) of dated snapshot files below root; partial files go.
+
+    Files are listed by Spark and dealt by path; a task reads its files in chunks.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    day = F.regexp_extract("path", "/(?:[^/=]+=)?(\\d{4}-\\d{2}-\\d{2})[^/]*/[^/]+$", 1)
+    kept = files.where("not path like '%.part' and not path like '%.failures.jsonl'").select("path", day.alias("snapshot_date"), F.col("length").alias("bytes")).where("snapshot_date <> ''")
+    kept = stored(kept, "snapshots")
+    return kept.join(file_digests(kept.repartition("path")), "path").select("path", "snapshot_date", "bytes", "sha256", "records")
 
 
 def snapshot_catalog(spark: SparkSession, root: str) -> DataFrame:
