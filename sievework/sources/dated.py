@@ -123,7 +123,9 @@ START = {"day": "", "file": "", "byte": 0}
 _ARROW = pa.schema([("snapshot_date", pa.string()), ("file", pa.string()), ("byte", pa.int64()), ("line", pa.string())])
 
 
-def read_range(root: str, part: ByteRange) -> Iterator[pa.RecordBatch]:
+def read_range(root: str, part: ByteRange | None) -> Iterator[pa.RecordBatch]:
+    if part is None:  # what Spark reads where there are no ranges
+        return
     store, _ = open_store(root)
 
     def batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
