@@ -69,7 +69,7 @@ def bad_percent(value: Column) -> Column:
 def upper_percent(value: Column) -> Column:
     """Percent escapes in upper case."""
     pieces = F.split(value, "%", -1)
-    fixed = F.transform(pieces, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.upper(F.substring(x, 1, 2)), F.substring(x, 3, MAX_URL_LENGTH))))
+    fixed = F.transform(pieces, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.upper(F.substring(x, 1, 2)), F.substring(x, 3, F.length(x)))))
     return F.when(value.contains("%"), F.array_join(fixed, "%")).otherwise(value)
 
 

@@ -86,12 +86,12 @@ def staleness(created: Column, today: Column) -> Column:
 
 
 def register_history(history: DataFrame, records: DataFrame, key: str = "snapshot_id", digest: str = "sha256") -> DataFrame:
-    """Append records whose id is new; an id that is there with another digest is an error."""
-    known = history.select(key, F.col(digest).alias("_old"))
-    joined = records.join(known, key, "left")
-    fresh = F.when(F.col("_old").isNull(), True).when(F.col("_old") == F.col(digest), False)
-    fresh = fresh.otherwise(F.raise_error(F.lit("a registered snapshot has another digest")).cast("boolean"))
-    return history.unionByName(joined.where(fresh).drop("_old").dropDuplicates([key]))
+    """Append records whose id is new; an id with two digests, in the records or in the history, is an error."""
+    seen = history.select(key, F.col(digest).alias("_d"), F.lit(True).alias("_known")).unionByName(records.select(key, F.col(digest).alias("_d"), F.lit(False).alias("_known")))
+    ids = seen.groupBy(key).agg(F.min("_d").alias("_low"), F.max("_d").alias("_high"), F.count("_d").alias("_some"), F.count(F.lit(1)).alias("_all"), F.bool_or("_known").alias("_known"))
+    one = F.col("_low").eqNullSafe(F.col("_high")) & F.col("_some").isin(F.lit(0), F.col("_all"))
+    fresh = F.when(one, ~F.col("_known")).otherwise(F.raise_error(F.lit("a registered snapshot has another digest")).cast("boolean"))
+    return history.unionByName(records.dropDuplicates([key]).join(ids.where(fresh).select(key), key, "left_semi"))
 
 
 def history_summary(history: DataFrame, key: str = "snapshot_id", order: str = "seq", part: str | None = None) -> DataFrame:

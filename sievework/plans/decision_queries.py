@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features, urls
 from ..functions.constants import DECISION_FEATURES, THRESHOLD_GRID
-from ..operators import calibration, integrity, intel, metrics, policy, sampling
+from ..operators import calibration, integrity, intel, metrics, policy, sampling, seals
 from . import adapters as A
 from .registry import query
 
@@ -640,6 +640,21 @@ def int_history_register(spark, sf):
     return integrity.register_history(rows.where("snapshot_id % 2 = 0"), rows.where("snapshot_id % 3 <> 0 or snapshot_id % 6 = 3"))
 
 
+@query("int_seal_difference", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN 'removed' ELSE 'changed' END AS change FROM orders WHERE o_orderkey % 97 = 0 OR o_orderkey % 89 = 0
+UNION ALL SELECT -1 - o_orderkey, 'added' FROM orders WHERE o_orderkey % 101 = 0""")
+def int_seal_difference(spark, sf):
+    """The orders against a later state of them, through their sealed forms."""
+    from ..storage import shared_folder
+
+    rows = A.read(spark, sf, "orders")
+    later = rows.where("o_orderkey % 97 <> 0").withColumn("o_comment_", F.col("o_orderkey") % 89 == 0)
+    later = later.unionByName(rows.where("o_orderkey % 101 = 0").withColumns({"o_orderkey": -1 - F.col("o_orderkey"), "o_comment_": F.lit(False)}))
+    folder = shared_folder(spark, "seals")
+    old = seals.write_seal(rows.withColumn("o_comment_", F.lit(False)), f"{folder}/old")
+    return seals.difference(old, seals.write_seal(later, f"{folder}/new"), "o_orderkey")
+
+
 @query("int_bundle_build", "SELECT DISTINCT sha256(indicator) AS digest FROM v_feed")
 def int_bundle_build(spark, sf):
     bad = spark.createDataFrame([("xyz",)], "digest string")
@@ -676,8 +691,8 @@ def int_bundle_summary(spark, sf):
     return spark.createDataFrame([(said["bundleVersion"], said["indicatorCount"], said["brandCount"], said["shortenerCount"])], "version string, indicators long, brands int, shorteners int")
 
 
-@query("snk_comparison", "SELECT ord AS k, 'new' AS v FROM v_urls WHERE ord % 4 = 0 UNION ALL SELECT ord, 'old' FROM v_urls WHERE ord % 2 = 0 AND ord % 4 <> 0")
+@query("snk_comparison", "SELECT ord AS k, CASE WHEN ord % 4 = 0 OR ord % 5 = 0 THEN 'new' ELSE 'old' END AS v FROM v_urls")
 def snk_comparison(spark, sf):
     rows = A.urls(spark, sf)
-    old = rows.where("ord % 2 = 0").select(F.col("ord").alias("k"), F.lit("old").alias("v"))
-    return integrity.upsert(old, rows.where("ord % 4 = 0").select(F.col("ord").alias("k"), F.lit("new").alias("v")), ["k"])
+    old = rows.where("ord % 5 <> 0").select(F.col("ord").alias("k"), F.lit("old").alias("v"))
+    return integrity.upsert(old, rows.where("ord % 4 = 0 or ord % 5 = 0").select(F.col("ord").alias("k"), F.lit("new").alias("v")), ["k"])

@@ -364,10 +364,10 @@ def agg_bias(spark, sf):
     return audit.bias_summary(audit.enriched(rows))
 
 
-@query("agg_bias_warnings", "SELECT 'FULL_URL' AS dataset_view, 'is_https_percent' AS metric, round(max(h) - min(h), 4) AS spread FROM (SELECT ord % 2 AS k, avg(CAST(contains(url, 'https') AS INTEGER)) * 100 AS h FROM v_urls WHERE (ord % 2 = 0) = contains(url, 'https') GROUP BY 1) HAVING max(h) - min(h) >= 40")
+@query("agg_bias_warnings", "SELECT 'FULL_URL' AS dataset_view, 'is_https_percent' AS metric, round(max(h) - min(h), 4) AS spread FROM (SELECT contains(url, 'https') = (ord % 8 <> 0) AS k, avg(CAST(contains(url, 'https') AS INTEGER)) * 100 AS h FROM v_urls GROUP BY 1) HAVING max(h) - min(h) >= 40")
 def agg_bias_warnings(spark, sf):
-    rows = A.hosts(spark, sf).where((F.col("ord") % 2 == 0) == (F.col("scheme") == "https"))
-    rows = rows.withColumns({"dataset_view": F.lit("FULL_URL"), "model_url": F.col("normalized_url"), "label": (F.col("ord") % 2).cast("string")})
+    label = ((F.col("scheme") == "https") == (F.col("ord") % 8 != 0)).cast("string")
+    rows = A.hosts(spark, sf).withColumns({"dataset_view": F.lit("FULL_URL"), "model_url": F.col("normalized_url"), "label": label})
     found = audit.bias_warnings(audit.bias_summary(audit.enriched(rows)))
     return found.where("metric = 'is_https_percent'").withColumn("spread", F.round("spread", 4))
 
