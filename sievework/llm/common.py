@@ -176,13 +176,47 @@ def open_links(links: DataFrame) -> tuple[int, bool]:
     return tuple(nodes.agg(F.coalesce(F.sum("out"), F.lit(0)), F.coalesce(F.max(F.col("out") + F.col("in") * F.least("out", F.lit(1)) > 1), F.lit(False))).first())
 
 
+def star_step(edges: DataFrame, total: int, small: bool) -> DataFrame:
+    """One step towards stars around least nodes: links (u, v) from edges (u, v), of which there are total at most.
+
+    Each node u takes a least node: the least that its task can reach from it, at least the least of its neighbours.
+    The large step has edges in both directions and hands u's least to its greater neighbours, the small one has u > v
+    and hands it to the others. All of a node's edges meet in one task, but for hot nodes, over one edge in HOT_SHARE
+    of all: their least neighbours are found by an aggregate and told to all tasks, at most HOT_SHARE of them.
+    """
+    hot = {r.u: r.m for r in edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT_SHARE > total).collect()}
+    key = F.when(F.col("u").isin(list(hot)), F.xxhash64("u", "v")).otherwise(F.xxhash64("u")) if hot else F.xxhash64("u")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(column(b, "u"), column(b, "v")) for b in batches if b.num_rows]
+        if not held:
+            return
+        u, v = (np.concatenate(x) for x in zip(*held))
+        far, near = np.fromiter(hot.keys(), np.int64, len(hot)), np.fromiter(hot.values(), np.int64, len(hot))
+        nodes = np.unique(np.concatenate([u, v, far, near]))
+        at = lambda x: np.searchsorted(nodes, x)
+        root = np.arange(len(nodes))
+        unite(root, at(np.append(u, far)), at(np.append(v, near)))
+        own = np.arange(len(nodes)) if not small else np.full(len(nodes), len(nodes))
+        np.minimum.at(own, at(np.append(u, far)), at(np.append(v, near)))
+        i, j = at(u), at(v)
+        # What u's least node is handed to: v, and u itself where the least is no neighbour of it.
+        up = np.concatenate([i[root[i] < own[i]], j[j > i]]) if not small else np.concatenate([i, j])
+        down = np.concatenate([root[i[root[i] < own[i]]], root[i[j > i]]]) if not small else np.concatenate([root[i], root[i]])
+        pair = np.unique((up * len(nodes) + down)[up != down])
+        for k in range(0, len(pair), 100_000):
+            some = pair[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[some // len(nodes)]), pa.array(nodes[some % len(nodes)])], ["u", "v"])
+
+    return edges.select("u", "v").repartition(key).mapInArrow(run, "u long, v long")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of undirected links (a long, b long), without collecting links: rows (node, component).
 
     component is the smallest node that links reach. Large-star and small-star steps alternate until only stars are
     left, each around its least node; each step is written to the shared folder, which cuts lineage. Links that are
-    such stars already take no step. The centre of a large star is a hot key, so its links meet its least neighbour by
-    a broadcast. Nodes without links do not appear.
+    such stars already take no step. Nodes without links do not appear.
     """
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = materialize(links, "links")
@@ -191,11 +225,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not more:
             break
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = lowest_by(both, "u", F.least("u", "v"), "m", 2 * total).where("v > u")
-        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = lowest_by(large, "u", F.col("v"), "m", 2 * total)
-        small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-        links = materialize(small.where("u <> v").distinct(), "links")
+        large = materialize(star_step(both, 2 * total, False), "links")
+        links = materialize(star_step(large, 2 * total, True).distinct(), "links")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     members = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
