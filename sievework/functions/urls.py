@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .constants import MAX_URL_LENGTH, SUFFIX_RULES
+from .suffixes import SuffixTable, read_suffix_rules, suffix_table, with_suffix_labels
 
 PARTS = ("original_url", "normalized_url", "scheme", "hostname", "port", "path", "query", "fragment", "subdomain", "domain", "suffix", "registrable_domain")
 #: All white space of Unicode, and the separators 0x1C to 0x1F.
@@ -82,33 +83,24 @@ def host_type(value: Column) -> Column:
 SUFFIX_CONF = "spark.sievework.suffixFile"
 
 
-def read_suffix_rules(path: str, private: bool = False) -> tuple[str, ...]:
-    """The rules of a file in the public suffix list's format: one a line, "//" for comments, other scripts in IDNA.
+#: More rules than that are matched by a table.
+LITERAL_RULES = 500
+_TABLES: dict[tuple[str, str], SuffixTable] = {}
 
-    Rules between the markers of the private section count only with private.
-    """
-    rules: list[str] = []
-    inside = False
-    with open(path, encoding="utf-8") as file:
-        for line in file:
-            if "===BEGIN PRIVATE DOMAINS===" in line or "===END PRIVATE DOMAINS===" in line:
-                inside = "===BEGIN" in line
-            rule = line.split("//", 1)[0].split()
-            if rule and (private or not inside):
-                mark = rule[0][:1] if rule[0][0] == "!" else rule[0][:2] if rule[0][:2] == "*." else ""
-                rules.append(mark + rule[0][len(mark) :].lower().encode("idna").decode("ascii"))
-    if not rules:
-        raise ValueError(f"{path} holds no rules")
-    return tuple(rules)
-
-
-def rules_of(spark: SparkSession) -> tuple[str, ...]:
+
+def rules_of(spark: SparkSession) -> Sequence[str] | SuffixTable:
     """The session's public suffixes: those of the file that spark.sievework.suffixFile names, else SUFFIX_RULES.
 
-    SUFFIX_RULES covers endings in common use only. unknown_endings counts hosts that no rule covers.
+    A file is read once an application. SUFFIX_RULES covers endings in common use only; unknown_endings counts hosts
+    that no rule covers.
     """
     path = spark.conf.get(SUFFIX_CONF, None)
-    return read_suffix_rules(path) if path else SUFFIX_RULES
+    if not path:
+        return SUFFIX_RULES
+    key = spark.sparkContext.applicationId, path
+    if key not in _TABLES:
+        _TABLES[key] = suffix_table(spark, read_suffix_rules(path))
+    return _TABLES[key]
 
 
 def suffix_labels(host: str, rules: Sequence[str] = SUFFIX_RULES) -> Column:
@@ -147,13 +139,19 @@ def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
-def with_domain_parts(df: DataFrame, host: str = "hostname", rules: Sequence[str] | None = None) -> DataFrame:
+def with_domain_parts(df: DataFrame, host: str = "hostname", rules: Sequence[str] | SuffixTable | None = None) -> DataFrame:
     """Add subdomain, domain, suffix and registrable_domain of a host column; without rules by those of the session."""
     rules = rules_of(df.sparkSession) if rules is None else rules
+    if not isinstance(rules, SuffixTable) and len(rules) > LITERAL_RULES:
+        rules = suffix_table(df.sparkSession, rules)
     h, n = F.col(host), F.col("_suffix_n")
     is_ip = h.rlike(IPV4) | h.contains(":")
     labels = F.split(h, "\\.")
-    df = staged(df, {"_suffix_n": F.when(is_ip, -1).otherwise(suffix_labels(host, rules)), "_labels": labels})
+    if isinstance(rules, SuffixTable):
+        df = with_suffix_labels(df, host, rules, "_found_n")
+        df = staged(df, {"_suffix_n": F.when(is_ip, -1).otherwise(F.col("_found_n")), "_labels": labels}).drop("_found_n")
+    else:
+        df = staged(df, {"_suffix_n": F.when(is_ip, -1).otherwise(suffix_labels(host, rules)), "_labels": labels})
     size = F.size("_labels")
     body = F.slice(F.col("_labels"), 1, F.greatest(size - F.greatest(n, F.lit(0)), F.lit(0)))
     df = staged(df, {"_body": body, "suffix": F.when(n <= 0, "").otherwise(F.array_join(F.slice(F.col("_labels"), size - n + 1, F.greatest(n, F.lit(1))), "."))})
@@ -177,7 +175,7 @@ _PATTERN = "(?s)\\A([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\\?([^#]*))?(
 _LABELS = "\\A[a-z0-9-]{1,63}(?:\\.[a-z0-9-]{1,63})*\\.?\\z"
 
 
-def with_normalized(df: DataFrame, url: str = "url", rules: Sequence[str] | None = None) -> DataFrame:
+def with_normalized(df: DataFrame, url: str = "url", rules: Sequence[str] | SuffixTable | None = None) -> DataFrame:
     """Add the 12 parts of a URL column; all but original_url are null where the URL is rejected.
 
     Columns of df that have a part's name give way to it. Brackets belong to IPv6 hosts; elsewhere before the path they
