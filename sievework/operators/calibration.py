@@ -42,17 +42,18 @@ def losses(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
 def fit_temperature(df: DataFrame, p: str = "p", y: str = "y", grid: Sequence[float] = TEMPERATURES) -> DataFrame:
     """(temperature, nll) of lowest loss, the lower of equal temperatures.
 
-    Rows meet the broadcast grid inside a task and are summed there; one partial sum per task and temperature is
-    shuffled.
+    Tasks sum a loss for each temperature as they read a row, so rows are not multiplied by the grid.
     """
-    temps = df.sparkSession.createDataFrame([(float(t),) for t in grid], "temperature double")
     logs = F.transform(p, lambda x: F.log(clip(x)))
     rows = df.select(logs.alias("l"), F.get(logs, F.col(y)).alias("own"), F.array_max(logs).alias("top"))
-    t = F.col("temperature")
-    total = F.aggregate(F.col("l"), F.lit(0.0), lambda a, x: a + F.exp((x - F.col("top")) / t))
-    loss = F.log(total) - (F.col("own") - F.col("top")) / t
-    found = rows.crossJoin(F.broadcast(temps)).groupBy("temperature").agg(F.round(F.avg(loss), 12).alias("nll"))
-    return found.agg(F.min(F.struct("nll", "temperature")).alias("b")).select("b.temperature", "b.nll")
+
+    def loss(t: float) -> Column:
+        total = F.aggregate(F.col("l"), F.lit(0.0), lambda a, x: a + F.exp((x - F.col("top")) / t))
+        return F.log(total) - (F.col("own") - F.col("top")) / t
+
+    sums = rows.agg(*[F.round(F.avg(loss(float(t))), 12).alias(f"t{k}") for k, t in enumerate(grid)])
+    each = F.array(*[F.struct(F.col(f"t{k}").alias("nll"), F.lit(float(t)).alias("temperature")) for k, t in enumerate(grid)])
+    return sums.select(F.array_min(each).alias("b")).select("b.temperature", "b.nll")
 
 
 def edges(bins: int = ECE_BINS) -> list[float]:

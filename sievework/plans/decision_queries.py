@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features, urls
 from ..functions.constants import DECISION_FEATURES, THRESHOLD_GRID
-from ..operators import calibration, integrity, intel, metrics, policy, sampling, seals
+from ..operators import calibration, integrity, intel, joins, metrics, policy, sampling, seals
 from . import adapters as A
 from .registry import query
 
@@ -696,3 +696,24 @@ def snk_comparison(spark, sf):
     rows = A.urls(spark, sf)
     old = rows.where("ord % 5 <> 0").select(F.col("ord").alias("k"), F.lit("old").alias("v"))
     return integrity.upsert(old, rows.where("ord % 4 = 0 or ord % 5 = 0").select(F.col("ord").alias("k"), F.lit("new").alias("v")), ["k"])
+
+
+@query("join_range", """
+SELECT k, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM (SELECT k * 900.0::DOUBLE AS lo, k * 900.0 + CASE WHEN k % 3 = 0 THEN 400 ELSE 2500 END AS hi, k FROM (SELECT unnest(range(700)) AS k))
+JOIN orders ON o_totalprice > lo AND o_totalprice <= hi GROUP BY 1""")
+def join_range(spark, sf):
+    """Orders by price intervals with gaps and overlaps."""
+    k = F.col("id")
+    intervals = spark.range(700).select(k.alias("k"), (k * 900.0).alias("lo"), (k * 900.0 + F.when(k % 3 == 0, 400).otherwise(2500)).alias("hi"))
+    rows = joins.range_join(A.read(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", intervals, "lo", "hi", "right")
+    return rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("join_positional", """
+SELECT a.o_orderkey, b.o_orderkey AS other, a.r - 1 AS row_number FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders) a
+JOIN (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS r FROM orders) b USING (r)""")
+def join_positional(spark, sf):
+    """Orders by key beside orders by price."""
+    rows = A.read(spark, sf, "orders")
+    right = rows.select(F.col("o_orderkey").alias("other"), "o_totalprice")
+    return joins.positional_join(rows.select("o_orderkey"), right, ["o_orderkey"], ["o_totalprice", "other"]).select("o_orderkey", "other", "row_number")
