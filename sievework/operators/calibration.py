@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,18 +44,28 @@ def losses(df: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
 def fit_temperature(df: DataFrame, p: str = "p", y: str = "y", grid: Sequence[float] = TEMPERATURES) -> DataFrame:
     """(temperature, nll) of lowest loss, the lower of equal temperatures.
 
-    Tasks sum a loss for each temperature as they read a row, so rows are not multiplied by the grid.
+    Tasks add up losses of all temperatures batch by batch and hand on one row each, so rows are not multiplied by the
+    grid. Rows without probabilities or with a label outside them count for none.
     """
-    logs = F.transform(p, lambda x: F.log(clip(x)))
-    rows = df.select(logs.alias("l"), F.get(logs, F.col(y)).alias("own"), F.array_max(logs).alias("top"))
-
-    def loss(t: float) -> Column:
-        total = F.aggregate(F.col("l"), F.lit(0.0), lambda a, x: a + F.exp((x - F.col("top")) / t))
-        return F.log(total) - (F.col("own") - F.col("top")) / t
+    temperatures = [float(t) for t in grid]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = np.zeros(len(temperatures)), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = np.append(0, np.cumsum(batch.column(0).value_lengths().to_numpy(zero_copy_only=False)))[:-1]
+            below, own = batch.column(0).flatten().to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            n += batch.num_rows
+            sums += [(np.log(np.add.reduceat(np.exp(below / t), starts)) - own / t).sum() for t in temperatures]
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([sums], pa.list_(pa.float64()))], ["n", "sums"])
 
-    sums = rows.agg(*[F.round(F.avg(loss(float(t))), 12).alias(f"t{k}") for k, t in enumerate(grid)])
-    each = F.array(*[F.struct(F.col(f"t{k}").alias("nll"), F.lit(float(t)).alias("temperature")) for k, t in enumerate(grid)])
-    return sums.select(F.array_min(each).alias("b")).select("b.temperature", "b.nll")
+    logs = F.transform(p, lambda x: F.log(clip(x)))
+    rows = df.select(logs.alias("l"), F.get(logs, F.col(y)).alias("own"), F.array_max(logs).alias("top")).where("own is not null")
+    parts = rows.select(F.transform("l", lambda x: x - F.col("top")).alias("l"), (F.col("own") - F.col("top")).alias("own")).mapInArrow(run, "n long, sums array<double>")
+    whole = parts.select("n", F.posexplode("sums").alias("k", "s")).groupBy("k").agg(F.round(F.sum("s") / F.sum("n"), 12).alias("nll"))
+    of = F.array(*map(F.lit, temperatures))
+    return whole.agg(F.min(F.struct("nll", F.get(of, F.col("k")).alias("temperature"))).alias("b")).select("b.temperature", "b.nll")
 
 
 def edges(bins: int = ECE_BINS) -> list[float]:
