@@ -434,7 +434,9 @@ def renderer_of(node, escape: dict[str, Callable]) -> Callable[[dict, Rendering]
     name, over, body = node.name, value_of(node.over, escape), renderer_of(node.body, escape)
 
     def loop(env: dict, out: Rendering) -> None:
-        items = list(over(env))
+        items = over(env)
+        if not isinstance(items, (list, tuple)):
+            raise TemplateError(f"for does not go over {type(items).__name__}")
         for k, item in enumerate(items):
             body(env | {name: item, "loop": {"first": k == 0, "last": k == len(items) - 1, "index0": k}}, out)
 

@@ -50,6 +50,11 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes.astype(np.float32), step, error * (1 + 1e-9) + 1e-12
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component to one half or more, so that no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def matrix(vectors: pa.ListArray, width: int) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
@@ -65,7 +70,7 @@ def with_codes(members: DataFrame) -> DataFrame:
             codes, step, error = np.empty(len(widths), object), np.empty(len(widths)), np.empty(len(widths))
             for width in np.unique(widths).tolist():
                 mine = np.flatnonzero(widths == width)
-                x = matrix(vectors.take(pa.array(mine)), width)
+                x = scaled(matrix(vectors.take(pa.array(mine)), width))
                 q, step[mine], error[mine] = quantise(x / np.linalg.norm(x, axis=1)[:, None])
                 codes[mine] = [row.tobytes() for row in q.astype(np.int8)]
             made = [pa.array(widths), pa.array(codes.tolist(), pa.binary()), pa.array(step), pa.array(error)]
@@ -151,7 +156,7 @@ def tile_links(members: DataFrame, threshold: float, tile: int) -> DataFrame:
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, lo, hi), whole in sorted_groups(batches, KEYS):
             for rows in parts(whole):
-                x = matrix(rows.column("vector").combine_chunks(), rows.column("width")[0].as_py())
+                x = scaled(matrix(rows.column("vector").combine_chunks(), rows.column("width")[0].as_py()))
                 norm, found = np.linalg.norm(x, axis=1), Found(rows)
                 for i, j, sure in near_pairs(rows, rows.column("blk_").to_numpy(), lo, hi, threshold):
                     i, j = i[~sure], j[~sure]

@@ -71,3 +71,11 @@ def test_bounds_hold():
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicates(df).count() == 0
+
+
+def test_huge_and_tiny_vectors_link_by_direction(spark):
+    base = np.array([3.0, -4.0, 0.5])
+    rows = [(k, (base * s).tolist(), 1) for k, s in enumerate((1.0, 1e200, 1e-200, 1e-310, 7e307 / 4))] + [(10, [0.0, 0.0, 1e300], 1), (11, [0.0, 5e-324, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert found == {**{k: (4, 0) for k in range(5)}, 10: (0, 10), 11: (0, 11)}

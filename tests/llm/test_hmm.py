@@ -121,8 +121,8 @@ def test_expected_counts_of_long_documents_are_whole():
     for order in (range(6), (3, 5, 0, 2, 4, 1)):
         dealt = [seqs[i] for i in order]
         got = hmm.expected(np.concatenate(dealt), np.concatenate([np.arange(len(s)) == 0 for s in dealt]), model)
-        np.testing.assert_allclose(got, want, rtol=1e-3, atol=1e-3)
-        np.testing.assert_allclose(got[hmm.CLASSES : hmm.CLASSES + 3].sum(), sum(len(s) - 1 for s in seqs), rtol=1e-4)
+        np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-9)
+        np.testing.assert_allclose(got[hmm.CLASSES : hmm.CLASSES + 3].sum(), sum(len(s) - 1 for s in seqs), rtol=1e-9)
 
 
 def test_training_raises_held_out_likelihood(spark, docs):
