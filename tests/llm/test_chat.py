@@ -25,7 +25,7 @@ def test_errors(bad):
 
 
 def test_sandbox():
-    for source in ("{{ messages.__class__ }}", "{{ missing }}", "{% for m in messages %}{{ m.keys }}{% endfor %}"):
+    for source in ("{{ messages.__class__ }}", "{{ missing }}", "{% for m in messages.0 %}x{% endfor %}", "{% for m in 'abc' %}x{% endfor %}", "{% for m in messages %}{{ m.keys }}{% endfor %}"):
         with pytest.raises(chat.TemplateError):
             chat.Template(source).render([{"role": "a", "text": "b"}])
 
