@@ -60,7 +60,7 @@ def bias_summary(rows: DataFrame) -> DataFrame:
     aggs: list[Column] = [F.count(F.lit(1)).alias("count")]
     aggs += [F.round(F.avg(c), 6).alias(f"{c}_mean") for c in CONTINUOUS]
     aggs += [F.round(F.avg(c) * 100, 6).alias(f"{c}_percent") for c in FLAGS]
-    medians = exact_quantiles(rows, CONTINUOUS, {"median": 0.5}, by)
+    medians = exact_quantiles(rows, CONTINUOUS, {"median": 0.5}, by, held=True)
     medians = medians.select(*by, *[F.round(f"{c}_median", 6).alias(f"{c}_median") for c in CONTINUOUS])
     return beside(rows.groupBy(*by).agg(*aggs), medians, by)
 

@@ -157,7 +157,7 @@ def latency_summary(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataF
 def histogram(df: DataFrame, column: str, bins: int = 40, quantile: float = 0.99, by: Sequence[str] = ()) -> DataFrame:
     """Counts of equal bins after clipping at a quantile: the data of the distribution plots."""
     df = stored(df.select(*by, column), "histogram")
-    found = exact_quantiles(df, [column], {"top": quantile}, by).withColumnRenamed(f"{column}_top", "_top")
+    found = exact_quantiles(df, [column], {"top": quantile}, by, held=True).withColumnRenamed(f"{column}_top", "_top")
     limits = beside(df.groupBy(*by).agg(F.min(column).alias("_low")), found, by)
     joined = beside(df, limits, by)
     clipped = F.least(F.col(column).cast("double"), F.col("_top"))

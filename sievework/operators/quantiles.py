@@ -69,15 +69,15 @@ def _choose(steps: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFra
 _FOUND = "_low = _high"
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Mapping[str, float], by: Sequence[str] = ()) -> DataFrame:
+def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Mapping[str, float], by: Sequence[str] = (), held: bool = False) -> DataFrame:
     """By group: <column>_<name> for each column and share, linear between neighbours.
 
     Nulls are left out, NaN is greater than all; a column without values in a group is null there, and a group without
-    any value has no row.
+    any value has no row. held says that df is a written table, which passes may read again.
     """
     if not all(0 <= p <= 1 for p in shares.values()):
         raise ValueError("shares must be between 0 and 1")
-    base = stored(df.select(*by, *columns), "values")
+    base = df.select(*by, *columns) if held else stored(df.select(*by, *columns), "values")
     cells, key = _cells(base, columns, by), [*by, "_c"]
     first = stored(_held(cells, key, _scale(F.col("_v"))), "steps")
     totals = first.groupBy(*key).agg(F.sum("_n").alias("_total"))
@@ -87,7 +87,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Mapping[str,
     picks = stored(_choose(first, wanted, key), "ranks")
     done = picks.where(_FOUND)
     rest = picks.where(f"not {_FOUND}")
-    while rest.limit(1).count():
+    while not rest.isEmpty():
         ranges = rest.select(*key, "_low", "_high").distinct().withColumnsRenamed({k: f"_of_{k}" for k in key} | {"_low": "_from", "_high": "_to"})
         inside = (F.col("_v") >= F.col("_from")) & (F.col("_v") <= F.col("_to"))
         inner = cells.join(ranges, _equal(key) & inside).select(*key, "_v", "_from", "_to")

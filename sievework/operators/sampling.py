@@ -147,11 +147,15 @@ def _at_cut() -> Column:
 def _settled(tried: DataFrame, cuts: DataFrame, group: str) -> DataFrame:
     """tried with its split: by the prefix alone, but in the buckets of the cuts, where groups are ranked."""
     rows = tried.join(F.broadcast(cuts), "attempt")
+    plain = rows.where(~_at_cut()).withColumn("split", _split_of(F.col("_p"), F.lit(0)))
+    return plain.select(*tried.columns, "split").unionByName(_ranked(rows, group).select(*tried.columns, "split"))
+
+
+def _ranked(rows: DataFrame, group: str) -> DataFrame:
+    """The rows in the buckets of the cuts with their split, by their rank within the bucket."""
     within = F.row_number().over(Window.partitionBy("attempt", "_p").orderBy("_h", group)) - 1
     ranked = rows.where(_at_cut()).withColumn("_rank", within)
-    plain = rows.where(~_at_cut()).withColumn("_rank", F.lit(0))
-    out = plain.unionByName(ranked)
-    return out.withColumn("split", _split_of(F.col("_p"), F.col("_rank"))).drop("_h", "_p", "_rank", *[c for c in cuts.columns if c != "attempt"])
+    return ranked.withColumn("split", _split_of(F.col("_p"), F.col("_rank")))
 
 
 def _check_ratios(ratios: Sequence[float]) -> None:
@@ -191,9 +195,10 @@ def _scored(groups: DataFrame, group: str, ratios: Sequence[float], seed: int, a
     entries = F.concat(F.array(entry(True, F.lit(None).cast("string"), F.lit(1).cast("long"))), F.transform("labels", lambda x: entry(False, x.label.cast("string"), x.n)))
     cells = tried.select("attempt", "_p", F.explode(entries).alias("e")).groupBy("attempt", "_p", "e.of_groups", "e.label").agg(F.sum("e.n").alias("n"))
     cells = stored(cells, "cells")
-    cuts = stored(_cuts(cells.where("of_groups").select("attempt", "_p", "n"), ratios), "cuts")
+    cuts = _cuts(cells.where("of_groups").select("attempt", "_p", "n"), ratios)
+    cuts = groups.sparkSession.createDataFrame(cuts.collect(), cuts.schema)  # one row an attempt
     counted = cells.where("not of_groups").join(F.broadcast(cuts), "attempt").where(~_at_cut()).select("attempt", _split_of(F.col("_p"), F.lit(0)).alias("split"), "label", "n")
-    near = _settled(tried.join(F.broadcast(cuts), "attempt").where(_at_cut()).select(*tried.columns), cuts, group)
+    near = _ranked(tried.join(F.broadcast(cuts), "attempt"), group)
     near = near.select("attempt", "split", F.explode("labels").alias("e")).select("attempt", "split", F.col("e.label").cast("string").alias("label"), F.col("e.n").alias("n"))
     sums = counted.unionByName(near).groupBy("attempt", "split", "label").agg(F.sum("n").alias("n"))
     return _scores_of(sums, cells, attempts, ratios), cuts
@@ -223,11 +228,9 @@ def group_split(df: DataFrame, group: str, ratios: Sequence[float] = SPLIT_RATIO
     scores, cuts = _scored(groups, group, ratios, seed, attempts)
     if (cuts.agg(F.max("_groups")).first()[0] or 0) < 4:
         raise PySparkValueError("a split needs at least four groups")
-    best = scores.agg(F.min(F.struct("score", "attempt")).alias("b")).select("b.attempt")
-    chosen = cuts.join(F.broadcast(best), "attempt")
-    rows = groups.select(group).crossJoin(F.broadcast(chosen.select("attempt")))
-    rows = rows.withColumn("_h", order_key(F.col("attempt") + seed, F.col(group))).withColumn("_p", F.substring("_h", 1, PREFIX))
-    return _settled(rows, chosen, group).select(group, "split")
+    best = min((r.score, r.attempt) for r in scores.collect())[1]  # a row an attempt
+    rows = groups.select(group, F.lit(best).alias("attempt")).withColumn("_h", order_key(best + seed, F.col(group))).withColumn("_p", F.substring("_h", 1, PREFIX))
+    return _settled(rows, cuts.where(F.col("attempt") == best), group).select(group, "split")
 
 
 def with_split(df: DataFrame, assignment: DataFrame, group: str) -> DataFrame:
