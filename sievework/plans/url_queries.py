@@ -392,3 +392,17 @@ def flagship(spark, sf):
     view = cleaning.domain_only_view(cleaning.clean(A.raw(spark, sf)).clean, host="hostname").select("label", F.col("model_url").alias("url"))
     rows = features.with_features(urls.with_normalized(view))
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("domains"), F.sum("url_length").alias("total_length"), F.round(F.avg("hostname_length"), 6).alias("mean_host"))
+
+
+@query("agg_sketches", "SELECT source, count(*) AS n, true AS hosts_close, true AS median_close FROM v_urls GROUP BY 1")
+def agg_sketches(spark, sf):
+    """Sketches by source and day, stored, merged by source and held against the rows."""
+    from ..operators import sketches
+    from ..storage import stored
+
+    rows = A.urls(spark, sf).select("source", "collected_at", urls.extracted_host(F.col("url")).alias("host"), F.length("url").alias("length"))
+    daily = stored(sketches.sketch(rows, ["source", "collected_at"], "host", "length"), "sketches")
+    found = sketches.estimates(sketches.merge(daily, ["source"]), {"median": 0.5}).select("source", "n", "distinct_estimate", "median")
+    exact = rows.join(found, "source").groupBy("source", "n", "distinct_estimate").agg(F.count_distinct("host").alias("hosts"), F.avg((F.col("length") < F.col("median")).cast("double")).alias("below"), F.avg((F.col("length") <= F.col("median")).cast("double")).alias("up_to"))
+    within = (F.col("below") <= 0.5 + 0.0165) & (F.col("up_to") >= 0.5 - 0.0165)
+    return exact.select("source", "n", (F.abs(F.col("distinct_estimate") / F.col("hosts") - 1) < 0.05).alias("hosts_close"), within.alias("median_close"))
